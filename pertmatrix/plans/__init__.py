@@ -1,6 +1,6 @@
 """The query catalogue. Importing it registers every query."""
 
-from pertmatrix.plans import q_cells, q_joins, q_sources  # noqa: F401
+from pertmatrix.plans import q_aggregates, q_cells, q_joins, q_sources  # noqa: F401
 from pertmatrix.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
