@@ -25,8 +25,8 @@ def with_libsize(expr: DataFrame) -> DataFrame:
 
 
 def labelled(matrix: CountMatrix) -> DataFrame:
-    """Entries with libsize and the cell's own columns. Empty cells have no entries and drop out."""
-    return with_libsize(matrix.expr).join(matrix.cells, "cell_id")
+    """Entries with libsize and the cell's own columns. Cells without any count drop out."""
+    return with_libsize(matrix.expr).filter("libsize > 0").join(matrix.cells, "cell_id")
 
 
 def scaled(entries: DataFrame, target: float, *, out: str = "value") -> DataFrame:

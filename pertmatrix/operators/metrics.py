@@ -36,9 +36,10 @@ def error_metrics(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by..., target_gene, mae, mse, pearson_delta in one aggregation (correlation NULL without spread)."""
     d = F.col("pred") - F.col("real")
     flat = (F.max("pred") == F.min("pred")) | (F.max("real") == F.min("real"))
+    spread = F.stddev_pop("pred") * F.stddev_pop("real")
     return pairs.groupBy(*by, "target_gene").agg(
         F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"),
-        F.when(flat, F.lit(None)).otherwise(F.corr("pred", "real")).alias("pearson_delta"),
+        F.when(~flat, F.try_divide(F.covar_pop("pred", "real"), spread)).alias("pearson_delta"),
     )
 
 
@@ -57,42 +58,46 @@ def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     return 1.0 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
 
 
-def discrimination(pred: DataFrame, real: DataFrame, kind: str = "l1", by: Sequence[str] = ()) -> DataFrame:
-    """by..., target_gene, n_real, n_closer, score: 1 - (real labels closer than the own one) / n_real.
+def discrimination(pred: DataFrame, real: DataFrame, kinds: Sequence[str] = ("l1",), by: Sequence[str] = ()) -> DataFrame:
+    """by..., target_gene, kind, n_real, n_closer, score: 1 - (real labels closer than the own one) / n_real.
 
     The inputs are full (by..., target_gene, gene_pos, delta) grids. Labels are hashed into blocks
     of about 256; each pair of blocks is one group that returns, per predicted label, only how many
     of its real labels are closer. Distances are compared at nine decimals.
     """
-    if kind not in ("l1", "cosine"):
-        raise ValueError(f"unknown distance {kind!r}")
-    by = list(by)
+    if not kinds or set(kinds) - {"l1", "cosine"}:
+        raise ValueError(f"unknown distances {list(kinds)!r}")
+    by, kinds = list(by), list(kinds)
     p, r = _vectors(pred, by, "pv"), _vectors(real, by, "rv")
     n_real = real.select(*by, "target_gene").distinct().groupBy(*by).agg(F.count("*").alias("n_real"))
     biggest = n_real.agg(F.max("n_real")).first()[0] or 1
     blocks = -(-biggest // BLOCK)
-    block = F.pmod(F.xxhash64("target_gene"), F.lit(blocks))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    own = p.join(r, [*by, "target_gene"])
-    left = own.withColumn("pb", block).withColumn("rb", every)
-    right = r.withColumn("rb", block).withColumn("pb", every)
+    left = p.join(r, [*by, "target_gene"]).withColumn("pb", F.pmod(F.xxhash64("target_gene"), F.lit(blocks))).withColumn("rb", every)
+    # fresh attributes: the own vectors on the left come from the same table
+    right = r.select(*[F.col(c).alias(c) for c in by], F.col("target_gene").alias("other"), F.col("rv").alias("ov"))
+    right = right.withColumn("rb", F.pmod(F.xxhash64("other"), F.lit(blocks))).withColumn("pb", every)
 
     def count_closer(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         if lhs.empty or rhs.empty:
-            return pd.DataFrame({**{c: [] for c in by}, "target_gene": [], "closer": []})
-        a, o, b = (np.stack(x.to_numpy()) for x in (lhs.pv, lhs.rv, rhs.rv))
-        mine = np.array([_distances(a[i : i + 1], o[i : i + 1], kind)[0, 0] for i in range(len(a))])
-        closer = np.round(_distances(a, b, kind), 9) < np.round(mine, 9)[:, None]
-        closer &= lhs.target_gene.to_numpy()[:, None] != rhs.target_gene.to_numpy()[None, :]
-        return lhs[[*by, "target_gene"]].assign(closer=closer.sum(axis=1))
+            return pd.DataFrame({c: [] for c in [*by, "target_gene", *kinds]})
+        a, o, b = (np.stack(x.to_numpy()) for x in (lhs.pv, lhs.rv, rhs.ov))
+        others = lhs.target_gene.to_numpy()[:, None] != rhs.other.to_numpy()[None, :]
+        out = lhs[[*by, "target_gene"]].copy()
+        for kind in kinds:
+            mine = np.array([_distances(a[i : i + 1], o[i : i + 1], kind)[0, 0] for i in range(len(a))])
+            closer = np.round(_distances(a, b, kind), 9) < np.round(mine, 9)[:, None]
+            out[kind] = (closer & others).sum(axis=1)
+        return out
 
     types = dict(p.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in by] + ["target_gene string", "closer bigint"])
+    schema = ", ".join([f"`{c}` {types[c]}" for c in by] + ["target_gene string"] + [f"{k} bigint" for k in kinds])
     keys = [*by, "pb", "rb"]
     counted = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(count_closer, schema)
-    ranks = counted.groupBy(*by, "target_gene").agg(F.sum("closer").alias("n_closer"))
+    ranks = counted.groupBy(*by, "target_gene").agg(*[F.sum(k).alias(k) for k in kinds])
     ranks = ranks.join(n_real, by) if by else ranks.withColumn("n_real", n_real.scalar())
-    return ranks.withColumn("score", 1.0 - F.col("n_closer") / F.col("n_real"))
+    long = ranks.unpivot([*by, "target_gene", "n_real"], kinds, "kind", "n_closer")
+    return long.withColumn("score", 1.0 - F.col("n_closer") / F.col("n_real"))
 
 
 def significance_pairs(pred: DataFrame, real: DataFrame, threshold: float) -> DataFrame:
@@ -177,7 +182,8 @@ def metric_means(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def scale_to_anchors(user: DataFrame, base: DataFrame, replicate: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(u - b) / (r - b) per key and metric: 0 is the generic response, 1 a replicate.
 
-    The squared error is clamped to [0, 1], the fold-change error floored at -6.
+    The squared error is clamped to [0, 1], the fold-change error floored at -6. Anchors that agree
+    to nine places span no scale: NULL.
     """
     keys = [*keys, "metric"]
     rows = (
@@ -185,7 +191,8 @@ def scale_to_anchors(user: DataFrame, base: DataFrame, replicate: DataFrame, key
         .join(base.select(*keys, F.col("value").alias("b")), keys)
         .join(replicate.select(*keys, F.col("value").alias("r")), keys)
     )
-    raw = F.when(F.col("r") != F.col("b"), (F.col("u") - F.col("b")) / (F.col("r") - F.col("b")))
+    span = F.col("r") - F.col("b")
+    raw = F.when(F.abs(span) > 1e-9, (F.col("u") - F.col("b")) / span)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
     floored = F.greatest(F.lit(-6.0), raw)
     return rows.withColumn(

@@ -1,7 +1,7 @@
 """Baseline effect models and their predicted cells.
 
-``entries`` are log-normalised nonzero values with the cells' labels; ``cells`` counts every cell.
-A model is a table of deltas (target_gene, gene, delta); the control profile carries the rest.
+Models are fitted on label moments (see ``pseudobulk.label_moments``) of log-normalised values, so one
+pass over the entries fits them all. A model is a table of deltas (target_gene, gene, delta).
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pertmatrix.functions.columns import shift_clip_floor
 from pertmatrix.matrix import CONTROL, on_gene_axis
-from pertmatrix.operators.pseudobulk import label_moments
 from pertmatrix.operators.sampling import CHUNK, draw_with_replacement, index_pool
 
 
@@ -21,19 +20,12 @@ def zero_delta(requested: DataFrame, genes: DataFrame) -> DataFrame:
     )
 
 
-def mean_perturbation_delta(entries: DataFrame, cells: DataFrame, genes: DataFrame, control: str = CONTROL) -> DataFrame:
-    """Rung 0b: gene, delta = mean over all perturbed cells minus the control mean (cell-weighted)."""
+def mean_perturbation_delta(moments: DataFrame, control: str = CONTROL) -> DataFrame:
+    """Rung 0b: gene_pos, gene, delta = mean over all perturbed cells minus the control mean (cell-weighted)."""
     is_ctrl = F.col("target_gene") == control
-    n = cells.agg(
-        F.struct(F.count_if(is_ctrl).alias("ctrl"), F.count_if(~is_ctrl).alias("pert")).alias("n")
-    ).scalar()
-    sums = entries.groupBy("gene").agg(
-        F.sum(F.when(is_ctrl, F.col("value"))).alias("s_c"), F.sum(F.when(~is_ctrl, F.col("value"))).alias("s_p")
-    )
-    return (
-        genes.select("gene_pos", "gene").join(sums, "gene", "left").fillna(0.0, ["s_c", "s_p"]).withColumn("n", n)
-        .select("gene_pos", "gene", (F.col("s_p") / F.col("n.pert") - F.col("s_c") / F.col("n.ctrl")).alias("delta"))
-    )
+    total, n = F.col("mean") * F.col("n"), F.col("n")
+    pert = F.sum(F.when(~is_ctrl, total)) / F.sum(F.when(~is_ctrl, n))
+    return moments.groupBy("gene_pos", "gene").agg((pert - F.max(F.when(is_ctrl, F.col("mean")))).alias("delta"))
 
 
 def same_delta_for(requested: DataFrame, per_gene: DataFrame) -> DataFrame:
@@ -42,12 +34,11 @@ def same_delta_for(requested: DataFrame, per_gene: DataFrame) -> DataFrame:
     return grid.join(per_gene.select("gene", "delta"), "gene").select("target_gene", "gene_pos", "gene", "delta")
 
 
-def training_deltas(entries: DataFrame, cells: DataFrame, genes: DataFrame, *, min_cells: int = 10, control: str = CONTROL) -> DataFrame:
+def training_deltas(moments: DataFrame, *, min_cells: int = 10, control: str = CONTROL) -> DataFrame:
     """target_gene, gene, delta, z, m_c, v_c for every training label with enough cells.
 
-    z divides by the standard error of the difference of means.
+    ``moments`` are label moments. z divides by the standard error of the difference of means.
     """
-    moments = label_moments(entries, cells, genes)
     ctrl = moments.filter(F.col("target_gene") == control).select(
         "gene", F.col("mean").alias("m_c"), F.col("variance").alias("v_c"), F.col("n").alias("n_c")
     )

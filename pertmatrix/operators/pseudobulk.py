@@ -203,15 +203,22 @@ def gene_moments(entries: DataFrame, cells: DataFrame, genes: DataFrame) -> Data
     )
 
 
-def label_moments(entries: DataFrame, cells: DataFrame, genes: DataFrame, by: Sequence[str] = ("target_gene",), min_cells: int = 0) -> DataFrame:
-    """by..., gene, n, mean, variance on the full grid; zeros count through the cell table."""
-    sizes = group_sizes(cells, by, min_cells)
-    sums = entries.groupBy(*by, "gene").agg(
+def moment_sums(entries: DataFrame, by: Sequence[str] = ("target_gene",)) -> DataFrame:
+    """by..., gene, s, ss over the stored entries."""
+    return entries.groupBy(*by, "gene").agg(
         F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss")
     )
+
+
+def moments_from_sums(sums: DataFrame, sizes: DataFrame, genes: DataFrame, by: Sequence[str] = ("target_gene",)) -> DataFrame:
+    """by..., gene, n, mean, variance on the full grid; zeros count through the group sizes."""
     full = on_gene_axis(sizes, genes).join(sums, [*by, "gene"], "left").fillna(0.0, ["s", "ss"])
     n = F.col("n_cells")
     return full.select(
         *by, "gene_pos", "gene", n.alias("n"), (F.col("s") / n).alias("mean"),
         pop_var(F.col("ss"), F.col("s"), n).alias("variance"),
     )
+
+
+def label_moments(entries: DataFrame, cells: DataFrame, genes: DataFrame, by: Sequence[str] = ("target_gene",)) -> DataFrame:
+    return moments_from_sums(moment_sums(entries, by), group_sizes(cells, by), genes, by)

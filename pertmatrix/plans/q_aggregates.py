@@ -155,7 +155,7 @@ def variance_inflation(spark, d):
 @query("mean_perturbation_delta", f"WITH {MATRIX_LOG}, {RUNG0B_SQL} SELECT gene_pos, gene, round(delta, 6) + 0.0 AS delta FROM rung0b")
 def mean_perturbation_delta(spark, d):
     m, logged = logged_matrix(spark, d)
-    return R.mean_perturbation_delta(logged, m.cells, m.genes).withColumn("delta", r6("delta"))
+    return R.mean_perturbation_delta(P.label_moments(logged, m.cells, m.genes)).withColumn("delta", r6("delta"))
 
 
 FEATURES = """
@@ -166,7 +166,7 @@ FEATURES = """
 
 def fitted_deltas(spark, d) -> DataFrame:
     m, logged = logged_matrix(spark, d)
-    return R.training_deltas(logged, m.cells, m.genes)
+    return R.training_deltas(P.label_moments(logged, m.cells, m.genes))
 
 
 @query("backbone_features", f"""
@@ -326,10 +326,13 @@ def _three_matrices(spark, d) -> list[tuple[str, DataFrame, DataFrame]]:
     ]
 
 
-@query("detect_counts_state", f"""WITH {CELLS}, {EXPR}, {LIB}
+THREE_STATES = f"""WITH {CELLS}, {EXPR}, {LIB}, states AS (
 {STATE_SQL.format(name='counts', rows=COUNT_ROWS)} UNION ALL
 SELECT matrix, n_cells, 0.0 AS min_value, integral, state FROM ({STATE_SQL.format(name='cp10k', rows=CP10K_ROWS)}) k UNION ALL
-SELECT matrix, n_cells, round(min_value, 6), integral, state FROM ({STATE_SQL.format(name='embeddings', rows=VECTOR_ROWS)}) e""")
+SELECT matrix, n_cells, round(min_value, 6), integral, state FROM ({STATE_SQL.format(name='embeddings', rows=VECTOR_ROWS)}) e)"""
+
+
+@query("detect_counts_state", f"{THREE_STATES} SELECT * FROM states")
 def detect_counts_state(spark, d):
     out = None
     for name, expr, cells in _three_matrices(spark, d):
@@ -338,8 +341,7 @@ def detect_counts_state(spark, d):
     return out
 
 
-@query("assert_raw_counts", """
-SELECT * FROM (VALUES ('counts', true), ('cp10k', false), ('embeddings', false)) v(matrix, accepted)""")
+@query("assert_raw_counts", f"{THREE_STATES} SELECT matrix, state = 'raw_counts' AS accepted FROM states")
 def assert_raw_counts(spark, d):
     verdicts = []
     genes = T.genes(spark, d)

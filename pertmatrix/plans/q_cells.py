@@ -190,7 +190,7 @@ FROM logged JOIN rung0b USING (gene), f WHERE target_gene = 'non-targeting'""")
 def shift_clip_floor(spark, d):
     m = T.count_matrix(spark, d)
     logged = C.log_normalized(C.labelled(m))
-    delta = R.mean_perturbation_delta(logged, m.cells, m.genes).select("gene", (F.col("delta") * 20).alias("delta"))
+    delta = R.mean_perturbation_delta(P.label_moments(logged, m.cells, m.genes)).select("gene", (F.col("delta") * 20).alias("delta"))
     shifted = logged.filter(F.col("target_gene") == CONTROL).join(delta, "gene").withColumn("floor", R.assay_floor(logged).scalar())
     return shifted.select("cell_id", "gene", r6(X.shift_clip_floor(F.col("value"), F.col("delta"), F.col("floor"))).alias("value"))
 

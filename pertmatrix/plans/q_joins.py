@@ -124,7 +124,7 @@ LABEL_STATS = """
 @query("join_self_gene", f"WITH {MATRIX_LOG}, {LABEL_STATS} SELECT target_gene, round(delta, 6) + 0.0 AS delta FROM tdelta WHERE gene = target_gene")
 def join_self_gene(spark, d):
     m = T.count_matrix(spark, d)
-    deltas = R.training_deltas(C.log_normalized(C.labelled(m)), m.cells, m.genes)
+    deltas = R.training_deltas(P.label_moments(C.log_normalized(C.labelled(m)), m.cells, m.genes))
     return deltas.filter(F.col("gene") == F.col("target_gene")).select("target_gene", r6("delta").alias("delta"))
 
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", app: str = "pertmatrix") -> SparkSession:
@@ -37,3 +37,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="pertmatrix-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/pertmatrix/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The frame written once to shared scratch space and read back.
+
+    For small aggregates that several branches of a plan use: the pass over the entries behind
+    them runs once, and lost executors cost only the unfinished part.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
