@@ -30,14 +30,16 @@ def on_gene_axis(rows: DataFrame, genes: DataFrame) -> DataFrame:
     """One output row per (row, gene): the zero-filled grid every cross-label statistic needs.
 
     ``rows`` holds labels, never cells. The axis is a checked, bounded array that each row
-    explodes in place, so the grid needs no join and no shuffle.
+    explodes in place, so the grid needs no join. The few label rows are first spread over all
+    shuffle partitions, because the grid is thousands of times larger than they are.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     axis = genes.agg(
         F.when(F.count("*") <= MAX_AXIS, F.sort_array(F.collect_list(F.struct("gene_pos", "gene"))))
         .otherwise(F.raise_error(F.lit(f"gene axis is longer than {MAX_AXIS}")))
         .alias("axis")
     )
-    return rows.select("*", F.inline(axis.scalar()))
+    return rows.repartition(parts, *rows.columns).select("*", F.inline(axis.scalar()))
 
 
 def pack_rows(matrix: CountMatrix) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pertmatrix.functions.columns import is_whole, per_library
 from pertmatrix.matrix import CONTROL, CountMatrix
+from pertmatrix.session import materialized
 
 RAW = "raw_counts"
 TRANSFORMED = "transformed"
@@ -20,8 +21,15 @@ def cell_libsize(matrix: CountMatrix) -> DataFrame:
 
 
 def with_libsize(expr: DataFrame) -> DataFrame:
-    """Entries with their cell's total. Cells hold at most one entry per gene, so windows are small."""
-    return expr.withColumn("libsize", F.sum("value").over(W.partitionBy("cell_id")))
+    """Entries with their cell's total, and ``leads``: true for one entry of each cell.
+
+    Cells hold at most one entry per gene, so windows are small. Counting leading entries counts
+    cells in any later aggregation, without a distinct.
+    """
+    cell = W.partitionBy("cell_id")
+    return expr.withColumns({
+        "libsize": F.sum("value").over(cell), "leads": F.col("gene") == F.min("gene").over(cell),
+    })
 
 
 def labelled(matrix: CountMatrix) -> DataFrame:
@@ -53,9 +61,10 @@ def filter_libsize_quantiles(cells: DataFrame, lo: float, hi: float, by: str = "
     """Cells whose total lies within the group's linear quantiles, both ends included.
 
     Library sizes are whole numbers under the counts cap, so a quantile's buffer is bounded by the
-    number of distinct totals; partial buffers merge, and no group is collected.
+    number of distinct totals; partial buffers merge, and no group is collected. The limits are
+    written out first: with their true size known, the join does not shuffle the cells.
     """
-    limits = cells.groupBy(by).agg(F.percentile("libsize", F.array(F.lit(lo), F.lit(hi))).alias("q"))
+    limits = materialized(cells.groupBy(by).agg(F.percentile("libsize", F.array(F.lit(lo), F.lit(hi))).alias("q")), "limits")
     return (
         cells.join(limits, by)
         .filter(F.col("libsize").between(F.col("q")[0], F.col("q")[1]))

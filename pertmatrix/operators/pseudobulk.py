@@ -13,6 +13,7 @@ from pertmatrix.matrix import CONTROL, CountMatrix, on_gene_axis
 from pertmatrix.operators.cells import filter_labels, labelled
 from pertmatrix.operators.ranking import running_total
 from pertmatrix.operators.sampling import explode_range, index_pool
+from pertmatrix.session import materialized
 
 AGGREGATES = ("sum", "mean", "median")
 SUM_COLUMNS = ("count_sum", "cpm_sum", "cpm_sq_sum")
@@ -20,7 +21,11 @@ SUM_COLUMNS = ("count_sum", "cpm_sum", "cpm_sq_sum")
 
 @dataclass(frozen=True)
 class PseudobulkSums:
-    """``gene``: by..., gene, count_sum, cpm_sum, cpm_sq_sum. ``label``: by..., n_cells, libsize_sum."""
+    """``gene``: by..., gene, count_sum, cpm_sum, cpm_sq_sum. ``label``: by..., n_cells, libsize_sum.
+
+    Both are small (labels x genes). Effects read them several times, so they should be written
+    once (``label_sums(save=True)`` or :func:`pertmatrix.sources.sinks.write_pseudobulk`).
+    """
 
     gene: DataFrame
     label: DataFrame
@@ -28,26 +33,34 @@ class PseudobulkSums:
 
 
 def sum_entries(entries: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Per (by, gene): counts, CPM and squared CPM, summed. Partial sums run before the shuffle."""
+    """Per (by, gene): counts, CPM and squared CPM, summed, and n_leads, the cells that lead here.
+
+    Partial sums run before the shuffle, so a hot label costs one row per gene and map task.
+    """
     cpm = F.col("value") / F.col("libsize") * 1e6
     return entries.groupBy(*by, "gene").agg(
-        F.sum("value").alias("count_sum"), F.sum(cpm).alias("cpm_sum"), F.sum(cpm * cpm).alias("cpm_sq_sum")
+        F.sum("value").alias("count_sum"), F.sum(cpm).alias("cpm_sum"), F.sum(cpm * cpm).alias("cpm_sq_sum"),
+        F.count_if("leads").alias("n_leads"),
     )
 
 
 def label_sums(
     matrix: CountMatrix, *, keep: DataFrame | None = None, skip: DataFrame | None = None,
-    by: Sequence[str] = ("target_gene",),
+    by: Sequence[str] = ("target_gene",), save: bool = False,
 ) -> PseudobulkSums:
     """The core pass. Empty cells count neither in the sums nor in n_cells; a label whose cells are
-    all empty stays with n_cells 0."""
+    all empty stays with n_cells 0. ``save`` writes the sums to scratch space, for plans that use
+    them more than once."""
     cells = filter_labels(matrix.cells, keep, skip)
     entries = labelled(CountMatrix(cells, matrix.genes, matrix.expr))
-    totals = entries.groupBy(*by).agg(
-        F.count_distinct("cell_id").alias("n_cells"), F.sum("value").alias("libsize_sum")
-    )
+    gene = sum_entries(entries, by)
+    if save:
+        gene = materialized(gene, "pb-gene")
+    totals = gene.groupBy(*by).agg(F.sum("n_leads").alias("n_cells"), F.sum("count_sum").alias("libsize_sum"))
     label = cells.select(*by).distinct().join(totals, list(by), "left").fillna({"n_cells": 0, "libsize_sum": 0.0})
-    return PseudobulkSums(sum_entries(entries, by), label, tuple(by))
+    if save:
+        label = materialized(label, "pb-label")
+    return PseudobulkSums(gene.drop("n_leads"), label, tuple(by))
 
 
 def merge(a: PseudobulkSums, b: PseudobulkSums) -> PseudobulkSums:
@@ -83,8 +96,11 @@ def group_sizes(cells: DataFrame, by: Sequence[str], min_cells: int = 0) -> Data
 
 
 def value_histogram(entries: DataFrame, sizes: DataFrame, genes: DataFrame, by: Sequence[str]) -> DataFrame:
-    """by..., gene, value, freq with the implicit zeros as one row per (group, gene)."""
-    hist = entries.groupBy(*by, "gene", "value").agg(F.count("*").alias("freq"))
+    """by..., gene, value, freq with the implicit zeros as one row per (group, gene).
+
+    The counted values are written once: everything after them works on the histogram.
+    """
+    hist = materialized(entries.groupBy(*by, "gene", "value").agg(F.count("*").alias("freq")), "histogram")
     stored = hist.groupBy(*by, "gene").agg(F.sum("freq").alias("stored"))
     zeros = (
         on_gene_axis(sizes.select(*by, "n_cells"), genes)
@@ -92,7 +108,7 @@ def value_histogram(entries: DataFrame, sizes: DataFrame, genes: DataFrame, by:
         .select(*by, "gene", F.lit(0.0).alias("value"), (F.col("n_cells") - F.coalesce("stored", F.lit(0))).alias("freq"))
         .filter("freq > 0")
     )
-    return hist.unionByName(zeros)
+    return hist.join(sizes.select(*by), list(by), "left_semi").unionByName(zeros)
 
 
 def histogram_quantile(hist: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
@@ -120,11 +136,11 @@ def group_profiles(
     if missing:
         raise KeyError(f"grouping columns not in cells: {missing}")
     sizes = group_sizes(cells, by, min_cells)
-    kept = entries.join(sizes.select(*by), list(by), "left_semi")
     if how == "median":
-        values = histogram_quantile(value_histogram(kept, sizes, genes, by), [*by, "gene"], 0.5)
+        values = histogram_quantile(value_histogram(entries, sizes, genes, by), [*by, "gene"], 0.5)
     else:
-        values = kept.groupBy(*by, "gene").agg(F.sum("value").alias("value"))
+        values = entries.groupBy(*by, "gene").agg(F.sum("value").alias("value"))
+    # small groups drop here, after the sums: no entry is shuffled only to be filtered
     full = on_gene_axis(sizes, genes).join(values, [*by, "gene"], "left").fillna(0.0, ["value"])
     if how == "mean":
         full = full.withColumn("value", F.col("value") / F.col("n_cells"))
@@ -147,7 +163,7 @@ def bootstrap_draws(cells: DataFrame, by: Sequence[str], replicates: int, *, min
         "pool_idx", draw_index(seed_hash(f"draw{seed}", *by, "replicate", "draw_no"), F.col("n"))
     )
     times = drawn.groupBy(*by, "replicate", "pool_idx").agg(F.count("*").alias("times"))
-    pool = index_pool(cells.join(sizes.select(*by), list(by), "left_semi").select(*by, "cell_id"), by, seed)
+    pool = index_pool(cells.select(*by, "cell_id"), by, seed)
     return times.join(pool, [*by, "pool_idx"]).drop("pool_idx")
 
 

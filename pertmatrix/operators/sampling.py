@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL
 from pertmatrix.operators.ranking import shuffled_row_number
+from pertmatrix.session import materialized
 
 CHUNK = 4096
 
@@ -57,7 +58,7 @@ def carve_holdout(
     Eligible labels have at least min_cells cells; n_holdout of them are drawn, or all if fewer.
     Labels that are not eligible stay on the train side. The control is on neither list.
     """
-    perts = count_labels(cells, label).filter(F.col(label) != control)
+    perts = materialized(count_labels(cells, label).filter(F.col(label) != control), "labels")
     drawn = (
         perts.filter(F.col("n_cells") >= min_cells)
         .orderBy(seed_hash(seed, label), label)

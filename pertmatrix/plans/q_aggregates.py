@@ -11,6 +11,7 @@ from pertmatrix.plans.q_cells import HELD_OUT, RUNG0B_SQL, SHRUNK
 from pertmatrix.plans.q_joins import LABEL_STATS, TARGETS, targets
 from pertmatrix.plans.q_sources import PB_ROWS, PB_SQL, PROFILE_SQL, pb_rows
 from pertmatrix.plans.registry import CELLS, EXPR, GENES, LIB, MATRIX, MATRIX_LOG, query, r6
+from pertmatrix.session import materialized
 from pertmatrix.sources import testdata as T
 
 
@@ -24,7 +25,7 @@ def logged_matrix(spark, d) -> tuple[CountMatrix, DataFrame]:
 
 @query("pb_stream_sums", f"WITH {MATRIX}, {PB_SQL} {PB_ROWS}")
 def pb_stream_sums(spark, d):
-    return pb_rows(P.label_sums(T.count_matrix(spark, d)))
+    return pb_rows(P.label_sums(T.count_matrix(spark, d), save=True))
 
 
 @query("pb_mean_var_cpm", f"""
@@ -34,7 +35,7 @@ WITH {MATRIX}, {PB_SQL}, mv AS (
 SELECT target_gene, gene, n_cells, round(m / 1e6, 6) + 0.0 AS mean_cpm, round(greatest(sq - m * m, 0) / 1e12, 6) + 0.0 AS var_cpm FROM mv""")
 def pb_mean_var_cpm(spark, d):
     m = T.count_matrix(spark, d)
-    return P.mean_var_cpm(P.label_sums(m), m.genes).select(
+    return P.mean_var_cpm(P.label_sums(m, save=True), m.genes).select(
         "target_gene", "gene", "n_cells", r6("mean_cpm", 1e6).alias("mean_cpm"), r6("var_cpm", 1e12).alias("var_cpm")
     )
 
@@ -44,7 +45,7 @@ def pb_merge(spark, d):
     m = T.count_matrix(spark, d)
     require_same_axis(m.genes, T.genes(spark, d))
     finished = F.col("batch") == "F"
-    passes = [P.label_sums(CountMatrix(m.cells.filter(part), m.genes, m.expr)) for part in (finished, ~finished)]
+    passes = [P.label_sums(CountMatrix(m.cells.filter(part), m.genes, m.expr), save=True) for part in (finished, ~finished)]
     return pb_rows(P.merge(*passes))
 
 
@@ -56,7 +57,7 @@ def pb_control_once(spark, d):
     files = m.cells.filter(control | finished).withColumn("source_ord", F.lit(0)).unionByName(
         m.cells.filter(control | ~finished).withColumn("source_ord", F.lit(1))
     )
-    return pb_rows(P.label_sums(CountMatrix(P.control_once(files), m.genes, m.expr)))
+    return pb_rows(P.label_sums(CountMatrix(P.control_once(files), m.genes, m.expr), save=True))
 
 
 def profile_sql(value: str, min_cells: int = 25) -> str:
@@ -103,7 +104,7 @@ BATCH_PROFILES = """
 
 def batch_profiles(spark, d) -> DataFrame:
     m, logged = logged_matrix(spark, d)
-    return P.group_profiles(logged, m.cells, m.genes, ["target_gene", "batch"], "mean", min_cells=0)
+    return materialized(P.group_profiles(logged, m.cells, m.genes, ["target_gene", "batch"], "mean", min_cells=0), "profiles")
 
 
 @query("control_profile", f"""
@@ -166,7 +167,7 @@ FEATURES = """
 
 def fitted_deltas(spark, d) -> DataFrame:
     m, logged = logged_matrix(spark, d)
-    return R.training_deltas(P.label_moments(logged, m.cells, m.genes))
+    return R.training_deltas(materialized(P.label_moments(logged, m.cells, m.genes), "moments"))
 
 
 @query("backbone_features", f"""
@@ -222,7 +223,7 @@ def source_effects(spark, d) -> tuple[CountMatrix, DataFrame]:
     """Effects per source context, the held-out context left out."""
     m = T.count_matrix(spark, d)
     sources, _ = S.leave_one_context_out(m.cells, HELD_OUT)
-    pb = P.label_sums(CountMatrix(sources, m.genes, m.expr), by=("context", "target_gene"))
+    pb = P.label_sums(CountMatrix(sources, m.genes, m.expr), by=("context", "target_gene"), save=True)
     return m, FX.log2fc_with_var(pb, m.genes)
 
 

@@ -170,7 +170,7 @@ CPM_GRID = """
 @query("log2fc", f"WITH {MATRIX}, {CPM_GRID} SELECT target_gene, gene, round(fc, 6) + 0.0 AS log2fc FROM eff")
 def log2fc(spark, d):
     m = T.count_matrix(spark, d)
-    grid = P.mean_var_cpm(P.label_sums(m), m.genes)
+    grid = P.mean_var_cpm(P.label_sums(m, save=True), m.genes)
     ctrl = grid.filter(F.col("target_gene") == CONTROL).select("gene", F.col("mean_cpm").alias("m_c"))
     pert = grid.filter(F.col("target_gene") != CONTROL).join(ctrl, "gene")
     return pert.select("target_gene", "gene", r6(X.log2_fold_change(F.col("mean_cpm"), F.col("m_c"))).alias("log2fc"))
@@ -204,7 +204,7 @@ def shift_fraction(spark, d):
 
     m = T.count_matrix(spark, d)
     profile, _ = emit.context_profile(C.labelled(m), m.genes)
-    shifts = log2fc_with_var(P.label_sums(m), m.genes).withColumnRenamed("log2fc", "shift")
+    shifts = log2fc_with_var(P.label_sums(m, save=True), m.genes).withColumnRenamed("log2fc", "shift")
     return emit.shift_fraction(profile, shifts).select("context", "target_gene", "gene", r6("fraction").alias("fraction"))
 
 
@@ -224,7 +224,7 @@ def shrink_positive_part(spark, d):
     from pertmatrix.operators.effects import log2fc_with_var, shrink
 
     m = T.count_matrix(spark, d)
-    return shrink(log2fc_with_var(P.label_sums(m), m.genes)).select("target_gene", "gene", r6("log2fc").alias("log2fc"))
+    return shrink(log2fc_with_var(P.label_sums(m, save=True), m.genes)).select("target_gene", "gene", r6("log2fc").alias("log2fc"))
 
 
 @query("id_shape_match", """

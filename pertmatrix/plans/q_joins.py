@@ -8,6 +8,7 @@ from pertmatrix.matrix import CONTROL
 from pertmatrix.operators import axis, cells as C, contract as K, edges as E, effects as FX, manifest as M, predictors as R, profile as PR, pseudobulk as P
 from pertmatrix.plans.q_sources import CONTEXTS
 from pertmatrix.plans.registry import CELLS, GENES, MATRIX, MATRIX_LOG, query, r6
+from pertmatrix.session import materialized
 from pertmatrix.sources import testdata as T
 
 
@@ -107,7 +108,9 @@ GROUP_MEANS = """
 WITH {MATRIX_LOG}, {GROUP_MEANS} SELECT context, target_gene, gene, round(value - control, 6) + 0.0 AS delta FROM gmean JOIN gctrl USING (gene)""")
 def join_control_profile(spark, d):
     m = T.count_matrix(spark, d)
-    profiles = P.group_profiles(C.log_normalized(C.labelled(m)), m.cells, m.genes, ["context", "target_gene"], "mean", min_cells=0)
+    profiles = materialized(
+        P.group_profiles(C.log_normalized(C.labelled(m)), m.cells, m.genes, ["context", "target_gene"], "mean", min_cells=0), "profiles"
+    )
     return profiles.join(P.control_profile(profiles), "gene").select(
         "context", "target_gene", "gene", r6(F.col("value") - F.col("control")).alias("delta")
     )
@@ -124,7 +127,7 @@ LABEL_STATS = """
 @query("join_self_gene", f"WITH {MATRIX_LOG}, {LABEL_STATS} SELECT target_gene, round(delta, 6) + 0.0 AS delta FROM tdelta WHERE gene = target_gene")
 def join_self_gene(spark, d):
     m = T.count_matrix(spark, d)
-    deltas = R.training_deltas(P.label_moments(C.log_normalized(C.labelled(m)), m.cells, m.genes))
+    deltas = R.training_deltas(materialized(P.label_moments(C.log_normalized(C.labelled(m)), m.cells, m.genes), "moments"))
     return deltas.filter(F.col("gene") == F.col("target_gene")).select("target_gene", r6("delta").alias("delta"))
 
 

@@ -14,6 +14,7 @@ from pertmatrix.plans.q_cells import HELD_OUT, RUNG0B_SQL
 from pertmatrix.plans.q_joins import TARGETS, targets
 from pertmatrix.plans.q_sources import CONTEXTS, WILCOXON_SQL
 from pertmatrix.plans.registry import MATRIX, MATRIX_LOG, query, r6
+from pertmatrix.session import materialized
 from pertmatrix.sources import testdata as T
 
 Z = 1.0
@@ -128,9 +129,10 @@ SIDE_TESTS = """
     FROM sl p JOIN sh h ON h.side = p.side AND h.target_gene IN (p.target_gene, 'non-targeting') WHERE p.target_gene <> 'non-targeting' GROUP BY 1, 2, 3, 4),
   sr AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY side, target_gene, gene ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS mid FROM sp),
   sw AS (SELECT side, target_gene, gene, sum(kp * mid) AS w, sum(CAST(t AS DOUBLE) * t * t - t) AS ties FROM sr GROUP BY 1, 2, 3),
-  sz AS (SELECT w.side, w.target_gene, gene, (w.w - p.n * (p.n + 1) / 2.0 - CAST(p.n AS DOUBLE) * c.n / 2.0)
-           / sqrt(CAST(p.n AS DOUBLE) * c.n / 12.0 * ((p.n + c.n + 1) - ties / (CAST(p.n + c.n AS DOUBLE) * (p.n + c.n - 1)))) AS z
+  sv AS (SELECT w.side, w.target_gene, gene, w.w - p.n * (p.n + 1) / 2.0 - CAST(p.n AS DOUBLE) * c.n / 2.0 AS excess,
+           CAST(p.n AS DOUBLE) * c.n / 12.0 * ((p.n + c.n + 1) - ties / (CAST(p.n + c.n AS DOUBLE) * (p.n + c.n - 1))) AS spread
          FROM sw w JOIN sl p ON p.side = w.side AND p.target_gene = w.target_gene JOIN sl c ON c.side = w.side AND c.target_gene = 'non-targeting'),
+  sz AS (SELECT side, target_gene, gene, CASE WHEN spread > 0 THEN excess / sqrt(spread) ELSE 0 END AS z FROM sv),
   pr AS (SELECT target_gene, gene, p.z AS z_p, r.z AS z_r, abs(p.z) > 1 AS sig_p, abs(r.z) > 1 AS sig_r,
            row_number() OVER (PARTITION BY target_gene ORDER BY round(abs(p.z), 9) DESC, gene) AS rank_p,
            row_number() OVER (PARTITION BY target_gene ORDER BY round(abs(r.z), 9) DESC, gene) AS rank_r
@@ -144,7 +146,7 @@ def sided(m: CountMatrix) -> DataFrame:
 def significance(spark, d) -> DataFrame:
     m = T.count_matrix(spark, d)
     cells = sided(m)
-    tests = expression.wilcoxon(C.labelled(CountMatrix(cells, m.genes, m.expr)), cells, m.genes, by=["side"])
+    tests = materialized(expression.wilcoxon(C.labelled(CountMatrix(cells, m.genes, m.expr)), cells, m.genes, by=["side"]), "tests")
     return Q.significance_pairs(tests.filter("side = 'pred'"), tests.filter("side = 'real'"), Z)
 
 
@@ -192,7 +194,7 @@ FROM pr JOIN (SELECT * FROM fc WHERE side = 'pred') p USING (target_gene, gene)
 WHERE sig_r GROUP BY 1""")
 def metric_lfc_nmae(spark, d):
     m = T.count_matrix(spark, d)
-    pb = P.label_sums(CountMatrix(sided(m), m.genes, m.expr), by=("side", "target_gene"))
+    pb = P.label_sums(CountMatrix(sided(m), m.genes, m.expr), by=("side", "target_gene"), save=True)
     lfc = FX.log2fc_with_var(pb, m.genes)
     out = Q.fold_change_error(significance(spark, d), lfc.filter("side = 'pred'"), lfc.filter("side = 'real'"))
     return out.select("target_gene", r6("value").alias("value"))

@@ -1,4 +1,9 @@
-"""Writers. All of them write distributed, partitioned where readers prune."""
+"""Writers. All of them write distributed, partitioned where readers prune.
+
+Partitioned writes are rebalanced by their keys: adaptive execution splits the partition of a hot
+label over several tasks and joins those of small labels, so files are neither few and huge nor many
+and tiny.
+"""
 
 from __future__ import annotations
 
@@ -28,15 +33,10 @@ def read_pseudobulk(spark: SparkSession, path: str, by: tuple[str, ...] = ("targ
     return PseudobulkSums(spark.read.parquet(f"{path}/pb_gene"), spark.read.parquet(f"{path}/pb_label"), by)
 
 
-def _spread(df: DataFrame, keys: list[str], per_file: str) -> DataFrame:
-    """Cluster rows for a partitioned write without giving one hot value to a single task."""
-    return df.repartition(*keys, F.pmod(F.xxhash64(per_file), F.lit(64)))
-
-
 def write_subset(cells: DataFrame, entries: DataFrame, path: str) -> str:
     """Extracted cells with their entries, one folder per label."""
     out = cells.join(entries.select("cell_id", "gene", "value"), "cell_id", "left")
-    _spread(out, ["target_gene"], "cell_id").write.mode("errorifexists").partitionBy("target_gene").parquet(path)
+    out.hint("rebalance", "target_gene").write.mode("errorifexists").partitionBy("target_gene").parquet(path)
     return path
 
 
@@ -56,7 +56,7 @@ def write_prediction(contract: Contract, cells: DataFrame, entries: DataFrame, p
         F.coalesce("e.idx", F.array().cast("array<bigint>")).alias("idx"),
         F.coalesce("e.val", F.array().cast("array<float>")).alias("val"),
     )
-    _spread(rows, ["context", "target_gene"], "cell_id").write.mode("errorifexists").partitionBy("context", "target_gene").parquet(path)
+    rows.hint("rebalance", "context", "target_gene").write.mode("errorifexists").partitionBy("context", "target_gene").parquet(path)
     return path
 
 
