@@ -72,11 +72,12 @@ def scan_source_set(sources: Mapping[str, tuple[DataFrame, str]]) -> tuple[DataF
 
 
 def parse_source_specs(specs: Sequence[str], default_control: str = "control") -> list[tuple[str, str]]:
-    """'path:control_label' pairs; the part after the last colon is the label."""
+    """(path, control label) of 'path:control_label' texts; without a label the default applies."""
     out = []
     for spec in specs:
-        path, _, control = spec.rpartition(":")
-        out.append((path, control or default_control))
+        path, colon, control = spec.rpartition(":")
+        labelled = colon and "/" not in control  # a colon inside a URL is not a label
+        out.append((path, control or default_control) if labelled else (spec, default_control))
     return out
 
 
