@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 CONTROL = "non-targeting"
 
@@ -26,6 +26,26 @@ class CountMatrix:
     expr: DataFrame
 
 
+def _checked_axis(genes: DataFrame) -> Column:
+    """The axis as one array; longer ones are refused."""
+    axis = genes.agg(
+        F.when(F.count("*") <= MAX_AXIS, F.sort_array(F.collect_list(F.struct("gene_pos", "gene"))))
+        .otherwise(F.raise_error(F.lit(f"gene axis is longer than {MAX_AXIS}")))
+        .alias("axis")
+    )
+    return axis.scalar()
+
+
+def axis_lookup(genes: DataFrame) -> DataFrame:
+    """gene_pos, gene for joins with entries, marked for broadcast.
+
+    The rows come out of the checked array, so there are at most MAX_AXIS of them. Without the mark
+    Spark would see an aggregate of unknown size and shuffle all entries by gene, hot genes included.
+    """
+    one = genes.sparkSession.range(1, numPartitions=1)
+    return F.broadcast(one.select(F.inline(_checked_axis(genes))))
+
+
 def on_gene_axis(rows: DataFrame, genes: DataFrame) -> DataFrame:
     """One output row per (row, gene): the zero-filled grid every cross-label statistic needs.
 
@@ -34,19 +54,14 @@ def on_gene_axis(rows: DataFrame, genes: DataFrame) -> DataFrame:
     shuffle partitions, because the grid is thousands of times larger than they are.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    axis = genes.agg(
-        F.when(F.count("*") <= MAX_AXIS, F.sort_array(F.collect_list(F.struct("gene_pos", "gene"))))
-        .otherwise(F.raise_error(F.lit(f"gene axis is longer than {MAX_AXIS}")))
-        .alias("axis")
-    )
-    return rows.repartition(parts, *rows.columns).select("*", F.inline(axis.scalar()))
+    return rows.repartition(parts, *rows.columns).select("*", F.inline(_checked_axis(genes)))
 
 
 def pack_rows(matrix: CountMatrix) -> DataFrame:
     """Triples to one sparse row per nonempty cell: cell_id, idx array<bigint>, val array<double>."""
     entry = F.sort_array(F.collect_list(F.struct("gene_pos", "value")))
     return (
-        matrix.expr.join(matrix.genes.select("gene", "gene_pos"), "gene")
+        matrix.expr.join(axis_lookup(matrix.genes), "gene")
         .groupBy("cell_id")
         .agg(entry.alias("e"))
         .select("cell_id", F.col("e.gene_pos").alias("idx"), F.col("e.value").alias("val"))

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pertmatrix.session import materialized
+
 # Column names that may carry an id space, in order of preference.
 ID_ALIASES = {
     "ensembl_gene_id": ("ensembl_gene_id", "ensembl_id", "ensembl", "gene_id", "gene_ids"),
@@ -51,10 +53,14 @@ def resolve_id_column(genes: DataFrame, id_type: str, *, min_valid: float = 0.9,
 
 
 def gene_index(axis: DataFrame, id_col: str) -> DataFrame:
-    """gene_id, gene_pos, n_seen: an id listed twice keeps its first position."""
-    return axis.groupBy(F.col(id_col).cast("string").alias("gene_id")).agg(
+    """gene_id, gene_pos, n_seen: an id listed twice keeps its first position.
+
+    Written once: joins then know its true size, and Spark broadcasts it only if that is small.
+    """
+    index = axis.groupBy(F.col(id_col).cast("string").alias("gene_id")).agg(
         F.min("gene_pos").alias("gene_pos"), F.count("*").alias("n_seen")
     )
+    return materialized(index, "gene-index")
 
 
 def to_positions(ids: DataFrame, index: DataFrame, id_col: str) -> DataFrame:
@@ -63,9 +69,15 @@ def to_positions(ids: DataFrame, index: DataFrame, id_col: str) -> DataFrame:
 
 
 def coverage(ids: DataFrame, index: DataFrame, id_col: str, by: Sequence[str] = ()) -> DataFrame:
-    """by..., n_ids, n_known, coverage; every occurrence counts. Empty input has coverage 0."""
-    known = index.select(F.col("gene_id").alias(id_col), F.lit(1).alias("_known"))
-    counted = ids.join(known, id_col, "left").groupBy(*by).agg(F.count("*").alias("n_ids"), F.count("_known").alias("n_known"))
+    """by..., n_ids, n_known, coverage; every occurrence counts. Empty input has coverage 0.
+
+    Occurrences are counted per id before the join, so a frequent id is one row there.
+    """
+    known = index.select(F.col("gene_id").alias(id_col), F.lit(True).alias("_known"))
+    seen = ids.groupBy(*by, id_col).agg(F.count("*").alias("_n")).join(known, id_col, "left")
+    counted = seen.groupBy(*by).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_ids"), F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("n_known")
+    )
     return counted.withColumn("coverage", F.when(F.col("n_ids") > 0, F.col("n_known") / F.col("n_ids")).otherwise(F.lit(0.0)))
 
 

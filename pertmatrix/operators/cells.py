@@ -150,12 +150,20 @@ def filter_labels(
 ) -> DataFrame:
     """Cells whose label is in ``keep`` and not in ``skip`` (one-column label tables)."""
     if keep is not None:
-        cells = cells.join(keep.select(F.col(keep.columns[0]).alias(label)), label, "left_semi")
+        cells = cells.join(label_list(keep, label), label, "left_semi")
     if skip is not None:
-        cells = cells.join(skip.select(F.col(skip.columns[0]).alias(label)), label, "left_anti")
+        cells = cells.join(label_list(skip, label), label, "left_anti")
     return cells
 
 
+def label_list(labels: DataFrame, label: str = "target_gene") -> DataFrame:
+    """The distinct labels of a one-column table, written once.
+
+    With its true size known, Spark can broadcast the list instead of shuffling all cells by label.
+    """
+    return materialized(labels.select(F.col(labels.columns[0]).alias(label)).distinct(), "label-list")
+
+
 def cap_row_total(entries: DataFrame, cap: float, keys: list[str]) -> DataFrame:
     """Rows of a cell whose total is over the cap become floor(value * cap / total); zeros drop."""
     total = F.sum("value").over(W.partitionBy(*keys))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pertmatrix.functions.columns import finite_or_zero
-from pertmatrix.matrix import CONTROL
+from pertmatrix.matrix import CONTROL, axis_lookup
 
 
 class ContractError(ValueError):
@@ -82,7 +82,7 @@ def value_violations(c: Contract, cells: DataFrame, entries: DataFrame) -> DataF
     rules = totals.columns
     pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").cast("bigint").alias("n")) for r in rules])
     in_values = totals.select(F.inline(pairs)).filter("n > 0")
-    strange = stored.join(c.genes.select("gene"), "gene", "left_anti")
+    strange = stored.join(axis_lookup(c.genes), "gene", "left_anti")
     return _all([
         in_values,
         _broken(strange, "gene not on the axis", F.count("*")),

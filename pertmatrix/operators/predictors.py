@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pertmatrix.functions.columns import shift_clip_floor
-from pertmatrix.matrix import CONTROL, on_gene_axis
+from pertmatrix.matrix import CONTROL, axis_lookup, on_gene_axis
 from pertmatrix.operators.sampling import CHUNK, draw_with_replacement, index_pool
 
 
@@ -102,7 +102,7 @@ def predict_cells(
     pool_cells = cells.filter(is_ctrl).select("cell_id")
     entry = F.collect_list(F.struct("gene_pos", "value"))
     packed = (
-        entries.filter(is_ctrl).join(genes.select("gene", "gene_pos"), "gene").groupBy("cell_id").agg(entry.alias("stored"))
+        entries.filter(is_ctrl).join(axis_lookup(genes), "gene").groupBy("cell_id").agg(entry.alias("stored"))
     )
     pool = index_pool(pool_cells, [], seed).join(packed, "cell_id", "left").select(
         "pool_idx", F.coalesce("stored", F.array().cast("array<struct<gene_pos:bigint,value:double>>")).alias("stored")
@@ -143,6 +143,6 @@ def predict_cells(
     return (
         drawn.select("target_gene", "cell_no", F.inline(F.concat(moved, raised)))
         .filter("value > 0")
-        .join(genes.select("gene_pos", "gene"), "gene_pos")
+        .join(axis_lookup(genes), "gene_pos")
         .select("target_gene", "cell_no", "gene_pos", "gene", "value")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL
+from pertmatrix.operators.cells import filter_labels
 from pertmatrix.operators.ranking import shuffled_row_number
 from pertmatrix.session import materialized
 
@@ -27,8 +28,7 @@ def cap_per_label(
     None means no cap. ``keep`` is a one-column label table; the control is always kept.
     """
     if keep is not None:
-        wanted = keep.select(F.col(keep.columns[0]).alias(label))
-        chosen = cells.filter(F.col(label) != control).join(wanted, label, "left_semi")
+        chosen = filter_labels(cells.filter(F.col(label) != control), keep, label=label)
         cells = chosen.unionByName(cells.filter(F.col(label) == control))
     unlimited = F.lit(2**62)
     cap_l = unlimited if max_per_label is None else F.lit(max_per_label)

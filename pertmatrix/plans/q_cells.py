@@ -9,6 +9,7 @@ from pertmatrix.matrix import CONTROL, CountMatrix
 from pertmatrix.operators import axis, cells as C, emit, manifest as M, predictors as R, pseudobulk as P, sampling as S
 from pertmatrix.plans.q_sources import CAP_SQL, CONTEXTS, HOLDOUT_SQL, LICENSE_SQL, PROFILE_SQL, host_responses
 from pertmatrix.plans.registry import CELLS, EXPR, LIB, MATRIX, MATRIX_LOG, query, r6
+from pertmatrix.session import materialized
 from pertmatrix.sources import scans, testdata as T
 
 HELD_OUT = CONTEXTS[0]
@@ -191,6 +192,7 @@ def shift_clip_floor(spark, d):
     m = T.count_matrix(spark, d)
     logged = C.log_normalized(C.labelled(m))
     delta = R.mean_perturbation_delta(P.label_moments(logged, m.cells, m.genes)).select("gene", (F.col("delta") * 20).alias("delta"))
+    delta = materialized(delta, "delta")
     shifted = logged.filter(F.col("target_gene") == CONTROL).join(delta, "gene").withColumn("floor", R.assay_floor(logged).scalar())
     return shifted.select("cell_id", "gene", r6(X.shift_clip_floor(F.col("value"), F.col("delta"), F.col("floor"))).alias("value"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pertmatrix.matrix import CountMatrix
+from pertmatrix.matrix import CountMatrix, axis_lookup
 from pertmatrix.operators.contract import (
     Contract, completeness_violations, contract_violations, require_none, value_violations,
 )
@@ -47,7 +47,7 @@ def write_prediction(contract: Contract, cells: DataFrame, entries: DataFrame, p
     """
     require_none(contract_violations(contract))
     require_none(value_violations(contract, cells, entries).unionByName(completeness_violations(contract, cells)))
-    axis = contract.genes.select("gene", F.col("gene_pos").alias("idx"))
+    axis = axis_lookup(contract.genes).withColumnRenamed("gene_pos", "idx")
     stored = entries.filter("value != 0").join(axis, "gene").groupBy("cell_id").agg(
         F.sort_array(F.collect_list(F.struct("idx", F.col("value").cast("float").alias("val")))).alias("e")
     )
