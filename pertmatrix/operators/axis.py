@@ -47,7 +47,7 @@ def resolve_id_column(genes: DataFrame, id_type: str, *, min_valid: float = 0.9,
     best = best_candidate(id_candidates(genes, id_type, index_col)).first()
     if best.valid_fraction < min_valid:
         raise ValueError(
-            f"no column carries {id_type!r}: best is {best.candidate!r} with {best.valid_fraction:.1%} valid; columns: {genes.columns}"
+            f"{id_type}: {best.candidate!r} comes closest with {best.valid_fraction:.1%} of its values in shape; columns: {genes.columns}"
         )
     return best.candidate
 
@@ -93,7 +93,7 @@ def require_coverage(ids: DataFrame, index: DataFrame, id_col: str, source: str,
     """The covered fraction; raises when it counts as an error."""
     row = coverage_verdict(coverage(ids, index, id_col), **limits).first()
     if row.verdict == "error":
-        raise ValueError(f"{source}: {row.coverage:.1%} of the ids are in the gene space; this looks like another id space")
+        raise ValueError(f"{source}: {row.n_known} of {row.n_ids} ids are known; these ids are of another kind")
     return row.coverage
 
 

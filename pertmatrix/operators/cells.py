@@ -128,10 +128,7 @@ def control_cells(cells: DataFrame, control: str = CONTROL, label: str = "target
     found = cells.filter(F.col(label) == control)
     if found.isEmpty():
         near = [r[0] for r in near_control_labels(cells, control, label).collect()]
-        raise ValueError(
-            f"no cells match control label {control!r} exactly"
-            + (f"; labels containing it as a substring: {near}" if near else "")
-        )
+        raise ValueError(f"control label {control!r} is on no cell; matching is exact" + (f". Similar labels: {near}" if near else ""))
     return found
 
 

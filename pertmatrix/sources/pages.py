@@ -71,5 +71,5 @@ def require_boards(pages: DataFrame, id_col: str = "page_id", html: str = "html"
     boards = board_entries(pages, id_col, html)
     bare = pages_without_boards(pages, boards, id_col).limit(1).collect()
     if bare:
-        raise ValueError(f"no leaderboard arrays found in page {bare[0][0]}; did the payload change?")
+        raise ValueError(f"page {bare[0][0]} has no board in its payload")
     return boards

@@ -20,9 +20,9 @@ def labels(spark, values):
 def test_controls_match_exactly(spark):
     df = labels(spark, ["INTS1", "DOT1L_INTS1", "control", "control"])
     assert C.control_cells(df, "control").count() == 2
-    with pytest.raises(ValueError, match="substring.*INTS1"):
+    with pytest.raises(ValueError, match="Similar labels.*INTS1"):
         C.control_cells(df, "INTS")
-    with pytest.raises(ValueError, match="no cells match"):
+    with pytest.raises(ValueError, match="on no cell"):
         C.control_cells(df, "Control")
 
 
@@ -54,7 +54,7 @@ def test_id_column_is_found_by_shape(spark):
     genes = spark.createDataFrame([(i, f"S{i}", f"S{i}", f"ENSG{i:011d}") for i in range(10)], "gene_pos bigint, gene string, gene_id string, ensembl string")
     assert axis.resolve_id_column(genes, "ensembl_gene_id") == "ensembl"
     assert axis.resolve_id_column(genes, "hgnc_symbol") == "gene"
-    with pytest.raises(ValueError, match="no column carries"):
+    with pytest.raises(ValueError, match="comes closest"):
         axis.resolve_id_column(genes.drop("ensembl"), "ensembl_gene_id")
     with pytest.raises(ValueError, match="unknown id type"):
         axis.resolve_id_column(genes, "entrez")
@@ -66,7 +66,7 @@ def test_first_duplicate_and_coverage(spark):
     assert {r.gene_id: (r.gene_pos, r.n_seen) for r in index.collect()} == {"a": (0, 2), "b": (1, 1)}
     ids = lambda *v: spark.createDataFrame([(x,) for x in v], "id string")
     assert axis.require_coverage(ids("a", "a", "z"), index, "id", "src") == pytest.approx(2 / 3)
-    with pytest.raises(ValueError, match="another id space"):
+    with pytest.raises(ValueError, match="another kind"):
         axis.require_coverage(ids("x", "y"), index, "id", "src")
     assert axis.coverage(ids(), index, "id").first().coverage == 0.0
 
@@ -210,7 +210,7 @@ def test_boards_are_read_from_the_page(spark):
 
 def test_a_page_without_boards_is_an_error(spark):
     df = spark.createDataFrame([("p", "<html>Loading...</html>")], "page_id string, html string")
-    with pytest.raises(ValueError, match="no leaderboard arrays"):
+    with pytest.raises(ValueError, match="has no board"):
         PG.require_boards(df)
 
 
