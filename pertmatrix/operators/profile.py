@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pertmatrix.functions.columns import is_whole
 from pertmatrix.matrix import CONTROL, CountMatrix
-from pertmatrix.operators.cells import cell_libsize
+from pertmatrix.operators.axis import coverage
+from pertmatrix.operators.cells import cell_libsize, counts_state
 from pertmatrix.operators.sampling import count_labels
 
 MIN_CELL_STEPS = (10, 30, 50, 100)
@@ -79,9 +80,6 @@ def subset_report(cells: DataFrame, genes: DataFrame) -> DataFrame:
 
 def qc_report(matrix: CountMatrix, known_genes: DataFrame, id_col: str, control: str = CONTROL) -> DataFrame:
     """One row of admission facts: sizes, counts state, empty cells, id coverage."""
-    from pertmatrix.operators.axis import coverage
-    from pertmatrix.operators.cells import counts_state
-
     labels = count_labels(matrix.cells)
     is_ctrl = F.col("target_gene") == control
     row = labels.agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pertmatrix.functions import columns as X
 from pertmatrix.matrix import CONTROL, CountMatrix
-from pertmatrix.operators import axis, cells as C, emit, manifest as M, predictors as R, pseudobulk as P, sampling as S
+from pertmatrix.operators import axis, cells as C, effects as FX, emit, manifest as M, predictors as R, pseudobulk as P, sampling as S
 from pertmatrix.plans.q_sources import CAP_SQL, CONTEXTS, HOLDOUT_SQL, LICENSE_SQL, PROFILE_SQL, host_responses
 from pertmatrix.plans.registry import CELLS, EXPR, LIB, MATRIX, MATRIX_LOG, query, r6
 from pertmatrix.session import materialized
@@ -202,11 +202,9 @@ WITH {MATRIX}, {PROFILE_SQL}, {CPM_GRID},
   moved AS (SELECT context, target_gene, gene, fraction * power(2, fc) AS x FROM prof JOIN eff USING (gene))
 SELECT context, target_gene, gene, round(x / sum(x) OVER (PARTITION BY context, target_gene), 6) + 0.0 AS fraction FROM moved""")
 def shift_fraction(spark, d):
-    from pertmatrix.operators.effects import log2fc_with_var
-
     m = T.count_matrix(spark, d)
     profile, _ = emit.context_profile(C.labelled(m), m.genes)
-    shifts = log2fc_with_var(P.label_sums(m, save=True), m.genes).withColumnRenamed("log2fc", "shift")
+    shifts = FX.log2fc_with_var(P.label_sums(m, save=True), m.genes).withColumnRenamed("log2fc", "shift")
     return emit.shift_fraction(profile, shifts).select("context", "target_gene", "gene", r6("fraction").alias("fraction"))
 
 
@@ -223,10 +221,8 @@ SHRUNK = "CASE WHEN fc = 0 THEN 0 ELSE fc * greatest(0, least(1, 1 - var / great
 
 @query("shrink_positive_part", f"WITH {MATRIX}, {CPM_GRID} SELECT target_gene, gene, round({SHRUNK}, 6) + 0.0 AS log2fc FROM eff")
 def shrink_positive_part(spark, d):
-    from pertmatrix.operators.effects import log2fc_with_var, shrink
-
     m = T.count_matrix(spark, d)
-    return shrink(log2fc_with_var(P.label_sums(m, save=True), m.genes)).select("target_gene", "gene", r6("log2fc").alias("log2fc"))
+    return FX.shrink(FX.log2fc_with_var(P.label_sums(m, save=True), m.genes)).select("target_gene", "gene", r6("log2fc").alias("log2fc"))
 
 
 @query("id_shape_match", """

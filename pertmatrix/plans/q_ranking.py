@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pertmatrix.functions.hashing import seed_hash
 from pertmatrix.matrix import CONTROL
-from pertmatrix.operators import axis, cells as C, contract as K, emit, manifest as M, predictors as R, profile as PR, pseudobulk as P, ranking, sampling as S
+from pertmatrix.operators import axis, cells as C, contract as K, effects as FX, emit, manifest as M, predictors as R, profile as PR, pseudobulk as P, ranking, sampling as S
 from pertmatrix.plans.q_aggregates import POOLED, SOURCE_EFFECTS, logged_matrix, source_effects
 from pertmatrix.plans.q_cells import DRAW_SQL, HELD_OUT, RUNG0B_SQL
 from pertmatrix.plans.q_joins import CANDIDATES, PART_AXIS, TARGETS, part_axis, targets
@@ -19,8 +20,6 @@ from pertmatrix.sources import pages as PG, scans, testdata as T
 
 @query("rank_cap", f"WITH {CELLS}, {CAP_SQL} SELECT cell_id, target_gene, k AS rank FROM ranked")
 def rank_cap(spark, d):
-    from pertmatrix.functions.hashing import seed_hash
-
     cells = T.cells(spark, d)
     return ranking.shuffled_row_number(cells, ["target_gene"], seed_hash(1, "target_gene", "cell_id"), "cell_id").select("cell_id", "target_gene", "rank")
 
@@ -75,9 +74,7 @@ def shifted_totals(spark, d) -> DataFrame:
     """As many cells as the real data hold for every (context, label), shifted by pooled effects."""
     m, effects = source_effects(spark, d)
     requests = m.cells.filter(F.col("target_gene") != CONTROL).groupBy("context", "target_gene").agg(F.count("*").alias("n"))
-    from pertmatrix.operators.effects import pooled_for_targets
-
-    shifts = pooled_for_targets(requests.select("target_gene"), effects, m.genes).withColumnRenamed("pooled", "shift")
+    shifts = FX.pooled_for_targets(requests.select("target_gene"), effects, m.genes).withColumnRenamed("pooled", "shift")
     profile, libsizes = emit.context_profile(C.labelled(m), m.genes)
     return emit.even_totals(emit.shift_fraction(profile, shifts), emit.median_depth(libsizes), requests)
 

@@ -58,9 +58,16 @@ def _run(stream: DataFrame, mode: str, each: Callable[[DataFrame, int], None], c
 
 
 def run_running_sums(rows: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process what has arrived; the complete sums replace the table at ``out`` after each batch."""
-    _run(sums(packed_entries(rows)), "complete", lambda df, _: df.write.mode("overwrite").parquet(out), checkpoint)
-    return rows.sparkSession.read.parquet(out)
+    """Process what has arrived. Each batch writes the complete sums as a new version; the last one counts.
+
+    A reader never meets a half-replaced table, and a batch that runs again replaces only its own version.
+    """
+    def write(df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+
+    _run(sums(packed_entries(rows)), "complete", write, checkpoint)
+    versions = rows.sparkSession.read.parquet(out)
+    return versions.filter(F.col("version") == versions.agg(F.max("version")).scalar()).drop("version")
 
 
 def run_folded_sums(rows: DataFrame, out: str, checkpoint: str) -> DataFrame:
