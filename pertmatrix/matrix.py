@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pertmatrix.session import spread_width
+
 CONTROL = "non-targeting"
 
 # The gene axis travels as one array (a scalar subquery), so its size is checked.
@@ -53,7 +55,7 @@ def on_gene_axis(rows: DataFrame, genes: DataFrame) -> DataFrame:
     explodes in place, so the grid needs no join. The few label rows are first spread over all
     shuffle partitions, because the grid is thousands of times larger than they are.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = spread_width(rows.sparkSession)
     return rows.repartition(parts, *rows.columns).select("*", F.inline(_checked_axis(genes)))
 
 

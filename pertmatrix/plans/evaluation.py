@@ -7,7 +7,7 @@ contexts are held out and however many models are scored.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -126,6 +126,15 @@ def delta_scores(pair: Scored, by: Sequence[str] = ("context",)) -> DataFrame:
     return errors.unionByName(ranks.select(*keys, F.concat(F.lit("pds_"), "kind").alias("metric"), F.col("score").alias("value")))
 
 
+def score_arms(arms: Mapping[str, Scored]) -> DataFrame:
+    """arm, context, metric, value: mean scores of several predictions, scored together in one pass."""
+    def all_of(side: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [getattr(pair, side).withColumn("arm", F.lit(name)) for name, pair in arms.items()])
+
+    by = ["arm", "context"]
+    return materialized(Q.metric_means(delta_scores(Scored(all_of("pred"), all_of("real")), by), by), "arm-scores")
+
+
 def ladder(c: ContextSums, held_out: str, contexts: Sequence[str]) -> Scored:
     """Rungs 0, 0b and 1 fitted on all other contexts and set against the held-out one; the model is in ``context``."""
     held = F.col("context") == held_out

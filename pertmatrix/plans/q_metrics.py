@@ -274,11 +274,14 @@ ANCHORS = ",\n".join([
 
 
 def anchored(spark, d) -> DataFrame:
-    c = sums_of(spark, d)
+    m, logged = logged_matrix(spark, d)
+    c = EV.context_sums(logged, m.cells, m.genes)
     pair = EV.hold_out_each_context(c, CONTEXTS)
-    user = Q.metric_means(EV.delta_scores(pair), ["context"])
-    base = Q.metric_means(EV.delta_scores(EV.generic_response(c, pair.real)), ["context"])
-    top = replicate_means(spark, d).groupBy("metric").agg(F.avg("value").alias("value"))
+    means = EV.score_arms({
+        "user": pair, "base": EV.generic_response(c, pair.real), "replicate": EV.replicate_halves(logged, m.cells, c.genes),
+    })
+    user, base, top = (means.filter(F.col("arm") == arm).drop("arm") for arm in ("user", "base", "replicate"))
+    top = top.groupBy("metric").agg(F.avg("value").alias("value"))
     return Q.scale_to_anchors(user, base, user.select("context", "metric").join(top, "metric"), ["context"])
 
 

@@ -15,6 +15,9 @@ BATCH = f"""WITH {MATRIX}, {PB_SQL}
 SELECT target_gene, gene_pos, count_sum, round(cpm_sum / 1e6, 6) + 0.0 AS cpm_sum, round(cpm_sq_sum / 1e12, 6) + 0.0 AS cpm_sq_sum FROM pb JOIN genes USING (gene)"""
 
 
+FILES = 2  # per micro-batch: four files make two batches
+
+
 def packed(spark: SparkSession, d: str) -> DataFrame:
     """One sparse row per nonempty cell, with its label and batch."""
     m = T.count_matrix(spark, d)
@@ -34,13 +37,13 @@ def shown(sums: DataFrame) -> DataFrame:
 
 @query("stream_pb_sums", BATCH)
 def stream_pb_sums(spark, d):
-    rows = I.read_packed(spark, arrived(packed(spark, d), "stream-in"))
+    rows = I.read_packed(spark, arrived(packed(spark, d), "stream-in"), FILES)
     return shown(I.run_running_sums(rows, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")))
 
 
 @query("stream_pb_merge", BATCH)
 def stream_pb_merge(spark, d):
-    rows = I.read_packed(spark, arrived(packed(spark, d), "stream-in"))
+    rows = I.read_packed(spark, arrived(packed(spark, d), "stream-in"), FILES)
     return shown(I.run_folded_sums(rows, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")))
 
 
@@ -50,12 +53,12 @@ def stream_control_once(spark, d):
     rows = packed(spark, d)
     control, finished = F.col("target_gene") == "non-targeting", F.col("batch") == "F"
     both = rows.filter(control | finished).unionByName(rows.filter(control | ~finished))
-    stream = I.control_once(I.read_packed(spark, arrived(both, "stream-in")))
+    stream = I.control_once(I.read_packed(spark, arrived(both, "stream-in"), FILES))
     return shown(I.run_running_sums(stream, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")))
 
 
 @query("stream_filter_static_keep", BATCH + " WHERE target_gene IN (SELECT 'Brand#' || c_nationkey FROM customer)")
 def stream_filter_static_keep(spark, d):
     keep = T.table(spark, d, "customer").select(F.concat(F.lit("Brand#"), F.col("c_nationkey").cast("string"))).distinct()
-    stream = I.keep_labels(I.read_packed(spark, arrived(packed(spark, d), "stream-in")), keep)
+    stream = I.keep_labels(I.read_packed(spark, arrived(packed(spark, d), "stream-in"), FILES), keep)
     return shown(I.run_running_sums(stream, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state")))

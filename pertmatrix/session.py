@@ -48,3 +48,10 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_width(spark: SparkSession) -> int:
+    """How many tasks a small table that is about to grow is spread over."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    local = spark.sparkContext.master.startswith("local")
+    return min(parts, spark.sparkContext.defaultParallelism) if local else parts
