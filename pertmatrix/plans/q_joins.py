@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from pertmatrix.matrix import CONTROL
 from pertmatrix.operators import axis, cells as C, contract as K, edges as E, effects as FX, manifest as M, predictors as R, profile as PR, pseudobulk as P
 from pertmatrix.plans.q_sources import CONTEXTS
-from pertmatrix.plans.registry import CELLS, GENES, MATRIX, MATRIX_LOG, query, r6
+from pertmatrix.plans.registry import CELLS, GENES, MATRIX_LOG, query, r6
 from pertmatrix.session import materialized
 from pertmatrix.sources import testdata as T
 

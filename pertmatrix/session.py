@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -24,6 +25,12 @@ def local_session(cpus: int | str = "*", app: str = "pertmatrix") -> SparkSessio
     )
 
 
+@functools.cache
+def _local_root() -> str:
+    """One folder per process, for tests without spark.checkpoint.dir."""
+    return tempfile.mkdtemp(prefix="pertmatrix-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -34,8 +41,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="pertmatrix-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/pertmatrix/{name}-{uuid.uuid4().hex}"
 
 
