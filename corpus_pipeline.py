@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their secrets replaced; n_chars follows the text."""
-    found = secrets.scan(docs, secrets.train_on(docs), column="_findings")
+    found = secrets.scan(docs, column="_findings")
     clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("_findings")))
     return clean.withColumn("n_chars", F.when(F.exists("_findings", lambda x: x["secret"]), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

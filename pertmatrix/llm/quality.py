@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pertmatrix.llm.common import BLANKS, let, words
+from pertmatrix.session import materialized
 
 #: Fixed by the contract: symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -152,19 +153,22 @@ def fit_votes(voted: DataFrame, names: list[str], rounds: int = 200, close: floa
     return VoteModel(prior, dict(zip(names, accuracy)), done)
 
 
-def judge_quality(docs: DataFrame, text_col: str = "text", least: float = 0.5, prefix: str = "_q_") -> DataFrame:
-    """``docs`` with its own columns first, then with ``prefix``: the base counts, base_failed, posterior and kept.
+def judge_quality(docs: DataFrame, text_col: str = "text", least: float = 0.5, prefix: str = "_q_", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all without it), then with ``prefix``: base counts, votes, base_failed, posterior, kept.
 
     A document is kept if the base rules pass and the posterior is at least ``least``. Null and empty texts
     fail the base rules. The model is fitted on the votes on all rows, repeated ones included; equal texts get
-    equal verdicts. Columns of ``docs`` that begin with ``prefix`` are not allowed.
+    equal verdicts. Texts are looked at once: counts and votes are written with the carried columns, and the
+    model and the verdicts come from there. Columns of ``docs`` that begin with ``prefix`` are not allowed.
     """
     if clash := [c for c in docs.columns if c.startswith(prefix)]:
         raise ValueError(f"columns {clash} begin with the prefix {prefix!r}; choose another prefix")
     votes = default_votes(text_col, prefix)
     names = {k: f"{prefix}vote_{k}" for k in votes}
-    judged = with_base(docs, text_col, prefix).withColumns({names[k]: v for k, v in votes.items()})
+    counted = with_base(docs, text_col, prefix).withColumns({names[k]: v for k, v in votes.items()}).drop(f"{prefix}words")
+    own = [c for c in counted.columns if c.startswith(prefix)]
+    judged = materialized(counted.select(*(docs.columns if carry is None else carry), *own), "quality-votes")
     model = fit_votes(judged.select(*names.values()), list(names.values()))
     posterior = model.posterior({c: F.col(c) for c in names.values()})
     kept = ~F.col(f"{prefix}base_failed") & (F.col(f"{prefix}posterior") >= least)
-    return judged.withColumn(f"{prefix}posterior", posterior).withColumn(f"{prefix}kept", kept).drop(f"{prefix}words")
+    return judged.withColumn(f"{prefix}posterior", posterior).withColumn(f"{prefix}kept", kept)

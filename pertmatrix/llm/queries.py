@@ -61,8 +61,7 @@ def op2(spark, sf_dir):
 @query("op3_secret_scan")
 def op3(spark, sf_dir):
     """Per document: its candidates, the secrets among them, and the digest of these, sorted, one a line."""
-    docs = table(spark, sf_dir, "documents")
-    found = secrets.scan(docs.select("doc_id", "text"), secrets.train_on(docs))
+    found = secrets.scan(table(spark, sf_dir, "documents"), carry=["doc_id"])
     kept = F.array_sort(F.transform(F.filter("findings", lambda x: x["secret"]), lambda x: x["value"]))
     return found.select(
         "doc_id", F.size("findings").cast("bigint").alias("n_candidates"), F.size(kept).cast("bigint").alias("n_secrets"),
@@ -126,7 +125,7 @@ def op6(spark, sf_dir):
 
 @query("op7_quality_rules")
 def op7(spark, sf_dir):
-    judged = quality.judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge_quality(table(spark, sf_dir, "documents"), carry=["doc_id"])
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in base], F.round("_q_posterior", 6).alias("posterior"))
 

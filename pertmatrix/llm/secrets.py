@@ -158,21 +158,24 @@ def fit_forest(labelled: DataFrame, sample: int = 20_000, trees: int = 15, depth
     return Forest(_parse(model.toDebugString))
 
 
-def train_on(docs: DataFrame, text_col: str = "text", **fit) -> Forest | None:
-    """A forest from the candidates of ``docs`` that ``label_findings`` settles."""
-    found = docs.select(F.explode(candidates(F.col(text_col))).alias("c")).select("c.*")
-    return fit_forest(label_findings(found), **fit)
-
-
-def scan(docs: DataFrame, forest: Forest | None, text_col: str = "text", least: float = 0.5, column: str = "findings") -> DataFrame:
-    """``docs`` with ``column``: array<struct<place, value, probability, secret>> of each row's candidates.
-
-    A candidate is a secret if at least the share ``least`` of the trees says so; without a forest (no labelled
-    findings of both kinds) nothing but the fixed formats is. Null and empty texts have no candidates. Rows
-    and other columns stay as they are; ``column`` must not be one of them.
+def scan(
+    docs: DataFrame, forest: Forest | None = None, text_col: str = "text", least: float = 0.5, column: str = "findings", carry: list[str] | None = None, **fit
+) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all without it) and ``column``: each row's findings.
+
+    A finding is a candidate as struct<place, value, probability, secret>. Without a ``forest``, one is fitted
+    on the candidates of ``docs`` that ``label_findings`` settles, with ``fit`` for ``fit_forest``. A candidate is a
+    secret if at least the share ``least`` of the trees says so; where there are no labelled findings of both
+    kinds there is no forest, and just the fixed formats are secrets. Null and empty texts have no candidates.
+    All rows stay as they are; ``column`` must not be one of theirs. Texts are searched once: candidates are
+    written with the carried columns, and the forest and the verdicts come from there.
     """
     if column in docs.columns:
         raise ValueError(f"there is a column {column!r}; choose another name")
+    kept = docs.columns if carry is None else carry
+    found = materialized(docs.select(*kept, candidates(F.col(text_col)).alias(column)), "secret-candidates")
+    if forest is None:
+        forest = fit_forest(label_findings(found.select(F.explode(column).alias("c")).select("c.*")), **fit)
 
     def judged(c: Column) -> Column:
         if forest is None:
@@ -181,8 +184,10 @@ def scan(docs: DataFrame, forest: Forest | None, text_col: str = "text", least:
             p = forest.probability(c["features"])
         return F.struct(c["place"].alias("place"), c["value"].alias("value"), p.alias("probability"))
 
-    found = F.transform(candidates(F.col(text_col)), judged)
-    return docs.withColumn(column, F.transform(found, lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value"), x["probability"].alias("probability"), (x["probability"] >= least).alias("secret"))))
+    with_p = F.transform(F.col(column), judged)
+    return found.withColumn(
+        column, F.transform(with_p, lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value"), x["probability"].alias("probability"), (x["probability"] >= least).alias("secret")))
+    )
 
 
 def redacted(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
