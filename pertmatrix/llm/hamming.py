@@ -90,7 +90,8 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
         distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code")))
         # The first segment with the fewest differing bits is the one that finds the pair first.
         earliest = F.array_position(F.array(*differing), F.array_min(F.array(*differing))) - 1
-        near = probes.alias("p").join(
+        # the size of what Python makes is not known to the planner, so it must not choose to broadcast it
+        near = probes.alias("p").hint("merge").join(
             index.alias("i"),
             (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("bound")) & (earliest == F.col("p.segment")) & (F.array_min(F.array(*differing)) == radius),
         ).select("query", "code", distance.alias("distance"), "first_id", "n_ids")
