@@ -8,9 +8,10 @@ is signed in both layouts, so two sets that can be linked always share one.
 
 Registers are banded by six. In a band's bucket no pairs are made: the most central member (the one with most
 bucket mates) is the pivot all others are held against; registers give a collision-corrected estimate, and what
-passes is confirmed on full sets. Buckets that lie in one component by then are done. For the others, members
-that share too few shingles with all the rest are set aside, and further pivots, four times as many each round,
-are held against the members of other components until no pair is left.
+passes is confirmed on full sets. Buckets that lie in one component by then are done. In large ones that do not,
+sets that share a rare shingle are held together, and counts of common shingles rule out most other pairs. Then
+further pivots, four times as many each round, are held against the members of other components that are still
+possible, until no pair is left.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ MANTISSA = 4
 COLLISION = 0.72 * 0.25 / (1 << MANTISSA)
 #: Standard deviations below the threshold up to which an estimate still goes to the full sets: a lost pair in 10 ** 8.
 SIGMAS = 5.6
-#: Buckets above this size are thinned before pivots are multiplied; all are finished.
-LARGE = 32
+#: Buckets above this size are searched by rare shingles before pivots are multiplied, and how many sets share a
+#: rare one at most; both only choose the way, every pair that can be linked is found.
+LARGE, RARE = 32, 16
 
 
 def shingles(text: Column, width: int) -> Column:
@@ -155,20 +157,27 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.drop("size").join(open_keys, "key")
 
 
-def _thinned(members: DataFrame, corpus: _Corpus) -> DataFrame:
-    """Without the members of large buckets that cannot be linked with any other member of one.
+def _common_and_rare(members: DataFrame, roots: DataFrame, corpus: _Corpus) -> tuple[DataFrame, DataFrame]:
+    """(members with n and common, pairs that share a rare shingle) for the rounds over large buckets.
 
-    Of a set, only shingles that another set in a large bucket also has can be common; if they are too few for
-    the set's own size, no partner there is similar enough.
+    Among the sets in large buckets a shingle is rare if up to RARE of them have it, else common. Two of these
+    sets either share a rare shingle, and are then a pair here, or share at most the smaller of their counts of
+    common ones, which settles most pairs without looking at them. Members whose common shingles are too few for
+    any partner leave their large buckets. In small buckets all shingles count as common.
     """
     large = members.where(F.col("size") > LARGE)
     sets = large.select("rid").distinct().join(corpus.texts.toDF("rid", "text"), "rid").select("rid", shingles(F.col("text"), corpus.width).alias("set"))
-    each = sets.select("rid", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    several = each.groupBy("shingle").agg(F.min("rid").alias("_x"), F.max("rid").alias("_y")).where("_x <> _y").select("shingle")
-    shared = each.join(several, "shingle").groupBy("rid").agg(F.first("n").alias("n"), F.count("*").alias("shared"))
-    able = shared.where(100 * F.col("shared") >= corpus.percent * F.col("n")).select("rid")
-    kept = large.join(able, "rid", "left_semi").unionByName(members.where(F.col("size") <= LARGE))
-    return kept
+    each = sets.select("rid", F.explode("set").alias("shingle"))
+    spread = each.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1")
+    held = materialized(each.join(spread, "shingle"), "near-shingles")
+    common = held.where(F.col("sets") > RARE).groupBy("rid").agg(F.count("*").alias("common"))
+    rare = held.where(F.col("sets") <= RARE).join(roots, "rid").select("shingle", "rid", "root")
+    other = rare.toDF("shingle", "other", "other_root")
+    pairs = rare.join(other, "shingle").where("rid < other AND root <> other_root").select(F.col("rid").alias("a"), F.col("other").alias("b")).distinct()
+
+    sized = members.join(corpus.classes.groupBy("rid").agg(F.min("n").alias("n")), "rid").join(common, "rid", "left")
+    counted = sized.withColumn("common", F.when(F.col("size") > LARGE, F.coalesce("common", F.lit(0))).otherwise(F.col("n")))
+    return counted.where(100 * F.col("common") >= corpus.percent * F.col("n")), pairs
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -206,13 +215,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = _merged(active.select("rid", F.col("rid").alias("root")), corpus.links(pairs))
 
     members = materialized(_mixed(buckets, roots), "near-mixed")
-    members = _thinned(members, corpus)
+    members, pairs = _common_and_rare(members, roots, corpus)
+    roots = _merged(roots, corpus.links(pairs))
+    members = materialized(_mixed(members, roots), "near-open")
     ranked = materialized(members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rid"))).drop("root"), "near-ranked")
     done, more = 0, 4
     while not ranked.isEmpty():
         now = ranked.drop("size").join(roots, "rid")
-        some = now.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("key", F.col("rid").alias("a"), F.col("rank").alias("_rank"), F.col("root").alias("_root"))
-        pairs = now.join(some, "key").where("rank > _rank AND root <> _root").select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
+        some = now.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("key", F.col("rid").alias("a"), F.col("rank").alias("_rank"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("common").alias("_common"))
+        most = F.least("common", "_common")
+        able = 100 * most >= percent * (F.col("n") + F.col("_n") - most)
+        pairs = now.join(some, "key").where("rank > _rank AND root <> _root").where(able).select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
         roots = _merged(roots, corpus.links(pairs))
         done, more = done + more, 4 * more
         left = _mixed(ranked, roots)
