@@ -107,50 +107,67 @@ def default_votes(text_col: str = "text", prefix: str = "") -> dict[str, Column]
 
 @dataclass(frozen=True)
 class VoteModel:
-    """Share of good documents, and how often each rule that votes is right."""
+    """Share of good documents, and how often each rule is right on good and on bad ones where it votes."""
 
     prior: float
-    accuracy: dict[str, float]
+    on_good: dict[str, float]
+    on_bad: dict[str, float]
     rounds: int
 
     def posterior(self, votes: dict[str, Column]) -> Column:
         """Probability that a document is good, given the votes; abstentions say nothing."""
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
         for name, vote in votes.items():
-            odds = odds + vote * F.lit(math.log(self.accuracy[name] / (1 - self.accuracy[name])))
+            up, down = _evidence(self.on_good[name], self.on_bad[name])
+            odds = odds + F.when(vote > 0, up).when(vote < 0, down).otherwise(0.0)
         return 1 / (1 + F.exp(-odds))
 
 
-def fit_votes(voted: DataFrame, names: list[str], rounds: int = 200, close: float = 1e-9) -> VoteModel:
+def _evidence(on_good: float, on_bad: float) -> tuple[float, float]:
+    """Log odds of good that a vote for good and a vote for bad add."""
+    return math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
+
+
+def fit_votes(voted: DataFrame, names: list[str], rounds: int = 300, close: float = 1e-9) -> VoteModel:
     """Expectation-maximisation over the counts of vote patterns in all rows of ``voted`` (one vote column per name).
 
-    Rules are taken to be better than chance (accuracies stay in 0.55 to 0.99, the share of good documents in
-    0.05 to 0.95), which settles what the two classes mean. Starts from an accuracy of 0.8 for every rule.
+    A rule has an accuracy on good and one on bad documents: most rules seldom speak against good ones, and each
+    sees only some kinds of bad ones. Rules are taken to be no worse than chance (the two accuracies of a rule
+    sum to 1 at least), and good documents to be 5 to 95 in 100, which settles what the two classes mean.
+    Estimates start from 0.99 on good, 0.2 on bad and 0.7 good; one vote of each kind is added to every count.
     Without rows the start is the result.
     """
     patterns = [(tuple(r[n] for n in names), r["_n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("_n")).orderBy(*names).collect()]
-    prior, accuracy = 0.8, [0.8] * len(names)
+    prior, good, bad = 0.7, [0.99] * len(names), [0.2] * len(names)
     done = 0
     for done in range(1, rounds + 1):
-        total = good = 0.0
-        right, cast = [0.0] * len(names), [0.0] * len(names)
+        total = held = 0.0
+        # votes for good and all votes of each rule, among good and among bad documents
+        counts = [[1.0, 2.0, 1.0, 2.0] for _ in names]
+        evidence = [_evidence(g, b) for g, b in zip(good, bad)]
+        start = math.log(prior / (1 - prior))
         for votes, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy))
-            p = 1 / (1 + math.exp(-odds))
-            total, good = total + n, good + n * p
-            for j, v in enumerate(votes):
+            odds = start + sum(e[0] if v > 0 else e[1] for v, e in zip(votes, evidence) if v)
+            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            total, held = total + n, held + n * p
+            for c, v in zip(counts, votes):
                 if v:
-                    cast[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
+                    c[1] += n * p
+                    c[3] += n * (1 - p)
+                    if v > 0:
+                        c[0] += n * p
+                    else:
+                        c[2] += n * (1 - p)
         if not total:
             break
-        new_prior = min(0.95, max(0.05, good / total))
-        new = [min(0.99, max(0.55, r / c)) if c else a for r, c, a in zip(right, cast, accuracy)]
-        moved = max(abs(new_prior - prior), *(abs(x - y) for x, y in zip(new, accuracy)))
-        prior, accuracy = new_prior, new
+        new_prior = min(0.95, max(0.05, held / total))
+        new_good = [min(1 - 1e-6, max(0.5, c[0] / c[1])) for c in counts]
+        new_bad = [min(0.999, max(c[2] / c[3], 1 - g)) for c, g in zip(counts, new_good)]
+        moved = max(abs(x - y) for x, y in zip([new_prior, *new_good, *new_bad], [prior, *good, *bad]))
+        prior, good, bad = new_prior, new_good, new_bad
         if moved < close:
             break
-    return VoteModel(prior, dict(zip(names, accuracy)), done)
+    return VoteModel(prior, dict(zip(names, good)), dict(zip(names, bad)), done)
 
 
 def judge_quality(docs: DataFrame, text_col: str = "text", least: float = 0.5, prefix: str = "_q_", carry: list[str] | None = None) -> DataFrame:

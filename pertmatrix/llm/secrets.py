@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives, native.
 
-Candidates are long runs of key characters with a digit, found word by word. Their features (length, changes
+Candidates are long runs of key characters with a digit, or in a format that only secrets have, found word by
+word. Their features (length, changes
 between kinds of characters, dictionary coverage, path, neighbouring words) go to a random forest that was
 trained on labelled findings. The forest is turned into column expressions, so a scan is one pass over the
 texts without a shuffle, and every row is judged in its place.
@@ -47,6 +48,10 @@ def _value(word: Column) -> Column:
     return F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("v"))))["v"]
 
 
+def _is_format(value: Column) -> Column:
+    return value.rlike("^(?:" + "|".join(FORMATS) + ")$")
+
+
 def _features(word: Column, value: Column, beside: Column) -> Column:
     n = F.length(value).cast("double")
 
@@ -77,10 +82,10 @@ def candidates(text: Column) -> Column:
         def found(word: Column, place: Column) -> Column:
             def with_value(value: Column) -> Column:
                 beside = F.concat_ws(" ", F.get(ws, place - 2), F.get(ws, place - 1), F.call_function("substring_index", word, value, F.lit(1)), F.get(ws, place + 1))
-                fits = (F.length(value) >= SHORTEST) & value.rlike(_KEY) & value.rlike("[0-9]")
+                fits = (F.length(value) >= SHORTEST) & value.rlike(_KEY) & (value.rlike("[0-9]") | _is_format(value))
                 return F.when(fits, F.struct(place.alias("place"), word.alias("word"), value.alias("value"), beside.alias("beside")))
 
-            return F.when((F.length(word) >= SHORTEST) & word.rlike("[0-9]"), let(_value(word), with_value))
+            return F.when((F.length(word) >= SHORTEST) & word.rlike("[0-9]|" + "|".join(FORMATS)), let(_value(word), with_value))
 
         return F.filter(F.transform(ws, found), lambda c: c.isNotNull())
 
@@ -98,12 +103,11 @@ def label_findings(found: DataFrame) -> DataFrame:
     instead where there are any: ``fit_forest`` takes every table of (features, label).
     """
     f = {n: F.col("features")[k] for k, n in enumerate(FEATURES)}
-    is_format = F.col("value").rlike("^(?:" + "|".join(FORMATS) + ")$")
     mixed = (f["digits"] > 0) & (f["digits"] < 1) & (f["distinct"] * f["length"] >= 7) & (f["dictionary"] < 0.4)
     plain = (f["digits"] == 1) | (f["distinct"] * f["length"] <= 4) | (f["dictionary"] >= 0.5)
     uuid = F.col("value").rlike(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
     keyed = (f["key_word"] == 1) & mixed
-    return found.withColumn("label", F.when(is_format, 1).when(plain, 0).when(keyed, 1).when(uuid | (f["path"] == 1), 0).cast("double"))
+    return found.withColumn("label", F.when(_is_format(F.col("value")), 1).when(plain, 0).when(keyed, 1).when(uuid | (f["path"] == 1), 0).cast("double"))
 
 
 @dataclass(frozen=True)
@@ -165,8 +169,8 @@ def scan(
 
     A finding is a candidate as struct<place, value, probability, secret>. Without a ``forest``, one is fitted
     on the candidates of ``docs`` that ``label_findings`` settles, with ``fit`` for ``fit_forest``. A candidate is a
-    secret if at least the share ``least`` of the trees says so; where there are no labelled findings of both
-    kinds there is no forest, and just the fixed formats are secrets. Null and empty texts have no candidates.
+    secret if at least the share ``least`` of the trees says so. The fixed formats are always secrets, and are
+    the only ones where there are no labelled findings of both kinds to fit a forest on. Null and empty texts have no candidates.
     All rows stay as they are; ``column`` must not be one of theirs. Texts are searched once: candidates are
     written with the carried columns, and the forest and the verdicts come from there.
     """
@@ -178,10 +182,7 @@ def scan(
         forest = fit_forest(label_findings(found.select(F.explode(column).alias("c")).select("c.*")), **fit)
 
     def judged(c: Column) -> Column:
-        if forest is None:
-            p = c["value"].rlike("^(?:" + "|".join(FORMATS) + ")$").cast("double")
-        else:
-            p = forest.probability(c["features"])
+        p = F.when(_is_format(c["value"]), 1.0).otherwise(F.lit(0.0) if forest is None else forest.probability(c["features"]))
         return F.struct(c["place"].alias("place"), c["value"].alias("value"), p.alias("probability"))
 
     with_p = F.transform(F.col(column), judged)

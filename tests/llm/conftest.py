@@ -1,0 +1,17 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parents[2]
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Rows as (doc_id, text), with a column that clashes with names operators use inside."""
+
+    def build(rows):
+        return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, id string, n string")
+
+    return build
