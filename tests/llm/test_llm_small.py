@@ -23,6 +23,16 @@ ODD = [
 ]
 
 
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Rows as (doc_id, text), with columns that clash with names operators use inside."""
+
+    def build(rows):
+        return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id bigint, text string, id string, n string")
+
+    return build
+
+
 def rows(df, *cols):
     return [tuple(r[c] for c in cols) for r in df.collect()]
 
