@@ -29,8 +29,8 @@ class CountMatrix:
 
 
 def _checked_axis(genes: DataFrame) -> Column:
-    """The axis as one array; longer ones are refused."""
-    axis = genes.agg(
+    """The axis as one array; longer ones are refused, and no more than one row above the bound is gathered."""
+    axis = genes.limit(MAX_AXIS + 1).agg(
         F.when(F.count("*") <= MAX_AXIS, F.sort_array(F.collect_list(F.struct("gene_pos", "gene"))))
         .otherwise(F.raise_error(F.lit(f"gene axis is longer than {MAX_AXIS}")))
         .alias("axis")

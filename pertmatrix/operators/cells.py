@@ -33,8 +33,18 @@ def with_libsize(expr: DataFrame) -> DataFrame:
 
 
 def labelled(matrix: CountMatrix) -> DataFrame:
-    """Entries with libsize and the cell's own columns. Cells without any count drop out."""
-    return with_libsize(matrix.expr).filter("libsize > 0").join(matrix.cells, "cell_id")
+    """Entries with libsize and the cell's own columns. Cells without any count drop out.
+
+    Entries meet their cells before totals are taken, and the cell's labels are part of the window's key: so a
+    filter on a label or context passes below both to the cells, and few wanted cells cut the entries before
+    any of them is shuffled.
+    """
+    labels = [c for c in ("target_gene", "context", "batch") if c in matrix.cells.columns]
+    cell = W.partitionBy("cell_id", *labels)
+    joined = matrix.expr.join(matrix.cells, "cell_id")
+    return joined.withColumns({
+        "libsize": F.sum("value").over(cell), "leads": F.col("gene") == F.min("gene").over(cell),
+    }).filter("libsize > 0")
 
 
 def scaled(entries: DataFrame, target: float, *, out: str = "value") -> DataFrame:

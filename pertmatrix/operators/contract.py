@@ -63,18 +63,27 @@ def contract_violations(c: Contract) -> DataFrame:
 def value_violations(c: Contract, cells: DataFrame, entries: DataFrame) -> DataFrame:
     """rule, n over cells (cell_id, context, target_gene) and stored entries (cell_id, gene, value).
 
-    Explicit zeros are removed first. One pass over the entries checks all value rules.
+    Explicit zeros are removed first. One pass and one exchange by cell check all rules on entries.
     """
-    stored = entries.filter((F.col("value") != 0) | F.isnan("value"))
+    stored = entries.filter((F.col("value") != 0) | F.isnan("value") | F.col("value").isNull())
     v = F.col("value")
-    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    per_cell = stored.groupBy("cell_id").agg(
-        F.count_if(bad).alias("not_finite"), F.count_if(~bad & (v < 0)).alias("negative"),
-        F.count_if(~bad & (v != F.rint(v))).alias("fractional"),
-        F.sum(finite_or_zero(v)).alias("total"), F.count("*").alias("nnz"),
+    bad = F.isnan(v) | (F.abs(v) == float("inf"))
+    good = ~bad & v.isNotNull()
+    axis = axis_lookup(c.genes).select("gene", F.lit(True).alias("_known"))
+    per_entry = stored.join(axis, "gene", "left").repartition("cell_id").groupBy("cell_id", "gene").agg(
+        F.count("*").alias("_times"), F.count_if(v.isNull()).alias("missing"), F.count_if(bad).alias("not_finite"),
+        F.count_if(good & (v < 0)).alias("negative"), F.count_if(good & (v != F.rint(v))).alias("fractional"),
+        F.sum(finite_or_zero(v)).alias("total"), F.count_if(F.col("_known").isNull()).alias("strange"),
     )
-    totals = per_cell.agg(
-        F.sum("not_finite").alias("non-finite values"), F.sum("negative").alias("negative values"),
+    per_cell = per_entry.groupBy("cell_id").agg(
+        *[F.sum(k).alias(k) for k in ("missing", "not_finite", "negative", "fractional", "total", "strange")],
+        F.sum("_times").alias("nnz"), F.sum(F.col("_times") - 1).alias("doubled"),
+    )
+    homed = cells.select("cell_id").distinct().withColumn("_homed", F.lit(True))
+    totals = per_cell.join(homed, "cell_id", "left").agg(
+        F.sum("missing").alias("missing values"), F.sum("doubled").alias("doubled entries"),
+        F.sum(F.when(F.col("_homed").isNull(), F.col("nnz"))).alias("entries without a cell"),
+        F.sum("strange").alias("gene not on the axis"), F.sum("not_finite").alias("non-finite values"), F.sum("negative").alias("negative values"),
         F.sum("fractional").alias("fractional values"),
         F.count_if(F.col("total") > c.max_counts_per_cell).alias("cell total over the cap"),
         F.when(F.sum("nnz") > c.max_stored_entries, F.sum("nnz")).alias("density cap exceeded"),
@@ -82,12 +91,11 @@ def value_violations(c: Contract, cells: DataFrame, entries: DataFrame) -> DataF
     rules = totals.columns
     pairs = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"`{r}`").cast("bigint").alias("n")) for r in rules])
     in_values = totals.select(F.inline(pairs)).filter("n > 0")
-    strange = stored.join(axis_lookup(c.genes), "gene", "left_anti")
+    labels = cells.groupBy("target_gene").agg(F.count("*").alias("_n"))
     return _all([
         in_values,
-        _broken(strange, "gene not on the axis", F.count("*")),
         _broken(cells.filter(~F.col("context").isin(*c.contexts)), "unknown context", F.count("*")),
-        _broken(cells.join(c.perts, "target_gene", "left_anti"), "unknown perturbation", F.count("*")),
+        _broken(labels.join(c.perts, "target_gene", "left_anti"), "unknown perturbation", F.sum("_n")),
         _broken(cells, "cell cap exceeded", F.count("*"), F.col("n") > c.max_cells),
     ])
 
@@ -112,10 +120,11 @@ def block_differences(c: Contract, cells: DataFrame) -> DataFrame:
 
 
 def completeness_violations(c: Contract, cells: DataFrame) -> DataFrame:
-    """rule, n: block problems by kind, and control rows."""
+    """rule, n: block problems by kind, control rows, and cell ids that stand more than once."""
     blocks = block_differences(c, cells).groupBy(F.concat("problem", F.lit(" block")).alias("rule")).agg(F.count("*").alias("n"))
     control = _broken(cells.filter(F.col("target_gene") == c.control), "control rows present", F.count("*"))
-    return blocks.unionByName(control)
+    doubled = _broken(cells.groupBy("cell_id").agg(F.count("*").alias("k")).filter("k > 1"), "doubled cell", F.count("*"))
+    return _all([blocks, control, doubled])
 
 
 def write_summary(cells: DataFrame, entries: DataFrame) -> DataFrame:

@@ -6,8 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_FEATURE_DIM = 1_000_000
-
 
 def align_edges(edges: DataFrame, index: DataFrame, *, src: str = "src", dst: str = "dst", drop_self_loops: bool = False) -> DataFrame:
     """Edges with src_pos and dst_pos. An edge stays only if both ends are known; its attributes stay with it."""
@@ -100,11 +98,15 @@ def pool_chunks(chunks: DataFrame, key: str, values: str) -> DataFrame:
 
 
 def concat_features(index: DataFrame, blocks: Sequence[tuple[DataFrame, int]]) -> DataFrame:
-    """gene_pos, features: blocks (gene_pos, features array; width) side by side; absent genes get zeros."""
+    """gene_pos, features: blocks (gene_pos, features array; width) side by side; absent genes get zeros.
+
+    An array of another width than its block declares raises an error.
+    """
     out = index.select("gene_pos")
     parts = []
     for i, (block, width) in enumerate(blocks):
         name = f"_f{i}"
         out = out.join(block.select("gene_pos", F.col("features").alias(name)), "gene_pos", "left")
-        parts.append(F.coalesce(F.col(name), F.array_repeat(F.lit(0.0), width)))
+        wrong = F.raise_error(F.concat(F.lit(f"block {i} declares {width} features, found "), F.size(name).cast("string")))
+        parts.append(F.when(F.col(name).isNull(), F.array_repeat(F.lit(0.0), width)).when(F.size(name) == width, F.col(name)).otherwise(wrong))
     return out.select("gene_pos", F.concat(*parts).alias("features"))

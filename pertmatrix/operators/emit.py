@@ -9,6 +9,12 @@ from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL, on_gene_axis
 from pertmatrix.operators.sampling import explode_range
 
+# The 16 largest primes below 2 ** 31.
+STEPS = (
+    2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497,
+    2147483489, 2147483477, 2147483423, 2147483399, 2147483353, 2147483323, 2147483269, 2147483249,
+)
+
 
 def context_profile(
     entries: DataFrame, genes: DataFrame, *, min_libsize: float = 0.0, control: str = CONTROL
@@ -63,16 +69,18 @@ def even_totals(fractions: DataFrame, depth: DataFrame, requests: DataFrame) ->
 def allocate_even(totals: DataFrame, *, seed: int = 0) -> DataFrame:
     """context, target_gene, cell_no, gene, value: every total spread over n cells as evenly as possible.
 
-    Each cell gets the floor, and ``rem`` cells one more. Those are a run of cells from a seeded
-    random start that differs by gene, so a cell's extra counts are independent across genes, and
-    choosing them needs neither a sort nor a shuffle. Zeros are never produced.
+    Each cell gets the floor, and ``rem`` cells one more: the first ``rem`` of a seeded permutation of
+    the cells, ``(start + j * step) mod n`` with a prime step above n, that differs by gene. Neighbouring
+    cells share no run of extra counts, and choosing them needs neither a sort nor a shuffle. Zeros are
+    never produced.
     """
-    start = draw_index(seed_hash(seed, "context", "target_gene", "gene"), F.col("n"))
-    rows = totals.withColumn("_first", start).withColumn(
+    drawn = seed_hash(seed, "context", "target_gene", "gene")
+    step = F.get(F.array(*[F.lit(p) for p in STEPS]), F.conv(F.substring(drawn, 16, 1), 16, 10).cast("int"))
+    rows = totals.withColumn("_first", draw_index(drawn, F.col("n"))).withColumn("_step", step).withColumn(
         "_stored", F.when(F.col("base") > 0, F.col("n")).otherwise(F.col("rem"))
     )
     spread = explode_range(rows, "_stored", "_j")
     return spread.select(
-        "context", "target_gene", F.pmod(F.col("_j") + F.col("_first"), F.col("n")).alias("cell_no"), "gene_pos", "gene",
+        "context", "target_gene", F.pmod(F.col("_j") * F.col("_step") + F.col("_first"), F.col("n")).alias("cell_no"), "gene_pos", "gene",
         (F.col("base") + (F.col("_j") < F.col("rem")).cast("bigint")).cast("double").alias("value"),
     )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
+
 # Stated licence ids and their SPDX names, and the groups with further terms.
 SPDX = {
     "cc-by-4.0": "CC-BY-4.0",
@@ -107,11 +110,10 @@ def record_diff(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return rows.filter(~F.col("before").eqNullSafe(F.col("after")))
 
 
-INLINE_LIMIT = 1 << 30  # a row cannot hold more than 2 GB
-
-
 def _md5_by_path(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Checksum large files chunk by chunk where they lie; a file is never held whole."""
+    """Checksum files chunk by chunk where they lie; a file is never held whole."""
+    import hashlib
+
     from pyarrow import fs
 
     for pdf in batches:
@@ -128,21 +130,16 @@ def _md5_by_path(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(found_md5=sums)
 
 
-def found_files(spark: SparkSession, folder: str, suffix: str = "", inline_limit: int = INLINE_LIMIT) -> DataFrame:
+def found_files(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
     """name, length, found_md5 of the files in a folder.
 
-    Files up to the limit are hashed in the JVM as they are read; larger ones are listed without
-    their content and streamed by the task that gets their path.
+    Files are listed without their content and streamed by the task that gets their path, whatever their size.
     """
-    listed = spark.read.format("binaryFile").load(folder)
-    small = listed.filter(F.col("length") <= inline_limit).select("path", "length", F.md5("content").alias("found_md5"))
-    large = (
-        listed.filter(F.col("length") > inline_limit).select("path", "length").repartition("path")
-        .mapInPandas(_md5_by_path, "path string, length bigint, found_md5 string")
-    )
+    listed = spark.read.format("binaryFile").load(folder).select("path", "length")
+    hashed = listed.repartition("path").mapInPandas(_md5_by_path, "path string, length bigint, found_md5 string")
     base = F.regexp_extract("path", r"([^/]+)$", 1)
     name = F.regexp_replace(base, f"{suffix}$", "") if suffix else base
-    return small.unionByName(large).select(name.alias("name"), "length", "found_md5")
+    return hashed.select(name.alias("name"), "length", "found_md5")
 
 
 def verify_files(manifest: DataFrame, found: DataFrame) -> DataFrame:

@@ -97,7 +97,11 @@ def predict_cells(
     ``requests``: target_gene, n (n <= 0 gives nothing). Control cells stay sparse rows: stored
     values are shifted in place, and of the zeros only genes whose delta reaches the floor can
     become nonzero, so the dense cell x gene grid is never built. gene_pos must run from 0 to G-1.
+    Genes a label has no delta for are not shifted. A request for no cells at all, and a requested
+    label without any delta, raise an error.
     """
+    if requests.filter("n > 0").isEmpty():
+        raise ValueError("no cells are requested")
     is_ctrl = F.col("target_gene") == control
     pool_cells = cells.filter(is_ctrl).select("cell_id")
     entry = F.collect_list(F.struct("gene_pos", "value"))
@@ -122,10 +126,13 @@ def predict_cells(
     )
 
     floor: Column = assay_floor(entries, control).scalar() if snap_to_floor else F.lit(0.0)
+    full = on_gene_axis(shifts.select("target_gene").distinct(), genes).select("target_gene", "gene_pos")
+    shifts = full.join(shifts, ["target_gene", "gene_pos"], "left").fillna(0.0, ["delta"])
     vectors = shifts.groupBy("target_gene").agg(F.sort_array(F.collect_list(F.struct("gene_pos", "delta"))).alias("d"))
     last_chunk = F.floor((F.col("n") - 1) / CHUNK).cast("bigint")
     per_chunk = (
-        wanted.filter("n > 0").join(vectors, "target_gene").withColumn("floor", floor)
+        wanted.filter("n > 0").join(vectors, "target_gene", "left").withColumn("floor", floor)
+        .withColumn("d", F.coalesce("d", F.raise_error(F.concat(F.lit("no delta for label "), "target_gene")).cast("array<struct<gene_pos:bigint,delta:double>>")))
         .select(
             "target_gene", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)).alias("_chunk"), "floor",
             F.col("d.delta").alias("delta"),

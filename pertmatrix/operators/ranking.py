@@ -49,8 +49,9 @@ def shuffled_row_number(
 
 
 def value_bucket(value: Column) -> Column:
-    """A bucket number that never falls as the value rises: 32 steps per doubling."""
-    return (F.signum(value) * F.floor(F.log2(F.abs(value) + 1.0) * 32)).cast("bigint")
+    """A bucket number that never falls as the value rises: 32 steps per doubling at every scale, fractions included."""
+    step = F.floor(F.log2(F.abs(value)) * 32) + 40_000  # the smallest double is above 2 ** -1075
+    return F.when(value == 0, 0).otherwise(F.signum(value) * step).cast("bigint")
 
 
 def running_total(

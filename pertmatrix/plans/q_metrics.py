@@ -79,7 +79,7 @@ def sums_of(spark, d) -> EV.ContextSums:
 
 
 def held_pair(spark, d) -> EV.Scored:
-    return EV.hold_out_each_context(sums_of(spark, d), CONTEXTS)
+    return EV.hold_out_each_context(sums_of(spark, d), T.contexts(spark, d))
 
 
 def _error_metric(name: str):
@@ -276,7 +276,7 @@ ANCHORS = ",\n".join([
 def anchored(spark, d) -> DataFrame:
     m, logged = logged_matrix(spark, d)
     c = EV.context_sums(logged, m.cells, m.genes)
-    pair = EV.hold_out_each_context(c, CONTEXTS)
+    pair = EV.hold_out_each_context(c, T.contexts(spark, d))
     means = EV.score_arms({
         "user": pair, "base": EV.generic_response(c, pair.real), "replicate": EV.replicate_halves(logged, m.cells, c.genes),
     })
@@ -319,7 +319,7 @@ LADDER = """
 
 
 def ladder_scores(spark, d) -> DataFrame:
-    rungs = EV.ladder(sums_of(spark, d), HELD_OUT, CONTEXTS)
+    rungs = EV.ladder(sums_of(spark, d), HELD_OUT, T.contexts(spark, d))
     return EV.delta_scores(rungs).withColumnRenamed("context", "model")
 
 

@@ -64,9 +64,10 @@ EVEN_SQL = f"""
            FROM (SELECT context, target_gene, gene, fraction * power(2, coalesce(pooled, 0)) AS x
                  FROM prof JOIN (SELECT DISTINCT context, target_gene FROM req) q USING (context) LEFT JOIN pooled USING (target_gene, gene)) m),
   tot AS (SELECT context, target_gene, gene, n, CAST(round_even(n * depth * fraction, 0) AS BIGINT) AS total,
-            CAST('0x' || substr(md5('11:' || context || ':' || target_gene || ':' || gene), 1, 15) AS BIGINT) % n AS first
+            CAST('0x' || substr(md5('11:' || context || ':' || target_gene || ':' || gene), 1, 15) AS BIGINT) % n AS first,
+            CAST({list(emit.STEPS)}[1 + CAST('0x' || substr(md5('11:' || context || ':' || target_gene || ':' || gene), 16, 1) AS BIGINT)] AS BIGINT) AS step
           FROM frac JOIN req USING (context, target_gene) JOIN depth USING (context)),
-  spread AS (SELECT context, target_gene, gene, (j + first) % n AS cell_no, CAST(total // n + CASE WHEN j < total % n THEN 1 ELSE 0 END AS DOUBLE) AS value
+  spread AS (SELECT context, target_gene, gene, (j * step + first) % n AS cell_no, CAST(total // n + CASE WHEN j < total % n THEN 1 ELSE 0 END AS DOUBLE) AS value
              FROM (SELECT *, unnest(range(CASE WHEN total >= n THEN n ELSE total % n END)) AS j FROM tot) t)"""
 
 

@@ -88,7 +88,7 @@ WITH {CELLS} SELECT context AS source, 'non-targeting' AS control_label, target_
 FROM cells GROUP BY 1, 3""")
 def scan_source_set(spark, d):
     cells = T.cells(spark, d)
-    merged, dims = scans.scan_source_set({c: (cells.filter(F.col("context") == c), CONTROL) for c in CONTEXTS})
+    merged, dims = scans.scan_source_set({c: (cells.filter(F.col("context") == c), CONTROL) for c in T.contexts(spark, d)})
     return merged.groupBy("source", "target_gene").agg(F.count("*").alias("n_cells")).join(dims, "source")
 
 

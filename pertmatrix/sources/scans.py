@@ -50,16 +50,20 @@ def first_labels(labels: DataFrame, n: int, order: str = "pos") -> DataFrame:
 def scan_gene_axis(spark: SparkSession, path: str, expected: int) -> tuple[DataFrame, bool]:
     """(gene_pos, gene) of a one-column list, and whether it has a header row.
 
-    The list is read both ways; the reading whose row count equals ``expected`` is right.
+    The list is read both ways; the reading whose row count equals ``expected`` is right. A list in
+    several files is read in the order of their names, and may have a header in the first.
     """
     lines = spark.read.text(path).filter("value != ''")
     n = lines.count()
     if n not in (expected, expected + 1) or expected > MAX_AXIS:
         raise ValueError(f"gene list has {n} lines, expected {expected} genes with or without a header")
     header = n == expected + 1
-    # the axis is a checked, small list: one task may number it, in file order
-    numbered = lines.select(F.monotonically_increasing_id().alias("_id"), F.split("value", ",")[0].alias("gene"))
-    pos = F.expr("row_number() over (order by _id)").cast("bigint") - (2 if header else 1)
+    # the axis is a checked, small list: one task may number it, by file name, place in the file, and line
+    numbered = lines.select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"), F.split("value", ",")[0].alias("gene"),
+    )
+    pos = F.expr("row_number() over (order by _file, _start, _id)").cast("bigint") - (2 if header else 1)
     return numbered.select(pos.alias("gene_pos"), "gene").filter("gene_pos >= 0"), header
 
 

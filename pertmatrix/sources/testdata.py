@@ -90,3 +90,11 @@ def host_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://host.example/"), F.col("doc_id").cast("string")).alias("url"),
         stated.alias("stated"),
     )
+
+
+def contexts(spark: SparkSession, sf_dir: str, most: int = 1000) -> list[str]:
+    """The contexts that the cells have; more than ``most`` are refused, as each becomes a branch of a plan."""
+    found = [r[0] for r in cells(spark, sf_dir).select("context").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} contexts")
+    return sorted(found)

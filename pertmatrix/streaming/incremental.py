@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-PACKED_SCHEMA = "cell_id bigint, target_gene string, idx array<bigint>, val array<double>"
+from pertmatrix.matrix import CONTROL
+
+PACKED_SCHEMA = "cell_id bigint, target_gene string, idx array<bigint>, val array<double>, source_ord int"
 SUMS = ("count_sum", "cpm_sum", "cpm_sq_sum")
 
 
@@ -36,12 +38,9 @@ def sums(entries: DataFrame) -> DataFrame:
     )
 
 
-def control_once(rows: DataFrame) -> DataFrame:
-    """Each cell counts once, although later files repeat control cells.
-
-    The state holds every cell id seen; give the source an event time and a watermark to bound it.
-    """
-    return rows.dropDuplicates(["cell_id"])
+def control_once(rows: DataFrame, control: str = CONTROL) -> DataFrame:
+    """Control cells of the first source only, as later sources repeat them; the rule of the batch operator, without state."""
+    return rows.filter((F.col("target_gene") != control) | (F.col("source_ord") == 0))
 
 
 def keep_labels(rows: DataFrame, keep: DataFrame) -> DataFrame:

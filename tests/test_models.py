@@ -170,3 +170,23 @@ def test_remap_last_duplicate_wins(spark):
     values = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0), (3, 4.0)], "gene_pos bigint, value double")
     out = FX.remap_to_axis(values, source, target, fill=-1.0).orderBy("gene_pos").collect()
     assert [r.value for r in out] == [2.0, 3.0, -1.0]
+
+
+def test_predicted_cells_of_partial_deltas_and_bad_requests(spark, train):
+    X, labels, m, entries = train
+    some = [(0, 5.0), (2, 8.0), (7, 3.0)]  # genes 1 and 3 to 6 have no delta
+    deltas = spark.createDataFrame([("other", j, f"SYM{j}", v) for j, v in some], "target_gene string, gene_pos bigint, gene string, delta double")
+    req = lambda *r: spark.createDataFrame(list(r), "target_gene string, n bigint")
+    out = R.predict_cells(req(("other", 40)), deltas, entries, m.cells, m.genes, seed=2, snap_to_floor=False).toPandas()
+    vec = np.zeros(8)
+    for j, v in some:
+        vec[j] = v
+    allowed = {tuple(np.round(r, 9)) for r in X[labels == CTRL] + vec}
+    for _, cell in out.groupby("cell_no"):
+        row = np.zeros(8)
+        row[cell.gene_pos] = cell.value
+        assert tuple(np.round(row, 9)) in allowed
+    with pytest.raises(ValueError, match="no cells are requested"):
+        R.predict_cells(req(("other", 0)), deltas, entries, m.cells, m.genes)
+    with pytest.raises(Exception, match="no delta for label strange"):
+        R.predict_cells(req(("strange", 3)), deltas, entries, m.cells, m.genes).collect()

@@ -93,12 +93,13 @@ def test_packed_and_dense_layouts(spark, toy):
 
 def test_streams_equal_the_batch(spark, toy):
     X, labels, m = toy
-    rows = pack_rows(m).join(m.cells.select("cell_id", "target_gene"), "cell_id").select("cell_id", "target_gene", "idx", "val")
+    rows = pack_rows(m).join(m.cells.select("cell_id", "target_gene"), "cell_id").select("cell_id", "target_gene", "idx", "val", F.lit(0).alias("source_ord"))
     src = scratch_path(spark, "in")
     rows.repartition(4).write.parquet(src)
-    rows.filter("target_gene = 'ctrl'").write.mode("append").parquet(src)  # controls arrive twice
+    again = rows.filter("target_gene = 'ctrl'").withColumn("source_ord", F.lit(1))
+    again.write.mode("append").parquet(src)  # a second source repeats the controls
     want = {(r.target_gene, r.gene_pos): r.cpm_sq_sum for r in I.sums(I.packed_entries(rows)).collect()}
-    got = I.run_running_sums(I.control_once(I.read_packed(spark, src)), scratch_path(spark, "o"), scratch_path(spark, "c"))
+    got = I.run_running_sums(I.control_once(I.read_packed(spark, src), "ctrl"), scratch_path(spark, "o"), scratch_path(spark, "c"))
     got = {(r.target_gene, r.gene_pos): r.cpm_sq_sum for r in got.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] / want[k] - 1) < 1e-12 for k in want)
     keep = spark.createDataFrame([("A",)], "k string")
