@@ -36,9 +36,9 @@ MANTISSA = 4
 COLLISION = 0.72 * 0.25 / (1 << MANTISSA)
 #: Standard deviations below the threshold up to which an estimate still goes to the full sets: a lost pair in 10 ** 8.
 SIGMAS = 5.6
-#: Buckets above this size are searched by rare shingles before pivots are multiplied, and how many sets share a
-#: rare one at most; both only choose the way, every pair that can be linked is found.
-LARGE, RARE = 32, 16
+#: Buckets above this size are searched by rare shingles before pivots are multiplied, and a shingle of so many sets
+#: at most is rare; this only chooses the way, every pair that can be linked is found.
+LARGE = RARE = 32
 
 
 def shingles(text: Column, width: int) -> Column:
