@@ -71,9 +71,9 @@ def mix(
     cells = materialized(cell_weights(placed, names, F.col(f"{prefix}tokens")), "mix-cells")
     wanted = {f"{prefix}{d}": t for d, t in targets.items()} if targets else tempered_targets(cells, names, power)
     raked = rake(cells, wanted, sweeps).withColumn("_need", F.col("raked") / F.nullif(F.col("weight"), F.lit(0.0)))
-    most = raked.agg(F.max("_need")).withColumnRenamed("max(_need)", "_most")
+    most = raked.agg(F.max("_need").alias("_most")).scalar()
     chance = materialized(
-        raked.join(F.broadcast(most)).select(*names, F.coalesce(F.round(F.col("_need") / F.col("_most"), 9), F.when(F.col("weight") == 0, F.lit(1.0)).otherwise(0.0)).alias(f"{prefix}probability")),
+        raked.select(*names, F.coalesce(F.round(F.col("_need") / most, 9), F.when(F.col("weight") == 0, F.lit(1.0)).otherwise(0.0)).alias(f"{prefix}probability")),
         "mix-chances",
     )
     draw = draw_index(seed_hash(seed, F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(_DRAWS)) / F.lit(_DRAWS)
