@@ -11,7 +11,7 @@ bucket mates) is the pivot all others are held against; registers give a collisi
 passes is confirmed on full sets. Buckets that lie in one component by then are done. In large ones that do not,
 sets that share a rare shingle are held together, and counts of common shingles rule out most other pairs. Then
 further pivots, four times as many each round, are held against the members of other components that are still
-possible, until no pair is left.
+possible, until no pair is left. Of the buckets two sets share, only the first may pair them there.
 """
 
 from __future__ import annotations
@@ -77,6 +77,11 @@ def _sign(hashes, layout: int):
     return out.tobytes()
 
 
+def _bands(sign: Column) -> Column:
+    """array<bigint>: the bucket keys of a signature, one for each band."""
+    return F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(F.substring(sign, 1, 1), i, sign.substr(i * BAND + 2, F.lit(BAND))))
+
+
 def _layouts(n: int, percent: int) -> list[int]:
     size = n.bit_length() - 1
     found = [size] + ([size + 1] if 100 * n >= percent << (size + 1) else [])
@@ -198,8 +203,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialized(
         signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("signs").alias("signs")), "near-classes"
     )
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda i: F.xxhash64(F.substring("sign", 1, 1), i, F.expr("sign").substr(i * BAND + 2, F.lit(BAND))))
-    keyed = classes.select("rid", F.explode("signs").alias("sign")).select("rid", F.explode(bands).alias("key"))
+    # every key of a set, in the same order in all sets: by layout, then by band
+    keys = F.flatten(F.transform("signs", _bands))
+    keyed = classes.select("rid", F.explode(keys).alias("key"))
     crowded = keyed.groupBy("key").agg(F.min("rid").alias("_x"), F.max("rid").alias("_y"), F.count("*").alias("size")).where("_x <> _y").select("key", "size")
     buckets = materialized(keyed.join(crowded, "key"), "near-buckets")
     weights = buckets.groupBy("rid").agg(F.sum("size").alias("weight"))
@@ -218,14 +224,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members, pairs = _common_and_rare(members, roots, corpus)
     roots = _merged(roots, corpus.links(pairs))
     members = materialized(_mixed(members, roots), "near-open")
-    ranked = materialized(members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rid"))).drop("root"), "near-ranked")
+    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("weight"), "rid"))).drop("root")
+    ranked = materialized(ranked.join(classes.select("rid", keys.alias("keys")), "rid"), "near-ranked")
     done, more = 0, 4
     while not ranked.isEmpty():
         now = ranked.drop("size").join(roots, "rid")
-        some = now.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("key", F.col("rid").alias("a"), F.col("rank").alias("_rank"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("common").alias("_common"))
+        some = now.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("key", F.col("rid").alias("a"), F.col("rank").alias("_rank"), F.col("root").alias("_root"), F.col("n").alias("_n"), F.col("common").alias("_common"), F.col("keys").alias("_keys"))
         most = F.least("common", "_common")
         able = 100 * most >= percent * (F.col("n") + F.col("_n") - most)
-        pairs = now.join(some, "key").where("rank > _rank AND root <> _root").where(able).select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct()
+        first = F.get(F.array_intersect("keys", "_keys"), F.lit(0)) == F.col("key")
+        pairs = now.join(some, "key").where("rank > _rank AND root <> _root").where(able & first).select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b"))
         roots = _merged(roots, corpus.links(pairs))
         done, more = done + more, 4 * more
         left = _mixed(ranked, roots)
