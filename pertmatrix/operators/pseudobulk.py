@@ -98,12 +98,14 @@ def group_sizes(cells: DataFrame, by: Sequence[str], min_cells: int = 0) -> Data
 def value_histogram(entries: DataFrame, sizes: DataFrame, genes: DataFrame, by: Sequence[str]) -> DataFrame:
     """by..., gene, value, freq with the implicit zeros as one row per (group, gene).
 
-    The counted values are written once: everything after them works on the histogram.
+    The counted values are written once: everything after them works on the histogram. So are the sizes, whose true
+    size lets Spark broadcast them instead of shuffling the histogram by a label that may hold a third of it.
     """
+    sizes = materialized(sizes.select(*by, "n_cells"), "histogram-sizes")
     hist = materialized(entries.groupBy(*by, "gene", "value").agg(F.count("*").alias("freq")), "histogram")
     stored = hist.groupBy(*by, "gene").agg(F.sum("freq").alias("stored"))
     zeros = (
-        on_gene_axis(sizes.select(*by, "n_cells"), genes)
+        on_gene_axis(sizes, genes)
         .join(stored, [*by, "gene"], "left")
         .select(*by, "gene", F.lit(0.0).alias("value"), (F.col("n_cells") - F.coalesce("stored", F.lit(0))).alias("freq"))
         .filter("freq > 0")

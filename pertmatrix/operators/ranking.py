@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pertmatrix.session import materialized
+
 _BUCKET_DIGITS = 3  # md5 is uniform, so 4096 buckets of equal expected size
 
 
@@ -27,7 +29,8 @@ def shuffled_row_number(
     """row_number() over (partition by keys order by hash, tie), exact, as a bigint from 1.
 
     ``at_most`` (over the keys) keeps only ranks up to that number; buckets that start beyond it
-    are dropped before any row of theirs is shuffled for ordering.
+    are dropped before any row of theirs is shuffled for ordering. The buckets left, at most 4096 a key, are
+    written first, so that Spark knows their size when it chooses the join.
     """
     whole = not keys
     keys = list(keys) or ["_all"]
@@ -39,6 +42,8 @@ def shuffled_row_number(
     if at_most is not None:
         sizes = sizes.withColumn("_cap", at_most).filter("_offset < _cap")
     sizes = sizes.drop("_n")
+    if at_most is not None:
+        sizes = materialized(sizes, "rank-buckets")
     inside = W.partitionBy(*keys, "_bucket").orderBy("_hash", tie)
     ranked = rows.join(sizes, [*keys, "_bucket"]).withColumn(
         out, (F.row_number().over(inside) + F.col("_offset")).cast("bigint")

@@ -74,8 +74,7 @@ def split_cells(cells: DataFrame, sides: DataFrame, side: str, *, control: str =
         return cells
     if side not in ("train", "holdout"):
         raise ValueError(f"unknown split {side!r}")
-    chosen = sides.filter(F.col("side") == side).select(label)
-    own = cells.filter(F.col(label) != control).join(chosen, label, "left_semi")
+    own = filter_labels(cells.filter(F.col(label) != control), keep=sides.filter(F.col("side") == side).select(label), label=label)
     return own.unionByName(cells.filter(F.col(label) == control))
 
 

@@ -40,3 +40,16 @@ def test_ranks_order_buckets_not_labels(spark):
     windows = re.findall(r"\+- Window (.*)", plan(spark, "rank_cap"))
     by_cell = [w for w in windows if "row_number" in w]
     assert by_cell and all("_bucket" in w for w in by_cell)
+
+
+@pytest.mark.parametrize("name", ["scan_split", "sample_cap_per_label", "pb_median", "de_wilcoxon"])
+def test_hot_labels_meet_written_lists(spark, name):
+    """Cells and counted values are not shuffled by label, whatever small threshold a list still fits."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "65536")
+    try:
+        text = plan(spark, name)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"SortMergeJoin \[target_gene#\d+\], \[target_gene#\d+\], (LeftSemi|LeftAnti)", text)
+    assert not re.search(r"SortMergeJoin \[target_gene#\d+, _bucket#\d+\]", text)
