@@ -59,42 +59,45 @@ def mean_shift(effects: DataFrame, target_axis: DataFrame) -> DataFrame:
     return target_axis.select("gene").join(means, "gene", "left").fillna(0.0, ["shift"])
 
 
-def pool_inverse_variance(effects: DataFrame) -> DataFrame:
-    """target_gene, gene, pooled: weights 1 / max(var, 1e-6) over all sources."""
+def pool_inverse_variance(effects: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by..., target_gene, gene, pooled: weights 1 / max(var, 1e-6) over all sources."""
     w = 1.0 / F.greatest(F.col("var"), F.lit(1e-6))
-    return effects.groupBy("target_gene", "gene").agg((F.sum(F.col("log2fc") * w) / F.sum(w)).alias("pooled"))
+    return effects.groupBy(*by, "target_gene", "gene").agg((F.sum(F.col("log2fc") * w) / F.sum(w)).alias("pooled"))
 
 
-def pooled_for_targets(targets: DataFrame, effects: DataFrame, genes: DataFrame, *, shrinkage: bool = True) -> DataFrame:
-    """target_gene, gene, covered, pooled for every requested target.
+def pooled_for_targets(
+    targets: DataFrame, effects: DataFrame, genes: DataFrame, *, shrinkage: bool = True, by: Sequence[str] = ()
+) -> DataFrame:
+    """by..., target_gene, gene, covered, pooled for every requested target.
 
     A target some source perturbed has 0 at genes no source measured; one that no source
     perturbed has NULL everywhere. Weights use the variance before shrinkage.
     """
-    covered = effects.select("target_gene").distinct().withColumn("covered", F.lit(True))
-    pooled = pool_inverse_variance(shrink(effects) if shrinkage else effects)
-    rows = targets.select("target_gene").distinct().join(covered, "target_gene", "left")
-    grid = on_gene_axis(rows, genes).join(pooled, ["target_gene", "gene"], "left")
+    keys = [*by, "target_gene"]
+    covered = effects.select(*keys).distinct().withColumn("covered", F.lit(True))
+    pooled = pool_inverse_variance(shrink(effects) if shrinkage else effects, by)
+    rows = targets.select(*keys).distinct().join(covered, keys, "left")
+    grid = on_gene_axis(rows, genes).join(pooled, [*keys, "gene"], "left")
     value = F.when(F.col("covered"), F.coalesce("pooled", F.lit(0.0)))
     return grid.select(
-        "target_gene", "gene_pos", "gene", F.coalesce("covered", F.lit(False)).alias("covered"), value.alias("pooled")
+        *keys, "gene_pos", "gene", F.coalesce("covered", F.lit(False)).alias("covered"), value.alias("pooled")
     )
 
 
 def transfer_delta(
     targets: DataFrame, effects: DataFrame, genes: DataFrame, *, fallback: DataFrame | None = None,
-    shrinkage: bool = True, alpha: float = 1.0, self_log2fc: float = TARGET_SELF_LOG2FC,
+    shrinkage: bool = True, alpha: float = 1.0, self_log2fc: float = TARGET_SELF_LOG2FC, by: Sequence[str] = (),
 ) -> DataFrame:
-    """target_gene, gene, covered, shift: pooled effect, or the fallback where no source covers a target.
+    """by..., target_gene, gene, covered, shift: pooled effect, or the fallback where no source covers a target.
 
     Order: shrink, pool, scale by alpha, then the target's own gene is set, unscaled. Without a
     fallback an uncovered target has NULL shifts (no shift at all, its own gene included).
     """
-    pooled = pooled_for_targets(targets, effects, genes, shrinkage=shrinkage)
+    pooled = pooled_for_targets(targets, effects, genes, shrinkage=shrinkage, by=by)
     raw = F.col("pooled")
     if fallback is not None:
         pooled = pooled.join(fallback.select("gene", F.col("shift").alias("generic")), "gene", "left")
         raw = F.coalesce("pooled", "generic")
     own = (F.col("gene") == F.col("target_gene")) & raw.isNotNull()
     shift = F.when(own, F.lit(self_log2fc)).otherwise(raw * F.lit(float(alpha)))
-    return pooled.select("target_gene", "gene_pos", "gene", "covered", shift.alias("shift"))
+    return pooled.select(*by, "target_gene", "gene_pos", "gene", "covered", shift.alias("shift"))

@@ -40,9 +40,10 @@ def normalize_within(df: DataFrame, value: str, keys: list[str], out: str) -> Da
 def shift_fraction(profile: DataFrame, shifts: DataFrame) -> DataFrame:
     """context, target_gene, gene, fraction: profile * 2^shift, scaled to sum 1 again.
 
-    ``shifts``: target_gene, gene, shift; NULL, NaN and infinite shifts count as 0.
+    ``shifts``: target_gene, gene, shift, and context where they differ by it; NULL, NaN and infinite shifts count as 0.
     """
-    moved = profile.join(shifts.select("target_gene", "gene", "shift"), "gene").withColumn(
+    keys = [c for c in ("context", "gene") if c in shifts.columns]
+    moved = profile.join(shifts.select(*keys, "target_gene", "shift"), keys).withColumn(
         "moved", F.col("fraction") * F.pow(F.lit(2.0), finite_or_zero(F.col("shift")))
     )
     return normalize_within(moved.drop("fraction"), "moved", ["context", "target_gene"], "fraction").select(

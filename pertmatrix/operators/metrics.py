@@ -17,7 +17,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no c
 
 HIGHER_IS_BETTER = {
     "mae": False, "mse": False, "pearson_delta": True, "pds_l1": True, "pds_cosine": True, "overlap_at_n": True,
-    "precision_at_n": True, "sig_jaccard": True, "lfc_nmae": False, "direction_agreement": True,
+    "precision_at_n": True, "sig_jaccard": True, "lfc_nmae": False, "direction_agreement": True, "direction_fidelity": True,
 }
 # Labels per block of the discrimination score: 256 x 20,000 genes x 8 bytes is 41 MB a side.
 BLOCK = 256
@@ -104,13 +104,13 @@ def discrimination(pred: DataFrame, real: DataFrame, kinds: Sequence[str] = ("l1
     return long.withColumn("score", 1.0 - F.col("n_closer") / F.col("n_real"))
 
 
-def significance_pairs(pred: DataFrame, real: DataFrame, threshold: float) -> DataFrame:
-    """target_gene, gene, z_p, z_r, sig_p, sig_r, rank_p, rank_r from two test tables."""
-    keys = ["target_gene", "gene"]
+def significance_pairs(pred: DataFrame, real: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
+    """by..., target_gene, gene, z_p, z_r, sig_p, sig_r, rank_p, rank_r from two test tables."""
+    keys = [*by, "target_gene", "gene"]
     both = pred.select(*keys, F.col("z").alias("z_p")).join(real.select(*keys, F.col("z").alias("z_r")), keys)
 
     def rank(z: str):
-        return F.row_number().over(W.partitionBy("target_gene").orderBy(F.desc(F.round(F.abs(z), 9)), "gene"))
+        return F.row_number().over(W.partitionBy(*by, "target_gene").orderBy(F.desc(F.round(F.abs(z), 9)), "gene"))
 
     return both.select(
         *keys, "z_p", "z_r", (F.abs("z_p") > threshold).alias("sig_p"), (F.abs("z_r") > threshold).alias("sig_r"),
@@ -132,31 +132,31 @@ def n_significant(pairs: DataFrame) -> DataFrame:
     )
 
 
-def significance_jaccard(pairs: DataFrame) -> DataFrame:
+def significance_jaccard(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """|both| / |either|; NULL when no gene is significant on either side."""
     both, either = F.count_if(F.col("sig_p") & F.col("sig_r")), F.count_if(F.col("sig_p") | F.col("sig_r"))
-    return pairs.groupBy("target_gene").agg(both.alias("both"), either.alias("either")).withColumn(
+    return pairs.groupBy(*by, "target_gene").agg(both.alias("both"), either.alias("either")).withColumn(
         "value", F.when(F.col("either") > 0, F.col("both") / F.col("either"))
     )
 
 
-def direction_agreement(pairs: DataFrame) -> DataFrame:
-    """Share of the real significant genes whose predicted sign is the same."""
-    same = F.count_if(F.col("sig_r") & (F.signum("z_p") == F.signum("z_r")))
-    return pairs.groupBy("target_gene").agg(same.alias("same"), F.count_if(F.col("sig_r")).alias("n")).withColumn(
+def direction_agreement(pairs: DataFrame, by: Sequence[str] = (), sig: str = "sig_r") -> DataFrame:
+    """Share of the significant genes (the real ones, or of side ``sig``) whose predicted and real sign are the same."""
+    same = F.count_if(F.col(sig) & (F.signum("z_p") == F.signum("z_r")))
+    return pairs.groupBy(*by, "target_gene").agg(same.alias("same"), F.count_if(F.col(sig)).alias("n")).withColumn(
         "value", F.when(F.col("n") > 0, F.col("same") / F.col("n"))
     )
 
 
-def fold_change_error(pairs: DataFrame, pred_lfc: DataFrame, real_lfc: DataFrame) -> DataFrame:
+def fold_change_error(pairs: DataFrame, pred_lfc: DataFrame, real_lfc: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """sum |lfc_p - lfc_r| / sum |lfc_r| over the real significant genes."""
-    keys = ["target_gene", "gene"]
+    keys = [*by, "target_gene", "gene"]
     rows = (
         pairs.filter("sig_r").select(*keys)
         .join(pred_lfc.select(*keys, F.col("log2fc").alias("lfc_p")), keys)
         .join(real_lfc.select(*keys, F.col("log2fc").alias("lfc_r")), keys)
     )
-    agg = rows.groupBy("target_gene").agg(
+    agg = rows.groupBy(*by, "target_gene").agg(
         F.sum(F.abs(F.col("lfc_p") - F.col("lfc_r"))).alias("err"), F.sum(F.abs("lfc_r")).alias("size")
     )
     return agg.withColumn("value", F.when(F.col("size") > 0, F.col("err") / F.col("size")))

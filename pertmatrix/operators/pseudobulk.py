@@ -52,7 +52,11 @@ def label_sums(
     all empty stays with n_cells 0. ``save`` writes the sums to scratch space, for plans that use
     them more than once."""
     cells = filter_labels(matrix.cells, keep, skip)
-    entries = labelled(CountMatrix(cells, matrix.genes, matrix.expr))
+    return entry_sums(labelled(CountMatrix(cells, matrix.genes, matrix.expr)), cells, by, save)
+
+
+def entry_sums(entries: DataFrame, cells: DataFrame, by: Sequence[str], save: bool = False) -> PseudobulkSums:
+    """The sums of labelled entries whose cells are ``cells``."""
     gene = sum_entries(entries, by)
     if save:
         gene = materialized(gene, "pb-gene")
