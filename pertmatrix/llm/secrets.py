@@ -20,6 +20,8 @@ from pertmatrix.llm.common import let, words
 from pertmatrix.session import materialized
 
 SHORTEST = 12
+#: So many characters before and behind a value are looked at; a word can be a whole file without blanks.
+NEAR = 64
 #: Formats that only secrets have.
 FORMATS = (
     r"A(?:KI|SI)A[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36,}", r"xox[abprs]-[0-9A-Za-z-]{10,}", r"AIza[0-9A-Za-z_-]{35}",
@@ -37,22 +39,23 @@ DICTIONARY = (
 ).split()
 
 _PATH, _KEY = r"://|^[./~]|(?:[^/]*/){2}", r"^[A-Za-z0-9+/_~.-]+$"
+#: What can lie between the start of an address or path and a value in it.
+_SAME = r"[^\x22'`(),;<>\[\]{}|]*"
 FEATURES = (
     "length", "digits", "capitals", "small", "signs", "changes", "distinct", "longest_run", "dictionary", "hexadecimal", "path", "dots", "quoted", "key_word", "plain_word",
 )
 
 
-def _value(word: Column) -> Column:
-    """The longest part of a word between the signs that set values off, the last in order of text on a tie."""
-    parts = F.split(word, r"[=:\x22'`(),;<>\[\]{}|]+")
-    return F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("v"))))["v"]
+def _pieces(word: Column) -> Column:
+    """Long parts of a word between the signs that set values off, at odd places; what lies around them at even ones."""
+    return F.split(F.regexp_replace(word, r"[^=:\x22'`(),;<>\[\]{}|?&@\n]{%d,}" % SHORTEST, "\n$0\n"), "\n")
 
 
 def _is_format(value: Column) -> Column:
     return value.rlike("^(?:" + "|".join(FORMATS) + ")$")
 
 
-def _features(word: Column, value: Column, beside: Column) -> Column:
+def _features(word: Column, value: Column, own: Column, beside: Column) -> Column:
     n = F.length(value).cast("double")
 
     def share(kinds: str) -> Column:
@@ -61,7 +64,7 @@ def _features(word: Column, value: Column, beside: Column) -> Column:
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
     runs = F.filter(F.split(F.regexp_replace(kinds, r"(?<=(.))(?!\1)", " "), " "), lambda r: r != "")
     known = "|".join(w for w in DICTIONARY if len(w) >= 3)
-    flags = [value.rlike(r"^[0-9a-fA-F]+$"), word.rlike(_PATH), F.lit(None), word.rlike(r"[\x22'`]"), beside.rlike(KEY_WORDS), beside.rlike(PLAIN_WORDS)]
+    flags = [value.rlike(r"^[0-9a-fA-F]+$"), own.rlike(_PATH), F.lit(None), word.rlike(r"[\x22'`]"), beside.rlike(KEY_WORDS), beside.rlike(PLAIN_WORDS)]
     number = [f.cast("double") for f in flags]
     number[2] = (n - F.length(F.translate(value, ".", ""))) / n
     return F.array(
@@ -72,26 +75,44 @@ def _features(word: Column, value: Column, beside: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<place, word, value, beside, features>>: the candidates of a text by the number of their word.
+    """array<struct<place, part, word, value, beside, features>>: the candidates of a text by their word and part of it.
 
-    ``beside`` is the two words before, the part of the word before the value, and the word behind. A null text
-    has no candidates; a long text is searched to its end.
+    A word has as many candidates as it has parts that fit, so text without blanks is judged whole. ``word`` is the
+    value with up to NEAR characters on both sides; ``beside`` is the two words before, the part of the word before
+    the value, and the word behind, up to NEAR characters of each. A null text has no candidates; a long text is
+    searched to its end.
     """
 
     def of(ws: Column) -> Column:
         def found(word: Column, place: Column) -> Column:
-            def with_value(value: Column) -> Column:
-                beside = F.concat_ws(" ", F.get(ws, place - 2), F.get(ws, place - 1), F.call_function("substring_index", word, value, F.lit(1)), F.get(ws, place + 1))
-                fits = (F.length(value) >= SHORTEST) & value.rlike(_KEY) & (value.rlike("[0-9]") | _is_format(value))
-                return F.when(fits, F.struct(place.alias("place"), word.alias("word"), value.alias("value"), beside.alias("beside")))
+            around = F.struct(F.concat_ws(" ", F.right(F.get(ws, place - 2), F.lit(NEAR)), F.right(F.get(ws, place - 1), F.lit(NEAR))).alias("a"), F.left(F.get(ws, place + 1), F.lit(NEAR)).alias("b"))
 
-            return F.when((F.length(word) >= SHORTEST) & word.rlike("[0-9]|" + "|".join(FORMATS)), let(_value(word), with_value))
+            def parts(x: Column) -> Column:
+                pieces, words_beside = x["pieces"], x["around"]
 
-        return F.filter(F.transform(ws, found), lambda c: c.isNotNull())
+                def part(value: Column, i: Column) -> Column:
+                    before = F.right(F.concat(F.coalesce(F.get(pieces, i - 2), F.lit("")), F.get(pieces, i - 1)), F.lit(NEAR))
+                    behind = F.left(F.get(pieces, i + 1), F.lit(NEAR))
+                    fits = (i % 2 == 1) & value.rlike(_KEY) & (value.rlike("[0-9]") | _is_format(value))
+                    return F.when(
+                        fits,
+                        F.struct(
+                            place.alias("place"), F.floor(i / 2).cast("int").alias("part"), F.concat(before, value, behind).alias("word"), value.alias("value"),
+                            F.concat(F.regexp_extract(before, _SAME + "$", 0), value, F.regexp_extract(behind, "^" + _SAME, 0)).alias("own"),
+                            F.concat_ws(" ", words_beside["a"], before, words_beside["b"]).alias("beside"),
+                        ),
+                    )
+
+                return F.filter(F.transform(pieces, part), lambda c: c.isNotNull())
+
+            whole = F.struct(_pieces(word).alias("pieces"), around.alias("around"))
+            return F.when((F.length(word) >= SHORTEST) & word.rlike("[0-9]|" + "|".join(FORMATS)), let(whole, parts))
+
+        return F.flatten(F.filter(F.transform(ws, found), lambda c: c.isNotNull()))
 
     return F.transform(
         let(words(text), of),
-        lambda c: F.struct(c["place"].alias("place"), c["word"].alias("word"), c["value"].alias("value"), c["beside"].alias("beside"), _features(c["word"], c["value"], c["beside"]).alias("features")),
+        lambda c: F.struct(*[c[n].alias(n) for n in ("place", "part", "word", "value", "beside")], _features(c["word"], c["value"], c["own"], c["beside"]).alias("features")),
     )
 
 
@@ -167,7 +188,7 @@ def scan(
 ) -> DataFrame:
     """The columns ``carry`` of ``docs`` (all without it) and ``column``: each row's findings.
 
-    A finding is a candidate as struct<place, value, probability, secret>. Without a ``forest``, one is fitted
+    A finding is a candidate as struct<place, part, value, probability, secret>. Without a ``forest``, one is fitted
     on the candidates of ``docs`` that ``label_findings`` settles, with ``fit`` for ``fit_forest``. A candidate is a
     secret if at least the share ``least`` of the trees says so. The fixed formats are always secrets, and are
     the only ones where there are no labelled findings of both kinds to fit a forest on. Null and empty texts have no candidates.
@@ -183,11 +204,11 @@ def scan(
 
     def judged(c: Column) -> Column:
         p = F.when(_is_format(c["value"]), 1.0).otherwise(F.lit(0.0) if forest is None else forest.probability(c["features"]))
-        return F.struct(c["place"].alias("place"), c["value"].alias("value"), p.alias("probability"))
+        return F.struct(c["place"].alias("place"), c["part"].alias("part"), c["value"].alias("value"), p.alias("probability"))
 
     with_p = F.transform(F.col(column), judged)
     return found.withColumn(
-        column, F.transform(with_p, lambda x: F.struct(x["place"].alias("place"), x["value"].alias("value"), x["probability"].alias("probability"), (x["probability"] >= least).alias("secret")))
+        column, F.transform(with_p, lambda x: F.struct(*[x[n].alias(n) for n in ("place", "part", "value", "probability")], (x["probability"] >= least).alias("secret")))
     )
 
 
