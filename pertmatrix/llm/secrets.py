@@ -1,9 +1,8 @@
 """Secret scans with a random forest against false positives, native.
 
-Candidates are long runs of key characters with a digit, or in a format that only secrets have, found word by
-word. Their features (length, changes
-between kinds of characters, dictionary coverage, path, neighbouring words) go to a random forest that was
-trained on labelled findings. The forest is turned into column expressions, so a scan is one pass over the
+Candidates are values in a format that only secrets have, wherever they stand, and other long runs of key
+characters with a digit. Their features (length, changes between kinds of characters, dictionary coverage, path,
+neighbouring words) go to a random forest that was trained on labelled findings. The forest is turned into column expressions, so a scan is one pass over the
 texts without a shuffle, and every row is judged in its place.
 """
 
@@ -27,6 +26,8 @@ FORMATS = (
     r"A(?:KI|SI)A[0-9A-Z]{16}", r"gh[pousr]_[0-9A-Za-z]{36,}", r"xox[abprs]-[0-9A-Za-z-]{10,}", r"AIza[0-9A-Za-z_-]{35}",
     r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", r"glpat-[0-9A-Za-z_-]{20,}", r"eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]+",
 )
+#: A format wherever no letter or digit touches it, but for an escaped sign before it.
+_ANYWHERE = r"(?:(?<![0-9A-Za-z])|(?<=%[0-9A-Fa-f]{2})|(?<=\\[bfnrt])|(?<=\\u[0-9A-Fa-f]{4}))(?:" + "|".join(FORMATS) + ")(?![0-9A-Za-z])"
 #: Words beside a secret, and words beside numbers that are none.
 KEY_WORDS = r"(?i)passw|passphrase|\bpwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth"
 PLAIN_WORDS = r"(?i)order|invoice|phone|\btel|isbn|issn|card|iban|commit|version|build|page|serial|tracking|figure|uuid|checksum"
@@ -38,7 +39,9 @@ DICTIONARY = (
     "item list menu search result news blog post article comment about contact help support http https www com org net html php"
 ).split()
 
-_PATH, _KEY = r"://|^[./~]|(?:[^/]*/){2}", r"^[A-Za-z0-9+/_~.-]+$"
+#: A long run of key characters, without full stops at its end if it is long enough without them.
+_RUN = r"[A-Za-z0-9+/_~.-]{%d,}[A-Za-z0-9+/_~-]|[A-Za-z0-9+/_~.-]{%d,}" % (SHORTEST - 1, SHORTEST)
+_PATH = r"://|^[./~]|(?:[^/]*/){2}"
 #: What can lie between the start of an address or path and a value in it.
 _SAME = r"[^\x22'`(),;<>\[\]{}|]*"
 FEATURES = (
@@ -47,8 +50,13 @@ FEATURES = (
 
 
 def _pieces(word: Column) -> Column:
-    """Long parts of a word between the signs that set values off, at odd places; what lies around them at even ones."""
-    return F.split(F.regexp_replace(word, r"[^=:\x22'`(),;<>\[\]{}|?&@\n]{%d,}" % SHORTEST, "\n$0\n"), "\n")
+    """Fixed formats and long runs of key characters of a word at odd places; what lies around them at even ones."""
+    outer = F.split(F.regexp_replace(word, _ANYWHERE, "\n$0\n"), "\n")
+
+    def rest(piece: Column, i: Column) -> Column:
+        return F.when(i % 2 == 1, F.array(piece)).otherwise(F.split(F.regexp_replace(piece, _RUN, "\n$0\n"), "\n"))
+
+    return F.flatten(F.transform(outer, rest))
 
 
 def _is_format(value: Column) -> Column:
@@ -77,7 +85,8 @@ def _features(word: Column, value: Column, own: Column, beside: Column) -> Colum
 def candidates(text: Column) -> Column:
     """array<struct<place, part, word, value, beside, features>>: the candidates of a text by their word and part of it.
 
-    A word has as many candidates as it has parts that fit, so text without blanks is judged whole. ``word`` is the
+    A word has as many candidates as fixed formats and runs of key characters beside them, so text without blanks is
+    judged whole and what touches a value does not hide it; full stops at the end are no part of a long run. ``word`` is the
     value with up to NEAR characters on both sides; ``beside`` is the two words before, the part of the word before
     the value, and the word behind, up to NEAR characters of each. A null text has no candidates; a long text is
     searched to its end.
@@ -93,7 +102,7 @@ def candidates(text: Column) -> Column:
                 def part(value: Column, i: Column) -> Column:
                     before = F.right(F.concat(F.coalesce(F.get(pieces, i - 2), F.lit("")), F.get(pieces, i - 1)), F.lit(NEAR))
                     behind = F.left(F.get(pieces, i + 1), F.lit(NEAR))
-                    fits = (i % 2 == 1) & value.rlike(_KEY) & (value.rlike("[0-9]") | _is_format(value))
+                    fits = (i % 2 == 1) & (value.rlike("[0-9]") | _is_format(value))
                     return F.when(
                         fits,
                         F.struct(
