@@ -8,6 +8,9 @@ each document of the cell is sampled, by a seeded hash of its id.
 
 from __future__ import annotations
 
+import functools
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pertmatrix.functions.hashing import draw_index, seed_hash
@@ -15,6 +18,8 @@ from pertmatrix.session import materialized
 
 NONE = "(none)"
 _DRAWS = 1_000_000_000
+#: Relative error at which a marginal meets its target, and sweeps before an error that no longer falls counts as final.
+TOLERANCE, SETTLED = 1e-3, 48
 
 
 def text_topic(text: Column) -> Column:
@@ -36,19 +41,50 @@ def tempered_targets(cells: DataFrame, dims: list[str], power: float) -> dict[st
     return {d: cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("weight"), F.lit(power)).alias("share")) for d in dims}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 6) -> DataFrame:
-    """``cells`` (dims, weight) with ``raked``: the weights after ``sweeps`` rounds of proportional fitting.
-
-    Shares count relative to their sum over the values that have cells. Values without a target have none, so
-    their cells get the raked weight 0; so do cells without tokens.
+def _swept(cells: DataFrame, dims: list[str], sweeps: int) -> DataFrame:
+    for _ in range(sweeps):
+        for d in dims:
+            cells = cells.withColumn("raked", F.coalesce(F.col("raked") * F.col(f"_share_{d}") / F.nullif(F.sum("raked").over(Window.partitionBy(d)), F.lit(0.0)), F.lit(0.0)))
+    return cells
+
+
+def _worst(cells: DataFrame, dims: list[str]) -> tuple[float, str, str]:
+    """(error, dimension, value) of the value with a target whose share of the raked weights is relatively farthest from it."""
+    found = []
+    for d in dims:
+        each = cells.groupBy(F.col(d).alias("value")).agg(F.sum("raked").alias("have"), F.max(f"_share_{d}").alias("want"))
+        total = each.agg(F.sum("have").alias("all_have"), F.sum("want").alias("all_want"))
+        quotient = F.coalesce(F.col("have") / F.nullif(F.col("all_have"), F.lit(0.0)), F.lit(0.0)) * F.col("all_want") / F.col("want")
+        found.append(each.where("want > 0").crossJoin(total).agg(F.max(F.struct(F.abs(quotient - 1).alias("error"), F.lit(d).alias("dim"), "value")).alias("w")))
+    worst = functools.reduce(DataFrame.unionByName, found).agg(F.max("w").alias("w")).first()["w"]
+    return tuple(worst) if worst else (0.0, "", "")
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 6, tolerance: float = TOLERANCE) -> DataFrame:
+    """``cells`` (dims, weight) with ``raked``: the weights after proportional fitting.
+
+    After each ``sweeps`` rounds the cells are written and held against the targets, until no marginal is off by more
+    than ``tolerance`` of its target. Where targets contradict each other no weights meet them: if twice the rounds
+    leave the error as it was, the fit ends with a warning that names it. Shares count relative to their sum over the
+    values that have cells. Values without a target have none, so their cells get the raked weight 0; so do cells
+    without tokens.
     """
     out = cells
     for d, target in targets.items():
         out = out.join(target.groupBy(F.col("value").alias(d)).agg(F.sum("share").alias(f"_share_{d}")), d, "left").fillna(0.0, [f"_share_{d}"])
-    out = out.withColumn("raked", F.col("weight"))
-    for _ in range(sweeps):
-        for d in targets:
-            out = out.withColumn("raked", F.coalesce(F.col("raked") * F.col(f"_share_{d}") / F.nullif(F.sum("raked").over(Window.partitionBy(d)), F.lit(0.0)), F.lit(0.0)))
+    dims = list(targets)
+    out = materialized(_swept(out.withColumn("raked", F.col("weight")), dims, sweeps), "mix-raked")
+    done = looked = sweeps
+    worst = _worst(out, dims)
+    then = worst[0]
+    while worst[0] > tolerance:
+        out = materialized(_swept(out, dims, sweeps), "mix-raked")
+        done, worst = done + sweeps, _worst(out, dims)
+        if done >= max(SETTLED, 2 * looked):
+            if worst[0] > tolerance and worst[0] > 0.99 * then:
+                warnings.warn(f"targets contradict each other: after {done} sweeps {worst[1]} {worst[2]!r} is {worst[0]:.2%} off its target", stacklevel=2)
+                break
+            looked, then = done, worst[0]
     return out.select(*cells.columns, "raked")
 
 
@@ -60,7 +96,8 @@ def mix(
 
     ``dims`` names the dimensions and gives their values, ``tokens`` a document's tokens. ``targets`` has
     (value, share) per dimension; without it the targets are the own shares to ``power``. Documents of values
-    without a target are never drawn; documents in cells without tokens are always, as they weigh nothing.
+    without a target are never drawn; documents in cells without tokens are always, as they weigh nothing. Targets
+    are met to TOLERANCE, looked at every ``sweeps`` rounds of ``rake``, which warns of targets that contradict each other.
     Rows with the same id have the same draw, null ids included; all rows are judged. Columns of ``docs`` that
     begin with ``prefix`` are not allowed.
     """

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pertmatrix.llm import bpe, chat_format, hamming, id_files, mixing, near_dup, quality, secrets, token_count, url_filter
+from pertmatrix.llm.queries import SWEEPS
 
 BLANK = "[^\x20\x09-\x0d]+"
 ODD = [
@@ -449,6 +451,23 @@ def test_raked_weights_meet_the_targets_and_draws_follow(spark):
     assert {r["_m_probability"] for r in only.select("_m_lang", "_m_probability").distinct().collect()} == {0.0, 1.0}
 
 
+def test_raking_goes_on_until_targets_are_met(spark):
+    """With the sweeps of op10 and of the pipeline."""
+    weights = {("hot", "x"): 90000.0, ("hot", "y"): 40.0, ("b", "x"): 60.0, ("b", "y"): 30000.0, ("c", "x"): 50.0, ("c", "y"): 700.0}
+    cells = spark.createDataFrame([(*k, w) for k, w in weights.items()], "source string, lang string, weight double")
+    share = {"source": {"hot": 0.4, "b": 0.4, "c": 0.2}, "lang": {"x": 0.6, "y": 0.4}}
+    targets = {d: spark.createDataFrame(list(v.items()), "value string, share double") for d, v in share.items()}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        got = mixing.rake(cells, targets, SWEEPS).collect()
+    total = sum(r["raked"] for r in got)
+    for d, v in share.items():
+        for x, want in v.items():
+            assert abs(sum(r["raked"] for r in got if r[d] == x) / total / want - 1) <= mixing.TOLERANCE, (d, x)
+    with pytest.warns(UserWarning, match="contradict"):
+        mixing.rake(cells.where("source <> 'c' OR lang = 'x'"), targets | {"source": spark.sql("SELECT * FROM VALUES ('hot', 0.1D), ('b', 0.1D), ('c', 0.8D) AS t(value, share)")}, SWEEPS)
+
+
 def test_digest_of_empty_text_is_that_of_nothing(docs):
     r = bpe.decode(bpe.encode(docs([(1, None)]), RANKS, public_tokenizers.PATTERN), RANKS).select(F.sha2("ids", 256)).first()
     assert r[0] == hashlib.sha256(b"").hexdigest()
