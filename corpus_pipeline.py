@@ -21,10 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (shingles of five words, similarity 0.8); rows with the same id are one."""
+    """One document of each group of near duplicates (shingles of five words, similarity 0.8); rows with the same id are one, of which the longest text stays."""
     judged = materialized(near_dup.near_duplicates(docs, width=5, percent=80), "pipeline-kept")
     kept = judged.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    whole = F.struct(*docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(whole, F.struct(F.length("text"), "text")).alias("_row")).select("_row.*")
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links reach, and the document with that id is kept. Candidates come from bands, which miss a pair at the
     threshold with a chance of about 3 in 10 ** 6 and more similar ones far more rarely; every link is confirmed on
     full sets. Null texts and texts without words have no shingles and no links. Rows with the same id are one
-    document, linked through each of its texts. Rows without an id cannot be named: they have a null component
+    document, linked through each of its texts, and lie in one component. Rows without an id cannot be named: they have a null component
     and are kept. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -201,8 +201,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     signed = materialized(signed, "near-signed")
     classes = materialized(
-        signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rid"), F.first("n").alias("n"), F.first("signs").alias("signs")), "near-classes"
+        signed.where("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("signs").alias("signs"))
+        .withColumn("rid", F.monotonically_increasing_id()), "near-classes",
+    )
+    # ids with more than one set, the empty one included; their sets are linked as sets of one document
+    a_print = F.coalesce("print", F.lit(b""))
+    several = materialized(
+        signed.where("id IS NOT NULL").groupBy("id").agg(F.min(a_print).alias("_x"), F.max(a_print).alias("_y")).where("_x <> _y").select("id", F.col("_y").alias("other")), "near-several"
     )
+    prints = classes.select("print", "rid")
+    same_id = signed.where("print IS NOT NULL").select("id", "print").join(several, "id").where("print <> other").select("print", "other").distinct()
+    own_links = materialized(same_id.join(prints.toDF("print", "a"), "print").join(prints.toDF("other", "b"), "other").select("a", "b"), "near-own-links")
     # every key of a set, in the same order in all sets: by layout, then by band
     keys = F.flatten(F.transform("signs", _bands))
     keyed = classes.select("rid", F.explode(keys).alias("key"))
@@ -212,13 +221,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active = materialized(weights, "near-active")
     buckets = buckets.join(active, "rid")
     wanted = active.select("rid")
-    texts = materialized(rows.where("id IS NOT NULL").join(wanted.withColumnRenamed("rid", "id"), "id", "left_semi").select(F.col("id").alias("rid"), "text"), "near-texts")
+    # an id with several sets gives each of them all its texts: links found by the others are links of the same document
+    texts = materialized(rows.join(classes.select("rid", F.col("least").alias("id")).join(wanted, "rid", "left_semi"), "id").select("rid", "text"), "near-texts")
     corpus = _Corpus(classes, texts, width, percent)
 
     central = F.struct(F.col("weight"), (-F.col("rid")).alias("r"))
     pivots = buckets.groupBy("key").agg(F.max_by("rid", central).alias("a"))
     pairs = buckets.join(pivots, "key").where("rid <> a").select("a", F.col("rid").alias("b")).distinct()
-    roots = _merged(active.select("rid", F.col("rid").alias("root")), corpus.links(pairs))
+    linked = wanted.union(own_links.select("a")).union(own_links.select("b")).distinct()
+    roots = _merged(linked.select("rid", F.col("rid").alias("root")), corpus.links(pairs).union(own_links))
 
     members = materialized(_mixed(buckets, roots), "near-mixed")
     members, pairs = _common_and_rare(members, roots, corpus)
@@ -240,10 +251,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         unfinished = left.groupBy("key").agg(F.max("rank").alias("_last")).where(F.col("_last") > done + 1).select("key")
         ranked = materialized(left.join(unfinished, "key", "left_semi").drop("root"), "near-ranked")
 
-    named = signed.join(classes.select("print", "rid"), "print", "left").join(roots, "rid", "left")
-    each = named.select("id", "n", F.coalesce("root", "rid", "id").alias("root"))
-    # an id with several texts lies in the smallest of their components
-    component = F.when(F.col("id").isNull(), F.lit(None).cast("bigint")).otherwise(F.least("root", "id"))
+    rooted = classes.select("print", "rid", "least").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = signed.select("id", "n", "print").join(rooted.join(smallest, "root").select("print", "component"), "print", "left")
+    each = named.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
+    if not several.isEmpty():  # rows without shingles lie where their id's other rows do
+        each = materialized(each, "near-each")
+        of_id = each.join(several.select("id"), "id", "left_semi").groupBy("id").agg(F.min("component").alias("_least"))
+        each = each.join(of_id, "id", "left").withColumn("component", F.coalesce("_least", "component"))
     return each.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept")
     )

@@ -15,6 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from pertmatrix.llm import bpe, chat_format, hamming, id_files, mixing, near_dup, quality, secrets, token_count, url_filter
 from pertmatrix.llm.queries import SWEEPS
 
@@ -129,6 +130,19 @@ def test_near_duplicates_odd_rows(docs):
     assert near_dup.near_duplicates(docs([]), width=4).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark, docs):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(90))
+    near_b, alone = b.replace("b89", "z"), [" ".join(f"{c}{k}" for k in range(20)) for c in "cd"]
+    data = [(3, a), (7, a), (7, b), (9, near_b), (9, ""), (20, alone[0]), (20, alone[1]), (20, None), (21, alone[1]), (30, "e1 e2 e3 e4 e5"), (31, "")]
+    for table in (data, [(-i, t) for i, t in data]):
+        ids = {i for i, _ in table}
+        group = {i: next(min(x for x in ids if abs(x) in g) for g in ((3, 7, 9), (20, 21), (30,), (31,)) if abs(i) in g) for i in ids}
+        got = rows(near_dup.near_duplicates(docs(table), width=4), "doc_id", "component_id", "kept")
+        assert ordered(got) == ordered((i, group[i], i == group[i]) for i, _ in table)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs([(-i, t) for i, t in data]), "").collect()]
+    assert ordered(kept) == ordered([(-9, near_b), (-21, alone[1]), (-30, "e1 e2 e3 e4 e5"), (-31, "")])
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(3)
     for n in (5, 40, 700, 5000):
