@@ -179,10 +179,10 @@ def _parse(text: str) -> tuple:
 def fit_forest(labelled: DataFrame, sample: int = 20_000, trees: int = 15, depth: int = 4, seed: int = 1) -> Forest | None:
     """A forest from (features, label); null labels are left out.
 
-    At most ``sample`` findings of each label take part, those with the smallest hashes, so the fit costs the
-    same at every size. None if there are not both labels.
+    At most ``sample`` different findings of each label take part, those with the smallest hashes, so the fit costs
+    the same at every size and copies of a document count once. None if there are not both labels.
     """
-    known = labelled.where(F.col("label").isNotNull()).select("features", "label")
+    known = labelled.where(F.col("label").isNotNull()).select("features", "label").distinct()
     drawn = [known.where(F.col("label") == x).orderBy(F.xxhash64("features"), "features").limit(sample) for x in (0.0, 1.0)]
     train = materialized(drawn[0].unionByName(drawn[1]).coalesce(1), "secret-findings")
     if train.select(F.countDistinct("label")).first()[0] < 2:
