@@ -9,6 +9,7 @@ texts without a shuffle, and every row is judged in its place.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -176,18 +177,19 @@ def _parse(text: str) -> tuple:
     return tuple(node(iter([x for x in part.splitlines()[1:] if x.strip()])) for part in re.split(r"(?=Tree \d+ \()", text)[1:])
 
 
-def fit_forest(labelled: DataFrame, sample: int = 20_000, trees: int = 15, depth: int = 4, seed: int = 1) -> Forest | None:
+def fit_forest(labelled: DataFrame, sample: int = 20_000, trees: int = 15, depth: int = 4, seed: int = 1, held_out: Sequence[str] = ()) -> Forest | None:
     """A forest from (features, label); null labels are left out.
 
     At most ``sample`` different findings of each label take part, those with the smallest hashes, so the fit costs
-    the same at every size and copies of a document count once. None if there are not both labels.
+    the same at every size and copies of a document count once. No tree looks at the features ``held_out``, for labels made by rules on these. None if there are not both labels.
     """
     known = labelled.where(F.col("label").isNotNull()).select("features", "label").distinct()
     drawn = [known.where(F.col("label") == x).orderBy(F.xxhash64("features"), "features").limit(sample) for x in (0.0, 1.0)]
     train = materialized(drawn[0].unionByName(drawn[1]).coalesce(1), "secret-findings")
     if train.select(F.countDistinct("label")).first()[0] < 2:
         return None
-    rows = train.select(array_to_vector("features").alias("features"), "label")
+    shown = F.transform("features", lambda x, i: F.when(i.isin([FEATURES.index(n) for n in held_out]), 0.0).otherwise(x)) if held_out else F.col("features")
+    rows = train.select(array_to_vector(shown).alias("features"), "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
     return Forest(_parse(model.toDebugString))
 
