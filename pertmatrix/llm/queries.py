@@ -1,13 +1,14 @@
-"""The ten operators as registered queries over whole tables, with SQL where SQL can say the same."""
+"""The thirteen operators as registered queries over whole tables, with SQL where SQL can say the same."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pertmatrix.llm import bpe, chat_format, hamming, id_files, mixing, near_dup, quality, secrets, token_count, url_filter
+from pertmatrix.llm import bpe, chat_format, hamming, id_files, line_dedup, mixing, near_dup, quality, secrets, spelling, token_count, turn_repair, url_filter
 from pertmatrix.llm.common import table, words
 from pertmatrix.session import scratch_path
 
@@ -177,3 +178,160 @@ def mix_documents(docs: DataFrame, source, lang) -> DataFrame:
     """The mixing of ``op10`` and of the pipeline: tokens are words, topics stand for what a text carries."""
     dims = {"source": source, "lang": lang, "topic": mixing.text_topic(F.col("text"))}
     return mixing.mix(docs, dims, F.size(words(F.col("text"))), power=POWER, seed=SEED, sweeps=SWEEPS)
+
+
+#: SQL: CRC-32 of the column ``name`` of the table ``named`` as crc(name, h), byte by byte.
+_CRC32 = """
+crc_table AS (
+  SELECT i, c FROM (
+    WITH RECURSIVE t(i, k, c) AS (
+      SELECT range, 0, range FROM range(256)
+      UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8)
+    SELECT i, c FROM t WHERE k = 8)),
+crc_run(name, digits, k, c) AS (
+  SELECT name, hex(encode(name)), 0, 4294967295::BIGINT FROM named
+  UNION ALL
+  SELECT name, digits, k + 1, xor(r.c >> 8, t.c) FROM crc_run r
+  JOIN crc_table t ON t.i = xor(r.c & 255, CAST('0x' || substr(digits, 2 * k + 1, 2) AS BIGINT)) WHERE 2 * k < length(digits)),
+crc AS (SELECT name, xor(c, 4294967295) AS h FROM crc_run WHERE 2 * k = length(digits))"""
+
+
+def _op11() -> str:
+    """Costs and audits are one string, the cost in nine digits, so the least string is the least (cost, audit)."""
+
+    def add(value, cost, letter):
+        return f"(lpad(CAST(CAST(substr({value}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({value}, 10) || '{letter}')"
+
+    never = "'900000000'"
+    kept = {s: f"CASE WHEN gone OR i <> '{s}' THEN {never} ELSE {{}} END" for s in "sua"}
+    changed = {s: f"CASE WHEN gone OR i = '{s}' THEN {never} ELSE {{}} END" for s in "ua"}
+    before_u = "least(e, s, a1)"
+    return rf"""
+WITH RECURSIVE named AS (SELECT DISTINCT coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+{_CRC32},
+drawn AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, h % 20 AS d
+  FROM conversations JOIN crc ON name = coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM drawn, range(CASE d WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, substr(role, 1, 1) AS initial,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                 WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY k) AS previous FROM placed),
+faults AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (previous IS NOT NULL AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+rec(conv_id, k, e, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, '000000000', {never}, {never}, {never} FROM faults
+  UNION ALL
+  SELECT conv_id, k, {add("e", 3, "D")}, least({add("s", 3, "D")}, {kept["s"].format(add("e", "t", "K"))}),
+         least({add("u1", 3, "D")}, {kept["u"].format(add(before_u, "t", "K"))}, {changed["u"].format(add(before_u, "2 + t", "R"))}),
+         least({add("a1", 3, "D")}, {kept["a"].format(add("u1", "t", "K"))}, {changed["a"].format(add("u1", "2 + t", "R"))})
+  FROM (SELECT *, least(a, {add("u1", 2, "I")}) AS a1
+        FROM (SELECT r.conv_id, f.k, e, s, a, least(u, {add("e", 2, "I")}, {add("s", 2, "I")}, {add("a", 2, "I")}) AS u1,
+                     f.initial AS i, f.fault IN ('blank', 'duplicate') AS gone, CASE WHEN f.fault = 'truncated' THEN 1 ELSE 0 END AS t
+              FROM rec r JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.k = r.k + 1))),
+last_rec AS (
+  SELECT r.conv_id, least(e, a, {add(f"least(u, {add('e', 2, 'I')}, {add('s', 2, 'I')})", 2, "I")}) AS best
+  FROM rec r JOIN faults f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.n = r.k),
+audits AS (SELECT conv_id, CAST(substr(best, 1, 9) AS BIGINT) AS cost, substr(best, 10) AS audit FROM last_rec),
+edits AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p, unnest(string_split(audit, '')) AS edit FROM audits WHERE audit <> ''),
+spots AS (
+  SELECT conv_id, p, edit, count(*) FILTER (edit <> 'I') OVER w AS k, count(*) FILTER (edit <> 'D') OVER w AS o
+  FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+turned AS (
+  SELECT q.conv_id, p, edit, o, f.role, f.text, max(CASE WHEN edit = 'K' AND o = 1 AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.conv_id) AS led
+  FROM spots q LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.k = q.k AND edit <> 'I' WHERE edit <> 'D'),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS lines
+  FROM turned GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """The contract's damage: by the CRC-32 of ``conv_id:turn``, nulls as one space."""
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(name) % 20).alias("_d"))
+    text = F.when(F.col("_d") == 1, F.lit("")).when(F.col("_d") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    changed = rows.where("_d <> 0").select("conv_id", "turn", F.when(F.col("_d") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"), text.alias("text"), "_d")
+    return changed.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.when(F.col("_d") == 3, 2).otherwise(1)))).drop("_", "_d")
+
+
+@query("op11_turn_repair", _op11())
+def op11(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    repaired = turn_repair.repair_turns(damaged_turns(conversations))
+    every = conversations.select("conv_id").distinct()
+    verdicts, digests = repaired.verdicts.withColumnRenamed("conv", "_v"), repaired.digests().withColumnRenamed("conv", "_d")
+    joined = every.join(verdicts, F.col("conv_id").eqNullSafe(F.col("_v")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("_d")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+#: The contract's misspelling and its least count of a word.
+MISSPELT, SEEN = 199, 5
+
+_OP12 = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+named AS (SELECT DISTINCT name FROM counted),
+{_CRC32},
+spelt AS (
+  SELECT CASE WHEN h % {MISSPELT} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, n
+  FROM counted JOIN crc USING (name)),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= {SEEN}),
+holes AS (SELECT word, n, k, substr(word, 1, CAST(k AS BIGINT)) || substr(word, CAST(k AS BIGINT) + 2) AS rest FROM words, range(40) AS r(k) WHERE k < length(word)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS top, max(other_n) AS top_n, any_value(n) AS n FROM pairs GROUP BY word),
+judged AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * words.n THEN top END AS form, CASE WHEN top_n >= 5 * words.n THEN top_n END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+up(word, root, form) AS (SELECT word, word, form FROM judged UNION ALL SELECT up.word, up.form, j.form FROM up JOIN judged j ON j.word = up.form)
+SELECT j.word, j.form, up.root, j.n, j.n_near, j.form_n FROM judged j JOIN up ON up.word = j.word AND up.form IS NULL"""
+
+
+def misspelt(doc_id, run: str) -> str:
+    """The contract's damage: one in 199 of the pairs of document and run loses a letter."""
+    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+    if h % MISSPELT:
+        return run
+    k = h % len(run)
+    return run[:k] + run[k + 1 :]
+
+
+@query("op12_spelling_variants", _OP12)
+def op12(spark, sf_dir):
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), least_chars=6, respell=misspelt)
+    return spelling.spelling_groups(counts.where(F.col("n") >= SEEN))
+
+
+_OP13 = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents),
+keyed AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+common AS (SELECT key, max(doc_id) AS top FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+judged AS (SELECT k.*, c.key IS NOT NULL AND doc_id <> top AS dropped FROM keyed k LEFT JOIN common c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256 FROM judged GROUP BY doc_id"""
+
+
+@query("op13_line_dedup", _OP13)
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    cut = line_dedup.without_lines(docs, line_dedup.line_bitmaps(docs, least_chars=20, least_docs=3))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

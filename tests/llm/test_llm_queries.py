@@ -28,7 +28,7 @@ def test_query_judges_every_document(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
     assert {*queries.QUERIES, "pipeline"} <= set(entry_points.queries())
 
 
