@@ -140,7 +140,9 @@ class _Corpus:
         )
         least = self.least
         likely = materialized(joined.select("a", "b", "sa", "sb").mapInArrow(lambda batches: _estimated(batches, least), "a bigint, b bigint").distinct(), "near-likely")
-        both = likely.join(self.texts.toDF("b", "tb"), "b").join(self.texts.toDF("a", "ta"), "a")
+        # only texts of pairs are shuffled; the pairs are a written table, so few of them are broadcast against all texts
+        ta, tb = (self.texts.toDF(x, f"t{x}").join(likely.select(x).distinct(), x, "left_semi") for x in "ab")
+        both = likely.join(tb, "b").join(ta, "a")
         sets = both.select("a", "b", shingles(F.col("ta"), self.width).alias("sa"), shingles(F.col("tb"), self.width).alias("sb"))
         common = F.size(F.array_intersect("sa", "sb"))
         counted = sets.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), common.alias("common"))
