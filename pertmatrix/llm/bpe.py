@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
-#: How many pairs, and how many pieces of text, a task remembers before it starts afresh.
-PAIRS, PIECES = 1 << 20, 1 << 19
+#: How many pairs of tokens, and how many bytes of pieces of text, a task remembers before it starts afresh. A piece
+#: counts with what its two objects take besides; pieces of more than LONG characters are not remembered.
+PAIRS, REMEMBERED, LONG, OVERHEAD = 1 << 20, 1 << 27, 64, 160
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -28,6 +29,18 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in raw.splitlines() if line.strip())}
 
 
+class _Node:
+    """A state of the matching automaton: the longest beginning of a token that the bytes read so far end with."""
+
+    __slots__ = ("text", "next", "tokens")
+
+    def __init__(self, text: bytes):
+        self.text = text
+        self.next: dict[int, _Node] = {}
+        #: (length, token, what is known of the tokens before it) of all tokens that end here, the longest first.
+        self.tokens: list[tuple[int, int, dict[int, bool]]] = []
+
+
 class PrefixBPE:
     """Encoder and decoder for one table of ranks."""
 
@@ -35,54 +48,125 @@ class PrefixBPE:
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._whole: dict[int, bool] = {}
+        self._beginnings = {t[:k] for t in ranks for k in range(len(t) + 1)} | {b""}
+        self._nodes: dict[bytes, _Node] = {}
+        self._known: dict[int, dict[int, bool]] = {}
+        self._spines: dict[int, tuple | None] = {}
+        self._pairs = 0
+
+    def merged(self, data: bytes) -> list[int]:
+        """BPE by its definition, for a few bytes: join the neighbours with the lowest rank, leftmost first."""
+        return [self.ranks[x] for x in self._merges(data)[0]]
 
-    def merged(self, data: bytes, seam: int = 0) -> list[int]:
-        """BPE by its definition, for a few bytes: join the neighbours with the lowest rank, leftmost first.
+    def _merges(self, data: bytes) -> tuple[list[bytes], list, list]:
+        """What BPE makes of ``data``, and how its first and its last part grew: [(part, highest rank merged before it grew on)].
 
-        With a ``seam``, nothing is returned as soon as a token would cross that byte.
+        The last entry of either has no such rank.
         """
         get, never = self.ranks.get, sys.maxsize
         at = list(range(len(data) + 1))
         ranks = [get(data[k : k + 2], never) for k in range(len(data) - 1)]
+        head, tail, high, low = [], [], -1, -1
         while ranks:
             rank = min(ranks)
             if rank == never:
                 break
-            k = ranks.index(rank)
-            if at[k + 1] == seam:
-                return []
+            k, high, low = ranks.index(rank), max(high, rank), max(low, rank)
+            if k == 0:
+                head.append((data[: at[1]], high))
+                high = -1
+            if k == len(ranks) - 1:
+                tail.append((data[at[-2] :], low))
+                low = -1
             del at[k + 1], ranks[k]
             if k < len(ranks):
                 ranks[k] = get(data[at[k] : at[k + 2]], never)
             if k:
                 ranks[k - 1] = get(data[at[k - 1] : at[k + 1]], never)
-        return [self.ranks[data[x:y]] for x, y in zip(at, at[1:])]
-
-    def _valid(self, before: int, token: int) -> bool:
-        """Whether BPE makes just these two tokens of their bytes; ``before`` -1: just ``token``."""
-        if before < 0:
-            if (known := self._whole.get(token)) is None:
-                known = self._whole[token] = self.merged(self.tokens[token]) == [token]
-            return known
-        if (known := self._pairs.get((before, token))) is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            known = self._pairs[before, token] = self.merged((first := self.tokens[before]) + self.tokens[token], len(first)) == [before, token]
-        return known
+        parts = [data[x:y] for x, y in zip(at, at[1:])]
+        return parts, [*head, (parts[0], never)], [*tail, (parts[-1], never)]
+
+    def _spine(self, token: int) -> tuple | None:
+        """How the first and the last part of a token grow while BPE makes it; None if BPE does not make it of its bytes."""
+        if token not in self._spines:
+            parts, head, tail = self._merges(self.tokens[token])
+            self._spines[token] = (head, tail) if len(parts) == 1 else None
+        return self._spines[token]
+
+    def _check(self, before: int, token: int) -> bool:
+        """Whether BPE makes just these two tokens of their bytes; ``before`` -1: just ``token``. Remembered.
+
+        It does if each is made of its own bytes and nothing is ever merged across the seam. Of two sides that
+        grow independently, the one with the lower highest rank ahead grows first; the parts at the seam merge if their
+        rank comes before what holds up either side, the left one first among equals.
+        """
+        mine, right = self._spine(token), True
+        if mine is None:
+            right = False
+        elif before >= 0:
+            if (other := self._spine(before)) is None:
+                right = False
+            else:
+                x, y, i, j, never = other[1], mine[0], 0, 0, sys.maxsize
+                while True:
+                    (left, left_high), (follow, follow_high) = x[i], y[j]
+                    seam = self.ranks.get(left + follow, never)
+                    if seam < left_high and seam <= follow_high and seam != never:
+                        right = False
+                        break
+                    if left_high == follow_high == never:
+                        break
+                    if left_high <= follow_high:
+                        i += 1
+                    else:
+                        j += 1
+        if self._pairs >= PAIRS:
+            for known in self._known.values():
+                known.clear()
+            self._pairs = 0
+        self._pairs += 1
+        self._known[token][before] = right
+        return right
+
+    def _node(self, text: bytes) -> _Node:
+        """The state for bytes that end with ``text``."""
+        while text not in self._beginnings:
+            text = text[1:]
+        if text not in self._nodes:
+            node = self._nodes[text] = _Node(text)
+            for k in range(len(text)):
+                token = self.ranks.get(text[k:])
+                if token is not None:
+                    node.tokens.append((len(text) - k, token, self._known.setdefault(token, {})))
+        return self._nodes[text]
 
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> None:
         """Fill ``last`` (the last token for each prefix of 1, 2, ... bytes) up to ``stop`` bytes, from where it ends."""
-        ranks, tokens, longest, valid = self.ranks, self.tokens, self.longest, self._valid
-        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and valid(last[start - 1] if start else -1, token):
-                    last.append(token)
+        done = len(last)
+        self._fill(data, last, [self._node(data[max(0, done - self.longest) : done])], stop)
+
+    def _fill(self, data: bytes, last: list[int], nodes: list[_Node], stop: int | None = None) -> None:
+        """``extend`` from the state ``nodes`` ends with, adding that of each byte.
+
+        A matching automaton names the tokens that end at a byte, and nothing else; only one of them is right, so any
+        that passes ends the search.
+        """
+        node, at, check = nodes[-1], len(last), self._check
+        for byte in data[at:stop]:
+            then = node.next.get(byte)
+            if then is None:
+                then = node.next[byte] = self._node(node.text + bytes((byte,)))
+            node = then
+            for length, token, known in node.tokens:
+                before = last[at - length] if at >= length else -1
+                right = known.get(before)
+                if right or right is None and check(before, token):
                     break
             else:
-                raise ValueError(f"byte {data[end - 1]} is no token")
+                raise ValueError(f"byte {byte} is no token")
+            last.append(token)
+            nodes.append(node)
+            at += 1
 
     def ids_of(self, last: list[int], upto: int | None = None) -> list[int]:
         """Ids of the first ``upto`` bytes, read from the end of the table."""
@@ -97,9 +181,10 @@ class PrefixBPE:
 
         In sorted order a piece mostly begins as the one before it, whose entries are then kept.
         """
-        out, before, last = {}, b"", []
+        out, before, last, nodes = {}, b"", [], [self._node(b"")]
+        ranks, fill, tokens = self.ranks, self._fill, self.tokens
         for data in sorted(pieces):
-            if (whole := self.ranks.get(data)) is not None:
+            if (whole := ranks.get(data)) is not None:
                 out[data] = [whole]
                 continue
             same = 0
@@ -107,9 +192,15 @@ class PrefixBPE:
                 if x != y:
                     break
                 same += 1
-            del last[same:]
-            self.extend(data, last)
-            before, out[data] = data, self.ids_of(last)
+            del last[same:], nodes[same + 1 :]
+            fill(data, last, nodes)
+            ids, end = [], len(data)
+            while end:
+                token = last[end - 1]
+                ids.append(token)
+                end -= len(tokens[token])
+            ids.reverse()
+            before, out[data] = data, ids
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -145,30 +236,55 @@ class EditableText:
         self.data, self.last = data, last + tail[len(last) - shift :] if len(last) < len(data) else last
 
 
+def _keeps_words(pattern: str) -> bool:
+    """Whether a blank and ASCII letters are one match of the pattern: only what begins with an apostrophe comes before."""
+    first, found, _ = f"|{pattern}|".partition(r"| ?\p{L}+|")
+    return bool(found) and all(x.startswith("'") for x in first.split("|") if x)
+
+
 def _encoder(ranks: bytes, pattern: str):
     """texts -> their ids as bytes, with a memory for pieces between blanks, which BPE never joins."""
     import re
+    import struct
 
-    import numpy as np
     import regex
 
     bpe, split = PrefixBPE(read_ranks(ranks)), regex.compile(pattern)
     unsafe, cut = re.compile(r"\s(?= )"), re.compile(r"(?<=\S)(?= )")
+    one_match = re.compile(" ?[A-Za-z]+") if _keeps_words(pattern) else re.compile("(?!)")
+    packs = [struct.Struct(f"<{n}I").pack for n in range(LONG)]
     known: dict[str, bytes] = {}
+    size = 0
 
     def pieces_of(text: str) -> list[str]:
         if unsafe.search(text) is None and not text.startswith(" "):
-            first, *rest = text.split(" ")
-            return [first, *(" " + x for x in rest)]
+            return text.replace(" ", "\0 ").split("\0") if "\0" not in text else cut.split(text)
         return cut.split(text)
 
+    def matches(piece: str) -> list[bytes]:
+        return [piece.encode()] if one_match.fullmatch(piece) else [m.encode() for m in split.findall(piece)]
+
+    def packed(ids: list[int]) -> bytes:
+        return packs[len(ids)](*ids) if len(ids) < LONG else struct.pack(f"<{len(ids)}I", *ids)
+
     def encode(texts: list[str]) -> Iterator[bytes]:
+        nonlocal size
         cuts = [pieces_of(x) for x in texts]
-        if len(known) > PIECES:
+        if size > REMEMBERED:
             known.clear()
-        new = {x: [m.encode() for m in split.findall(x)] for x in {y for c in cuts for y in c}.difference(known)}
-        ids = {m: np.array(x, dtype="<u4").tobytes() for m, x in bpe.encode_pieces({m for ms in new.values() for m in ms}).items()}
-        known.update((x, b"".join(map(ids.__getitem__, ms))) for x, ms in new.items())
+            size = 0
+        new = {x: matches(x) for x in set().union(*cuts).difference(known)}
+        ids = {m: packed(x) for m, x in bpe.encode_pieces({m for ms in new.values() for m in ms}).items()}
+        once = {}
+        for x, ms in new.items():
+            coded = ids[ms[0]] if len(ms) == 1 else b"".join([ids[m] for m in ms])
+            if len(x) <= LONG:
+                known[x] = coded
+                size += len(x) + len(coded) + OVERHEAD
+            else:
+                once[x] = coded
+        if once:
+            return (b"".join([known[x] if x in known else once[x] for x in c]) for c in cuts)
         return (b"".join(map(known.__getitem__, c)) for c in cuts)
 
     return encode
@@ -197,13 +313,22 @@ def _coded(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str) -> Ite
 
 def _decoded(batches: Iterator[pa.RecordBatch], ranks: bytes) -> Iterator[pa.RecordBatch]:
     import numpy as np
+    import pyarrow.compute as pc
 
     tokens = {r: t for t, r in read_ranks(ranks).items()}
+
+    def text_of(raw: bytes) -> bytes:
+        return b"".join(map(tokens.__getitem__, np.frombuffer(raw, dtype="<u4").tolist()))
+
     for batch in batches:
-        for row in range(batch.num_rows):
-            raw = batch.column(1)[row].as_py()
-            text = b"".join(map(tokens.__getitem__, np.frombuffer(raw, dtype="<u4").tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([text], pa.binary())], names=["id", "ids", "bytes"])
+        sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        first = 0
+        while first < batch.num_rows:  # runs of rows of about as many bytes as texts are read in
+            run = int(max(1, np.searchsorted(np.cumsum(sizes[first:]), 1 << 22, side="right")))
+            part = batch.slice(first, run)
+            texts = [text_of(x) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["id", "ids", "bytes"])
+            first += run
 
 
 def _shared(spark, ranks_path: str):
