@@ -42,7 +42,7 @@ DICTIONARY = (
 
 #: A long run of key characters, without full stops at its end if it is long enough without them.
 _RUN = r"[A-Za-z0-9+/_~.-]{%d,}[A-Za-z0-9+/_~-]|[A-Za-z0-9+/_~.-]{%d,}" % (SHORTEST - 1, SHORTEST)
-_PATH = r"://|^[./~]|(?:[^/]*/){2}"
+_PATH = r"://|^[./~]"
 #: What can lie between the start of an address or path and a value in it.
 _SAME = r"[^\x22'`(),;<>\[\]{}|]*"
 FEATURES = (
@@ -73,7 +73,7 @@ def _features(word: Column, value: Column, own: Column, beside: Column) -> Colum
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[a-z]", "a"), "[A-Z]", "B"), "[0-9]", "0")
     runs = F.filter(F.split(F.regexp_replace(kinds, r"(?<=(.))(?!\1)", " "), " "), lambda r: r != "")
     known = "|".join(w for w in DICTIONARY if len(w) >= 3)
-    flags = [value.rlike(r"^[0-9a-fA-F]+$"), own.rlike(_PATH), F.lit(None), word.rlike(r"[\x22'`]"), beside.rlike(KEY_WORDS), beside.rlike(PLAIN_WORDS)]
+    flags = [value.rlike(r"^[0-9a-fA-F]+$"), own.rlike(_PATH) | (F.length(own) - F.length(F.translate(own, "/", "")) >= 2), F.lit(None), word.rlike(r"[\x22'`]"), beside.rlike(KEY_WORDS), beside.rlike(PLAIN_WORDS)]
     number = [f.cast("double") for f in flags]
     number[2] = (n - F.length(F.translate(value, ".", ""))) / n
     return F.array(
