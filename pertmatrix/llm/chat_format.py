@@ -68,7 +68,7 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     ``loss_spans`` holds (turn, start, stop): code points of the formatted turn, counted from its first
     character, that are trained on: the content of each turn of ``trained_role``. ``attachments`` holds
     (turn, part, kind, ref, tokens) in the order of the placeholders. Turns go by ``turn``, nulls first, then
-    role, then content, so ties and repeated rows have one result up to equal rows; all rows stay. A null
+    role, then content before it is escaped, so ties and repeated rows have one result up to equal rows; all rows stay. A null
     role is the empty role, a null or empty array of parts an empty content, a part of another kind than image,
     audio or document is text. Rows with a null conversation are one conversation with a null id. Columns not
     named in the arguments are ignored. A conversation is one output value, so its turns meet in one task;
@@ -85,7 +85,9 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         ).alias("_attached"),
     )
     head = F.concat(F.lit(TURN), escape(F.col("_role")), F.lit(CONTENT))
-    placed = visited.withColumn("_at", F.row_number().over(Window.partitionBy("_conv").orderBy("_turn", "_role", "_content", F.xxhash64("_attached"))) - 1)
+    # the order needs the content as it was before it was escaped, which is made behind the exchange
+    keyed = visited.repartition("_conv").withColumn("_raw", unescape(F.col("_content")))
+    placed = keyed.withColumn("_at", F.row_number().over(Window.partitionBy("_conv").orderBy("_turn", "_role", "_raw", "_content", F.xxhash64("_attached"))) - 1)
     turn = F.struct(
         F.col("_at").alias("at"),
         F.concat(head, "_content", F.lit(END)).alias("piece"),
