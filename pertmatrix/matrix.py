@@ -5,6 +5,10 @@
 ``expr``   nonzero entries only: cell_id, gene, value
 
 Zeros are implicit. Every mean or variance therefore divides by a count taken from ``cells``.
+
+A matrix may also have its entries packed, one row per cell: ``rows`` holds the cell's own columns, libsize and
+entries array<struct<gene, value>>. Totals and scaling are then local to a row, and no pass over the entries shuffles
+or sorts them by cell.
 """
 
 from __future__ import annotations
@@ -26,6 +30,11 @@ class CountMatrix:
     cells: DataFrame
     genes: DataFrame
     expr: DataFrame
+    rows: DataFrame | None = None
+
+    def where(self, condition: str | Column) -> CountMatrix:
+        """The matrix of the cells that fit; packed rows are filtered alike, entries when they meet their cells."""
+        return CountMatrix(self.cells.filter(condition), self.genes, self.expr, None if self.rows is None else self.rows.filter(condition))
 
 
 def _checked_axis(genes: DataFrame) -> Column:
@@ -59,6 +68,17 @@ def on_gene_axis(rows: DataFrame, genes: DataFrame) -> DataFrame:
     return rows.repartition(parts, *rows.columns).select("*", F.inline(_checked_axis(genes)))
 
 
+def packed_cells(cells: DataFrame, expr: DataFrame) -> DataFrame:
+    """Every cell with libsize and its entries by gene, none and 0 for a cell without: the ``rows`` of a matrix.
+
+    The one shuffle by cell that packing costs; a layout that is stored packed has it behind itself.
+    """
+    entry = F.sort_array(F.collect_list(F.struct("gene", "value")))
+    packed = expr.groupBy("cell_id").agg(F.sum("value").alias("libsize"), entry.alias("entries"))
+    filled = {"libsize": F.coalesce("libsize", F.lit(0.0)), "entries": F.coalesce("entries", F.array().cast("array<struct<gene:string,value:double>>"))}
+    return cells.join(packed, "cell_id", "left").withColumns(filled)
+
+
 def pack_rows(matrix: CountMatrix) -> DataFrame:
     """Triples to one sparse row per nonempty cell: cell_id, idx array<bigint>, val array<double>."""
     entry = F.sort_array(F.collect_list(F.struct("gene_pos", "value")))

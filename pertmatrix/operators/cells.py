@@ -14,6 +14,8 @@ TRANSFORMED = "transformed"
 
 def cell_libsize(matrix: CountMatrix) -> DataFrame:
     """Every cell with its total; a cell without entries has 0."""
+    if matrix.rows is not None:
+        return matrix.rows.drop("entries")
     totals = matrix.expr.groupBy("cell_id").agg(F.sum("value").alias("libsize"))
     return matrix.cells.join(totals, "cell_id", "left").withColumn(
         "libsize", F.coalesce("libsize", F.lit(0.0))
@@ -37,8 +39,10 @@ def labelled(matrix: CountMatrix) -> DataFrame:
 
     Entries meet their cells before totals are taken, and the cell's labels are part of the window's key: so a
     filter on a label or context passes below both to the cells, and few wanted cells cut the entries before
-    any of them is shuffled.
+    any of them is shuffled. Packed rows need no window: each has its total, and its first entry leads.
     """
+    if matrix.rows is not None:
+        return row_entries(matrix.rows)
     labels = [c for c in ("target_gene", "context", "batch") if c in matrix.cells.columns]
     cell = W.partitionBy("cell_id", *labels)
     joined = matrix.expr.join(matrix.cells, "cell_id")
@@ -47,6 +51,13 @@ def labelled(matrix: CountMatrix) -> DataFrame:
     }).filter("libsize > 0")
 
 
+def row_entries(rows: DataFrame) -> DataFrame:
+    """``labelled`` entries of packed rows, without a shuffle."""
+    carried = [c for c in rows.columns if c != "entries"]
+    each = rows.filter("libsize > 0").select(*carried, F.posexplode("entries").alias("_at", "_e"))
+    return each.select(*carried, F.col("_e.gene").alias("gene"), F.col("_e.value").alias("value"), (F.col("_at") == 0).alias("leads"))
+
+
 def scaled(entries: DataFrame, target: float, *, out: str = "value") -> DataFrame:
     """value / libsize * target."""
     return entries.withColumn(out, per_library(F.col("value"), F.col("libsize"), target))
@@ -156,10 +167,25 @@ def filter_labels(
     cells: DataFrame, keep: DataFrame | None = None, skip: DataFrame | None = None, label: str = "target_gene"
 ) -> DataFrame:
     """Cells whose label is in ``keep`` and not in ``skip`` (one-column label tables)."""
+    return _by_lists(cells, *_lists(keep, skip, label), label)
+
+
+def filter_matrix(matrix: CountMatrix, keep: DataFrame | None = None, skip: DataFrame | None = None, label: str = "target_gene") -> CountMatrix:
+    """:func:`filter_labels` on the cells of a matrix and on its packed rows; each list is written once."""
+    lists = _lists(keep, skip, label)
+    rows = None if matrix.rows is None else _by_lists(matrix.rows, *lists, label)
+    return CountMatrix(_by_lists(matrix.cells, *lists, label), matrix.genes, matrix.expr, rows)
+
+
+def _lists(keep: DataFrame | None, skip: DataFrame | None, label: str) -> tuple[DataFrame | None, ...]:
+    return tuple(None if x is None else label_list(x, label) for x in (keep, skip))
+
+
+def _by_lists(cells: DataFrame, keep: DataFrame | None, skip: DataFrame | None, label: str) -> DataFrame:
     if keep is not None:
-        cells = cells.join(label_list(keep, label), label, "left_semi")
+        cells = cells.join(keep, label, "left_semi")
     if skip is not None:
-        cells = cells.join(label_list(skip, label), label, "left_anti")
+        cells = cells.join(skip, label, "left_anti")
     return cells
 
 

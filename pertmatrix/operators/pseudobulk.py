@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pertmatrix.functions.columns import pop_var
 from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL, CountMatrix, on_gene_axis
-from pertmatrix.operators.cells import filter_labels, labelled
+from pertmatrix.operators.cells import filter_matrix, labelled
 from pertmatrix.operators.ranking import running_total
 from pertmatrix.operators.sampling import explode_range, index_pool
 from pertmatrix.session import materialized
@@ -51,8 +52,8 @@ def label_sums(
     """The core pass. Empty cells count neither in the sums nor in n_cells; a label whose cells are
     all empty stays with n_cells 0. ``save`` writes the sums to scratch space, for plans that use
     them more than once."""
-    cells = filter_labels(matrix.cells, keep, skip)
-    return entry_sums(labelled(CountMatrix(cells, matrix.genes, matrix.expr)), cells, by, save)
+    kept = filter_matrix(matrix, keep, skip)
+    return entry_sums(labelled(kept), kept.cells, by, save)
 
 
 def entry_sums(entries: DataFrame, cells: DataFrame, by: Sequence[str], save: bool = False) -> PseudobulkSums:
@@ -161,32 +162,56 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 
 def bootstrap_draws(cells: DataFrame, by: Sequence[str], replicates: int, *, min_cells: int = 25, seed: int = 0) -> DataFrame:
-    """by..., replicate, cell_id, times: n draws with replacement per group and replicate."""
-    sizes = group_sizes(cells, by, min_cells)
-    requests = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>")))
-    numbered = explode_range(requests.withColumn("n", F.col("n_cells")), "n_cells", "draw_no")
-    drawn = numbered.withColumn(
+    """by..., replicate, cell_id, times: the draws of :func:`draw_vectors` as one row for each replicate that draws a cell."""
+    vectors = draw_vectors(cells, by, replicates, min_cells=min_cells, seed=seed)
+    each = vectors.select(*by, "cell_id", F.posexplode("times").alias("replicate", "times"))
+    return each.filter("times > 0").select(*by, F.col("replicate").cast("bigint"), "cell_id", F.col("times").cast("bigint"))
+
+
+def draw_vectors(cells: DataFrame, by: Sequence[str], replicates: int, *, min_cells: int = 25, seed: int = 0) -> DataFrame:
+    """by..., cell_id, times: how often each replicate draws the cell, of n draws with replacement per group and replicate.
+
+    ``times`` is one array with a count for each replicate; cells that none draws are left out.
+    """
+    numbered = explode_range(group_sizes(cells, by, min_cells).withColumn("n", F.col("n_cells")), "n_cells", "draw_no")
+    each = numbered.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>")))
+    drawn = each.withColumn(
         "pool_idx", draw_index(seed_hash(f"draw{seed}", *by, "replicate", "draw_no"), F.col("n"))
     )
-    times = drawn.groupBy(*by, "replicate", "pool_idx").agg(F.count("*").alias("times"))
+    counts = drawn.groupBy(*by, "pool_idx", "replicate").agg(F.count("*").cast("int").alias("k"))
+    pairs = counts.groupBy(*by, "pool_idx").agg(F.map_from_entries(F.collect_list(F.struct("replicate", "k"))).alias("_m"))
+    replicate = F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>")
+    times = pairs.withColumn("times", F.transform(replicate, lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)))).drop("_m")
     pool = index_pool(cells.select(*by, "cell_id"), by, seed)
     return times.join(pool, [*by, "pool_idx"]).drop("pool_idx")
 
 
+#: Replicates that are summed in one pass over the entries: so many columns a row of partial sums has.
+REPLICATES_AT_ONCE = 64
+
+
 def bootstrap_profiles(
     entries: DataFrame, cells: DataFrame, genes: DataFrame, by: Sequence[str], replicates: int, *,
     how: str = "sum", min_cells: int = 25, seed: int = 0,
 ) -> DataFrame:
-    """Pseudo-replicate profiles: by..., replicate, gene, value, n_cells. ``how`` is sum or mean."""
+    """Pseudo-replicate profiles: by..., replicate, gene, value, n_cells. ``how`` is sum or mean.
+
+    A cell meets one vector of its draw counts, and a (group, gene) has one row of partial sums with a column for each
+    replicate: replicates multiply neither the entries nor the rows that are shuffled.
+    """
     if how not in ("sum", "mean"):
         raise ValueError("bootstrap profiles are sums or means")
-    draws = bootstrap_draws(cells, by, replicates, min_cells=min_cells, seed=seed)
-    summed = (
-        entries.select("cell_id", "gene", "value")
-        .join(draws, "cell_id")
-        .groupBy(*by, "replicate", "gene")
-        .agg(F.sum(F.col("value") * F.col("times")).alias("value"))
-    )
+    draws = draw_vectors(cells, by, replicates, min_cells=min_cells, seed=seed)
+    if replicates > REPLICATES_AT_ONCE:
+        draws = materialized(draws, "draws")
+    met = entries.select("cell_id", "gene", "value").join(draws, "cell_id")
+    parts = []
+    for first in range(0, replicates, REPLICATES_AT_ONCE):
+        block = range(first, min(first + REPLICATES_AT_ONCE, replicates))
+        wide = met.groupBy(*by, "gene").agg(*[F.sum(F.col("value") * F.get("times", F.lit(r))).alias(f"_r{r}") for r in block])
+        long = F.array(*[F.struct(F.lit(r).cast("bigint").alias("replicate"), F.col(f"_r{r}").alias("value")) for r in block])
+        parts.append(wide.select(*by, "gene", F.inline(long)))
+    summed = reduce(DataFrame.unionByName, parts)
     rows = group_sizes(cells, by, min_cells).withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>"))
     )

@@ -45,7 +45,7 @@ def pb_merge(spark, d):
     m = T.count_matrix(spark, d)
     require_same_axis(m.genes, T.genes(spark, d))
     finished = F.col("batch") == "F"
-    passes = [P.label_sums(CountMatrix(m.cells.filter(part), m.genes, m.expr), save=True) for part in (finished, ~finished)]
+    passes = [P.label_sums(m.where(part), save=True) for part in (finished, ~finished)]
     return pb_rows(P.merge(*passes))
 
 
@@ -222,8 +222,7 @@ POOLED = f"""
 def source_effects(spark, d) -> tuple[CountMatrix, DataFrame]:
     """Effects per source context, the held-out context left out."""
     m = T.count_matrix(spark, d)
-    sources, _ = S.leave_one_context_out(m.cells, HELD_OUT)
-    pb = P.label_sums(CountMatrix(sources, m.genes, m.expr), by=("context", "target_gene"), save=True)
+    pb = P.label_sums(m.where(F.col("context") != HELD_OUT), by=("context", "target_gene"), save=True)
     return m, FX.log2fc_with_var(pb, m.genes)
 
 

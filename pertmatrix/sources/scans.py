@@ -12,6 +12,7 @@ from pertmatrix.operators.manifest import spdx
 
 CELLS_SCHEMA = "cell_id bigint, cell_ord bigint, target_gene string, context string, batch string"
 GENES_SCHEMA = "gene_pos bigint, gene string, ensembl_id string"
+ROWS_SCHEMA = "libsize double, entries array<struct<gene:string,value:double>>"
 EXPR_SCHEMA = "cell_id bigint, gene string, value double"
 
 HOST_RECORD_SCHEMA = (
@@ -30,6 +31,13 @@ def scan_matrix(spark: SparkSession, path: str) -> CountMatrix:
     )
 
 
+def scan_packed(spark: SparkSession, path: str) -> CountMatrix:
+    """A matrix saved by :func:`pertmatrix.sources.sinks.write_packed`; reading cells or totals reads no entries."""
+    rows = spark.read.schema(f"{CELLS_SCHEMA}, {ROWS_SCHEMA}").parquet(f"{path}/rows")
+    genes = spark.read.schema(GENES_SCHEMA).parquet(f"{path}/genes")
+    return CountMatrix(rows.drop("libsize", "entries"), genes, rows.select("cell_id", F.inline("entries")), rows)
+
+
 def scan_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Cell table only; no value is read."""
     return spark.read.schema(CELLS_SCHEMA).parquet(f"{path}/cells")

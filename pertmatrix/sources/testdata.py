@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pertmatrix.matrix import CONTROL, CountMatrix
+from pertmatrix.matrix import CONTROL, CountMatrix, packed_cells
 
 
 # The columns in use, stated so that opening a table starts no schema-inference job.
@@ -52,8 +52,16 @@ def expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(part, line.l_partkey == part.p_partkey).groupBy("cell_id", "gene").agg(F.sum("l_quantity").alias("value"))
 
 
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows: quantities meet once by cell, are summed by gene there, and packed in the same place."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gene"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell_id"), "l_partkey", "l_quantity")
+    by_cell = line.join(part, line.l_partkey == part.p_partkey).select("cell_id", "gene", "l_quantity").repartition("cell_id")
+    return packed_cells(cells(spark, sf_dir), by_cell.groupBy("cell_id", "gene").agg(F.sum("l_quantity").alias("value")))
+
+
 def count_matrix(spark: SparkSession, sf_dir: str) -> CountMatrix:
-    return CountMatrix(cells(spark, sf_dir), genes(spark, sf_dir), expr(spark, sf_dir))
+    return CountMatrix(cells(spark, sf_dir), genes(spark, sf_dir), expr(spark, sf_dir), rows(spark, sf_dir))
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
