@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pertmatrix.functions.columns import pop_var
 from pertmatrix.matrix import CONTROL
+from pertmatrix.session import materialized
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
@@ -62,46 +65,128 @@ def _distances(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     return 1.0 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
 
 
+def _place(vectors: np.ndarray, pivot: np.ndarray | None, kind: str) -> np.ndarray:
+    """Distance of each vector to the pivot: the L1 norm, or the angle to ``pivot``; NaN for a vector without direction."""
+    if kind == "l1":
+        return np.abs(vectors).sum(axis=1)
+    norms, length = np.linalg.norm(vectors, axis=1), np.linalg.norm(pivot)
+    cosine = np.divide(vectors @ pivot, norms * length, out=np.zeros(len(vectors)), where=norms * length > 0)
+    return np.where(norms > 0, np.arccos(np.clip(cosine, -1.0, 1.0)), np.nan)
+
+
+def _placed(rows: DataFrame, real: DataFrame, by: list[str], vector: str, kind: str, own: str | None) -> DataFrame:
+    """``rows`` with ``at``, the place of their vector, and for ``own``, its distance ``d0`` to the label's own vector, which is dropped."""
+    if kind == "cosine":
+        mean = real.groupBy(*by, "gene_pos").agg(F.avg("delta").alias("delta")).withColumn("target_gene", F.lit(""))
+        pivots = materialized(_vectors(mean, by, "_pivot").drop("target_gene"), "pivots")
+        rows = rows.join(pivots, by) if by else rows.withColumn("_pivot", pivots.scalar())
+    carried = [c for c in rows.columns if c not in ("_pivot", own)]
+    types = dict(rows.dtypes)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for first in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[first : first + BLOCK]
+                out, vs = part[carried].copy(), np.stack(part[vector].to_numpy())
+                out["at"] = [_place(vs[i : i + 1], part["_pivot"].iloc[i] if kind == "cosine" else None, kind)[0] for i in range(len(vs))]
+                if own:
+                    out["d0"] = [_distances(vs[i : i + 1], np.asarray(part[own].iloc[i])[None, :], kind)[0, 0] for i in range(len(vs))]
+                yield out
+
+    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + ["at double"] + ["d0 double"] * bool(own))
+    return rows.mapInPandas(place, schema).withColumn("at", F.when(~F.isnan("at"), F.col("at")))
+
+
+#: Distances are compared at nine decimals; a block is settled unread only beyond that.
+MARGIN = 1e-7
+
+
+def settled_blocks(left: DataFrame, kind: str) -> DataFrame:
+    """``left`` (at, d0, blocks array<struct<rb, lo, hi, n>>) with ``read``, the blocks to be read, and ``closer``, the labels of blocks
+    that are closer as a whole.
+
+    By the triangle inequality a label at ``at`` is no nearer to a member of a block at lo to hi than the gap between
+    them, and no farther than the sum of both. Vectors without direction (null places) are at cosine distance 1 of all.
+    """
+    at, d0 = F.col("at"), F.col("d0")
+
+    def judged(b: Column) -> Column:
+        gap = F.greatest(b["lo"] - at, at - b["hi"], F.lit(0.0))
+        least, most = gap, at + b["hi"]
+        if kind == "cosine":
+            flat = at.isNull() | b["lo"].isNull()
+            least = F.when(flat, F.lit(1.0)).otherwise(1 - F.cos(F.greatest(gap - MARGIN, F.lit(0.0))))
+            most = F.when(flat, F.lit(1.0)).otherwise(1 - F.cos(F.least(most + MARGIN, F.lit(math.pi))))
+            return F.when(flat, F.when(F.round(d0, 9) > 1, "all").otherwise("none")).when(least > d0 + MARGIN, "none").when(most < d0 - MARGIN, "all").otherwise("read")
+        return F.when(least > d0 + MARGIN, "none").when(most < d0 - MARGIN, "all").otherwise("read")
+
+    verdicts = F.transform("blocks", lambda b: F.struct(b["rb"].alias("rb"), b["n"].alias("n"), judged(b).alias("how")))
+    whole = F.aggregate(F.filter(verdicts, lambda v: v["how"] == "all"), F.lit(0).cast("bigint"), lambda n, v: n + v["n"])
+    return left.withColumns({"read": F.transform(F.filter(verdicts, lambda v: v["how"] == "read"), lambda v: v["rb"]), "closer": whole})
+
+
 def discrimination(pred: DataFrame, real: DataFrame, kinds: Sequence[str] = ("l1",), by: Sequence[str] = ()) -> DataFrame:
     """by..., target_gene, kind, n_real, n_closer, score: 1 - (real labels closer than the own one) / n_real.
 
-    The inputs are full (by..., target_gene, gene_pos, delta) grids. Labels are hashed into blocks
-    of about 256; each pair of blocks is one group that returns, per predicted label, only how many
-    of its real labels are closer. Distances are compared at nine decimals.
+    The inputs are full (by..., target_gene, gene_pos, delta) grids. Real labels are cut into blocks of about 256 by
+    their place: the norm for L1, the angle to the mean for cosine. The triangle inequality settles most blocks
+    for a label unread; its vector goes only to the others, where a task returns how many labels are closer. Distances are
+    compared at nine decimals. A vector without direction has cosine distance 1 to all.
     """
     if not kinds or set(kinds) - {"l1", "cosine"}:
         raise ValueError(f"unknown distances {list(kinds)!r}")
-    by, kinds = list(by), list(kinds)
-    p, r = _vectors(pred, by, "pv"), _vectors(real, by, "rv")
+    parts = [_closer(pred, real, kind, list(by)).withColumn("kind", F.lit(kind)) for kind in kinds]
+    ranks = reduce(DataFrame.unionByName, parts)
     n_real = real.select(*by, "target_gene").distinct().groupBy(*by).agg(F.count("*").alias("n_real"))
-    biggest = n_real.agg(F.max("n_real")).first()[0] or 1
-    blocks = -(-biggest // BLOCK)
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    left = p.join(r, [*by, "target_gene"]).withColumn("pb", F.pmod(F.xxhash64("target_gene"), F.lit(blocks))).withColumn("rb", every)
-    # fresh attributes: the own vectors on the left come from the same table
-    right = r.select(*[F.col(c).alias(c) for c in by], F.col("target_gene").alias("other"), F.col("rv").alias("ov"))
-    right = right.withColumn("rb", F.pmod(F.xxhash64("other"), F.lit(blocks))).withColumn("pb", every)
+    ranks = ranks.join(n_real, list(by)) if by else ranks.withColumn("n_real", n_real.scalar())
+    return ranks.select(*by, "target_gene", "n_real", "kind", "n_closer").withColumn("score", 1.0 - F.col("n_closer") / F.col("n_real"))
+
+
+def block_pairs(pred: DataFrame, real: DataFrame, kind: str, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(left, right): predicted labels with what of the blocks must be read, and real labels with their block ``rb``."""
+    by = list(by)
+    r = _vectors(real, by, "rv")
+    right = materialized(_placed(r.withColumnRenamed("target_gene", "other").withColumnRenamed("rv", "ov"), real, by, "ov", kind, None), "real-vectors")
+    group = right.groupBy(*by)
+    ends = group.agg((F.ceil(F.count("*") / BLOCK)).alias("_n"), F.percentile_approx("at", [k / 64 for k in range(1, 64)], 10_000).alias("_q"))
+    # few blocks take some of the 63 bounds, more are cut again by hash: a bound on places serves all blocks between two bounds
+    step = F.greatest(F.floor(64 / F.col("_n")), F.lit(1))
+    ends = materialized(ends.select(*by, F.filter("_q", lambda x, i: (i + 1) % step == 0).alias("_ends"), F.greatest(F.ceil(F.col("_n") / 64), F.lit(1)).alias("_cuts")), "block-ends")
+    right = right.join(ends, by) if by else right.withColumn("_both", ends.select(F.struct("_ends", "_cuts")).scalar()).select("*", "_both.*").drop("_both")
+    band = F.size(F.filter("_ends", lambda e: e < F.col("at")))
+    place = F.when(F.col("at").isNull(), F.lit(-1)).otherwise(band * F.col("_cuts") + F.pmod(F.xxhash64("other"), F.col("_cuts")))
+    right = right.withColumn("rb", place.cast("bigint")).drop("_ends", "_cuts")
+    stats = right.groupBy(*by, "rb").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n"))
+    blocks = materialized(stats.groupBy(*by).agg(F.collect_list(F.struct("rb", "lo", "hi", "n")).alias("blocks")), "blocks")
+    left = _placed(_vectors(pred, by, "pv").join(r, [*by, "target_gene"]), real, by, "pv", kind, "rv")
+    left = left.join(blocks, by) if by else left.withColumn("blocks", blocks.scalar())
+    return settled_blocks(left, kind).drop("blocks"), right
+
+
+def _closer(pred: DataFrame, real: DataFrame, kind: str, by: list[str]) -> DataFrame:
+    """by..., target_gene, n_closer."""
+    left, right = block_pairs(pred, real, kind, by)
+    left = materialized(left, "settled")
+    width = right.select("rb").distinct().agg(F.greatest(F.count("*"), F.lit(1))).scalar()
+    read = left.select(*by, "target_gene", "pv", "d0", F.explode("read").alias("rb"), F.pmod(F.xxhash64("target_gene"), width).alias("pb"))
+    # a block is read by as many tasks as there are groups of labels that need it
+    pairs = materialized(read.groupBy(*by, "rb").agg(F.collect_set("pb").alias("_pbs")), "block-readers")
+    theirs = right.join(pairs, [*by, "rb"]).select(*by, "other", "ov", "rb", F.explode("_pbs").alias("pb"))
 
     def count_closer(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         if lhs.empty or rhs.empty:
-            return pd.DataFrame({c: [] for c in [*by, "target_gene", *kinds]})
-        a, o, b = (np.stack(x.to_numpy()) for x in (lhs.pv, lhs.rv, rhs.ov))
+            return pd.DataFrame({c: [] for c in [*by, "target_gene", "n_closer"]})
+        a, b = (np.stack(x.to_numpy()) for x in (lhs.pv, rhs.ov))
         others = lhs.target_gene.to_numpy()[:, None] != rhs.other.to_numpy()[None, :]
-        out = lhs[[*by, "target_gene"]].copy()
-        for kind in kinds:
-            mine = np.array([_distances(a[i : i + 1], o[i : i + 1], kind)[0, 0] for i in range(len(a))])
-            closer = np.round(_distances(a, b, kind), 9) < np.round(mine, 9)[:, None]
-            out[kind] = (closer & others).sum(axis=1)
-        return out
-
-    types = dict(p.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in by] + ["target_gene string"] + [f"{k} bigint" for k in kinds])
+        closer = np.round(_distances(a, b, kind), 9) < np.round(lhs.d0.to_numpy(), 9)[:, None]
+        return lhs[[*by, "target_gene"]].assign(n_closer=(closer & others).sum(axis=1))
+
+    types = dict(left.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in by] + ["target_gene string", "n_closer bigint"])
     keys = [*by, "pb", "rb"]
-    counted = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(count_closer, schema)
-    ranks = counted.groupBy(*by, "target_gene").agg(*[F.sum(k).alias(k) for k in kinds])
-    ranks = ranks.join(n_real, by) if by else ranks.withColumn("n_real", n_real.scalar())
-    long = ranks.unpivot([*by, "target_gene", "n_real"], kinds, "kind", "n_closer")
-    return long.withColumn("score", 1.0 - F.col("n_closer") / F.col("n_real"))
+    counted = read.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(count_closer, schema)
+    every = counted.unionByName(left.select(*by, "target_gene", F.col("closer").alias("n_closer")))
+    return every.groupBy(*by, "target_gene").agg(F.sum("n_closer").alias("n_closer"))
 
 
 def significance_pairs(pred: DataFrame, real: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:
