@@ -153,3 +153,74 @@ def verify_files(manifest: DataFrame, found: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     return manifest.join(found, "name", "left").select("name", status.alias("status"))
+
+
+#: Bytes of a file that one row of a ranged digest stands for.
+RANGE_BYTES = 64 << 20
+
+
+def _local_uri(uri: str) -> str:
+    return "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _md5_by_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Checksums of byte ranges, read where they lie, a megabyte at a time."""
+    import hashlib
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    for pdf in batches:
+        sums = []
+        for uri, start, left in zip(pdf["path"], pdf["start"], pdf["bytes"]):
+            store, path = fs.FileSystem.from_uri(quote(_local_uri(uri), safe=":/@"))
+            digest, at = hashlib.md5(), int(start)
+            with store.open_input_file(path) as f:
+                while left > 0 and (block := f.read_at(min(int(left), 1 << 20), at)):
+                    digest.update(block)
+                    at, left = at + len(block), left - len(block)
+            sums.append(digest.hexdigest())
+        yield pdf.assign(md5=sums)[["path", "part", "bytes", "md5"]]
+
+
+def range_digests(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES, *, recursive: bool = False) -> DataFrame:
+    """name, part, bytes, md5: one row for each range of ``range_bytes`` of each file in a folder. Spark's readers do not list empty files, so these have none.
+
+    Ranges are dealt to tasks, so a very large file is read by many of them. With ``recursive``, files below are found too
+    and named by their path from the folder.
+    """
+    if range_bytes < 1:
+        raise ValueError("a range has one byte at least")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    listed = reader.load(folder).select("path", "length")
+    last = (F.ceil(F.col("length") / range_bytes) - 1).cast("bigint")
+    listed = listed.where("length > 0")
+    ranges = listed.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"))
+    start = F.col("part") * range_bytes
+    cut = ranges.select("path", "part", start.alias("start"), F.least(F.lit(range_bytes), F.col("length") - start).cast("bigint").alias("bytes"))
+    hashed = cut.repartition("path", "part").mapInPandas(_md5_by_range, "path string, part bigint, bytes bigint, md5 string")
+    tail = folder.rstrip("/").rsplit("/", 1)[-1]
+    name = F.substring_index(F.col("path"), f"/{tail}/", -1) if recursive else F.regexp_extract("path", r"([^/]+)$", 1)
+    return hashed.select(name.alias("name"), "part", "bytes", "md5").withMetadata("part", {"range_bytes": range_bytes})
+
+
+def range_roots(ranges: DataFrame) -> DataFrame:
+    """name, size_bytes, checksum of whole files: the md5 of a file of one range, else ``ranges-<bytes>:`` and the md5 of its ranges' md5s in order."""
+    size = ranges.schema["part"].metadata.get("range_bytes", RANGE_BYTES)
+    each = F.array_sort(F.collect_list(F.struct("part", "md5")))
+    whole = ranges.groupBy("name").agg(F.sum("bytes").alias("size_bytes"), each.alias("_e"))
+    joined = F.md5(F.concat_ws("", F.col("_e.md5")))
+    checksum = F.when(F.size("_e") == 1, F.concat(F.lit("md5:"), F.col("_e")[0]["md5"])).otherwise(F.concat(F.lit(f"ranges-{size}:"), joined))
+    return whole.select("name", "size_bytes", checksum.alias("checksum"))
+
+
+def verify_ranges(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """name, part, status of each range: MISSING, UNKNOWN (not recorded), SHORT (fewer or more bytes), MISMATCH or ok."""
+    keys = ["name", "part"]
+    was = recorded.select(*keys, F.col("bytes").alias("b0"), F.col("md5").alias("m0"))
+    now = found.select(*keys, F.col("bytes").alias("b1"), F.col("md5").alias("m1"))
+    status = (
+        F.when(F.col("m1").isNull(), "MISSING").when(F.col("m0").isNull(), "UNKNOWN")
+        .when(F.col("b0") != F.col("b1"), "SHORT").when(F.col("m0") != F.col("m1"), "MISMATCH").otherwise("ok")
+    )
+    return was.join(now, keys, "full").select(*keys, status.alias("status"))

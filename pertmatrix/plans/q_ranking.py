@@ -12,7 +12,8 @@ from pertmatrix.plans.q_cells import DRAW_SQL, HELD_OUT, RUNG0B_SQL
 from pertmatrix.plans.q_joins import CANDIDATES, PART_AXIS, TARGETS, part_axis, targets
 from pertmatrix.plans.q_sources import CAP_SQL, CONTEXTS, ENTRIES_SQL, LICENSE_SQL, PROFILE_SQL, leaderboard_pages
 from pertmatrix.plans.registry import CELLS, EXPR, GENES, MATRIX, MATRIX_LOG, query, r6
-from pertmatrix.sources import pages as PG, scans, testdata as T
+from pertmatrix.session import materialized, scratch_path
+from pertmatrix.sources import pages as PG, published as PUB, scans, testdata as T
 
 
 # -- ranks, top-k, order ---------------------------------------------------------------------
@@ -283,3 +284,59 @@ def verify_files(spark, d):
         F.when(F.col("doc_id") % 31 == 0, F.lit("md5:0")).when(F.col("doc_id") % 50 != 0, F.concat(F.lit("md5:"), "found_md5")).alias("checksum"),
     )
     return M.verify_files(manifest, docs.filter(F.col("doc_id") % 89 != 0).drop("doc_id"))
+
+
+#: Files that documents are written to, bytes of a range, and the files that are damaged afterwards.
+FILES, RANGE, CHANGED, CUT, LOST = 16, 4096, 3, 5, 7
+
+
+@query("verify_file_ranges", f"""
+WITH lines AS (SELECT doc_id % {FILES} AS f, octet_length(encode(text)) + 1 AS b, row_number() OVER (PARTITION BY doc_id % {FILES} ORDER BY doc_id DESC) AS back FROM documents),
+  sizes AS (SELECT f, CAST(sum(b) AS BIGINT) AS size_bytes, CAST(coalesce(sum(b) FILTER (back > 1), 0) AS BIGINT) AS short_bytes FROM lines GROUP BY f),
+  n AS (SELECT *, CAST(ceil(size_bytes / {RANGE}.0) AS BIGINT) AS n_ranges, CAST(short_bytes // {RANGE} AS BIGINT) AS whole, CAST(ceil(short_bytes / {RANGE}.0) AS BIGINT) AS left_ranges FROM sizes)
+SELECT 'file-' || f AS name, n_ranges, CASE f WHEN {CHANGED} THEN n_ranges - 1 WHEN {CUT} THEN whole WHEN {LOST} THEN 0 ELSE n_ranges END AS n_ok,
+  CASE f WHEN {CHANGED} THEN 1 ELSE 0 END AS n_mismatch, CASE f WHEN {CUT} THEN left_ranges - whole ELSE 0 END AS n_short,
+  CASE f WHEN {CUT} THEN n_ranges - left_ranges WHEN {LOST} THEN n_ranges ELSE 0 END AS n_missing FROM n""")
+def verify_file_ranges(spark, d):
+    """Documents are written to files and recorded by ranges; one file's first byte changes, one loses its last text, one is gone."""
+    docs = T.table(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("file-"), (F.col("doc_id") % FILES).cast("string")).alias("name"))
+    first, last = (docs.groupBy("name").agg(f("doc_id").alias("doc_id")) for f in (F.min, F.max))
+
+    def written(rows: DataFrame, label: str) -> DataFrame:
+        """One file for each name, its texts a line each in order."""
+        path = scratch_path(spark, label)
+        rows.repartition("name").sortWithinPartitions("name", "doc_id").select("name", "text").write.partitionBy("name").text(path)
+        ranges = M.range_digests(spark, path, RANGE, recursive=True)
+        return ranges.withColumn("name", F.regexp_extract("name", r"name=(file-\d+)/", 1))
+
+    changed = docs.join(first.filter(f"name = 'file-{CHANGED}'").withColumn("_x", F.lit(True)), ["name", "doc_id"], "left")
+    changed = changed.withColumn("text", F.when(F.col("_x"), F.concat(F.lit("\u0001"), F.expr("substring(text, 2)"))).otherwise(F.col("text"))).drop("_x")
+    damaged = changed.join(last.filter(f"name = 'file-{CUT}'"), ["name", "doc_id"], "left_anti").filter(f"name != 'file-{LOST}'")
+    checked = M.verify_ranges(materialized(written(docs, "files"), "ranges"), written(damaged, "damaged"))
+    counts = [F.count_if(F.col("status") == s).alias(f"n_{s.lower()}") for s in ("ok", "MISMATCH", "SHORT", "MISSING")]
+    return checked.groupBy("name").agg(F.count("*").alias("n_ranges"), *counts)
+
+
+@query("provenance_versions", f"""
+WITH {REC_SQL}, c AS (SELECT count(*) FILTER (doc_id % 89 = 0) + count(*) FILTER (doc_id % 89 <> 0 AND doc_id % 97 = 0) AS n FROM files)
+SELECT * FROM (SELECT 'first' AS step, 'written' AS outcome, 0 AS version, 0 AS n_changes
+  UNION ALL SELECT 'same again', 'same', 0, 0 UNION ALL SELECT 'another date', 'same', 0, 0
+  UNION ALL SELECT 'changed', 'refused', 0, n FROM c UNION ALL SELECT 'refresh', 'refreshed', 1, n FROM c) steps""")
+def provenance_versions(spark, d):
+    """The manifest of the documents as a log: written, written again, with another date, with changed files, refreshed."""
+    records, files = host_records(spark, d).withColumn("retrieved", F.lit("2026-08-21")), T.host_files(spark, d)
+    later = records.withColumn("retrieved", F.lit("2026-08-22"))
+    n = F.col("name").cast("bigint")
+    changed = files.filter(n % 89 != 0).withColumn("size_bytes", F.when(n % 97 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+    log = PUB.ProvenanceLog(spark, scratch_path(spark, "provenance-log"))
+    steps = []
+    for step, now, current, refresh in (
+        ("first", records, files, False), ("same again", records, files, False), ("another date", later, files, False), ("changed", later, changed, False), ("refresh", later, changed, True),
+    ):
+        n_changes = 0 if log.current() is None else log.changes(now, current).count()
+        try:
+            outcome = log.record(now, current, refresh=refresh)
+        except PUB.ProvenanceChanged:
+            outcome = "refused"
+        steps.append((step, outcome, PUB.latest(spark, log.path)[0], n_changes))
+    return spark.createDataFrame(steps, "step string, outcome string, version int, n_changes bigint")

@@ -8,7 +8,7 @@ from pertmatrix.matrix import CONTROL, pack_rows, unpack_dense, unpack_rows
 from pertmatrix.operators import cells as C, contract as K, emit, expression, pseudobulk as P, sampling as S
 from pertmatrix.plans.registry import CELLS, EXPR, GENES, MATRIX, query, r6
 from pertmatrix.session import scratch_path
-from pertmatrix.sources import pages as PG, scans, sinks, testdata as T
+from pertmatrix.sources import pages as PG, published, scans, sinks, testdata as T
 
 CONTEXTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
@@ -257,8 +257,9 @@ SELECT context, target_gene, CAST(20 AS BIGINT) AS n_cells, CAST(sum(t) AS BIGIN
        CAST(sum(CASE WHEN t >= 20 THEN 20 ELSE t END) AS BIGINT) AS nnz FROM tot GROUP BY 1, 2""")
 def sink_prediction(spark, d):
     contract, cells, entries = null_emission(spark, d, 20)
-    path = sinks.write_prediction(contract, cells, entries, scratch_path(spark, "prediction"))
-    back = spark.read.parquet(path)
+    path = scratch_path(spark, "prediction")
+    published.publish_prediction(contract, cells, entries, path)
+    back = published.read_prediction(spark, path)
     return back.groupBy("context", "target_gene").agg(
         F.count("*").alias("n_cells"),
         F.sum(F.aggregate("val", F.lit(0.0), lambda a, v: a + v)).cast("bigint").alias("total"),
