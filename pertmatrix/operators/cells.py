@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pertmatrix.functions.columns import is_whole, per_library
 from pertmatrix.matrix import CONTROL, CountMatrix
+from pertmatrix.operators.ranking import exact_quantiles
 from pertmatrix.session import materialized
 
 RAW = "raw_counts"
@@ -81,11 +82,10 @@ def filter_min_libsize(cells: DataFrame, minimum: float) -> DataFrame:
 def filter_libsize_quantiles(cells: DataFrame, lo: float, hi: float, by: str = "context") -> DataFrame:
     """Cells whose total lies within the group's linear quantiles, both ends included.
 
-    Library sizes are whole numbers under the counts cap, so a quantile's buffer is bounded by the
-    number of distinct totals; partial buffers merge, and no group is collected. The limits are
-    written out first: with their true size known, the join does not shuffle the cells.
+    Quantiles are selected, not buffered, so totals may be of any kind. The limits are written out first: with
+    their true size known, the join does not shuffle the cells.
     """
-    limits = materialized(cells.groupBy(by).agg(F.percentile("libsize", F.array(F.lit(lo), F.lit(hi))).alias("q")), "limits")
+    limits = materialized(exact_quantiles(cells, [by], "libsize", (lo, hi)), "limits")
     return (
         cells.join(limits, by)
         .filter(F.col("libsize").between(F.col("q")[0], F.col("q")[1]))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pertmatrix.functions.columns import finite_or_zero, rint
 from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL, on_gene_axis
+from pertmatrix.operators.ranking import exact_quantiles
 from pertmatrix.operators.sampling import explode_range
 
 # The 16 largest primes below 2 ** 31.
@@ -52,8 +53,8 @@ def shift_fraction(profile: DataFrame, shifts: DataFrame) -> DataFrame:
 
 
 def median_depth(libsizes: DataFrame) -> DataFrame:
-    """context, depth. Library sizes are capped whole numbers, so the percentile buffer is bounded."""
-    return libsizes.groupBy("context").agg(F.median("libsize").alias("depth"))
+    """context, depth: the exact median, selected without a buffer of all totals."""
+    return exact_quantiles(libsizes, ["context"], "libsize", [0.5]).select("context", F.col("q")[0].alias("depth"))
 
 
 def even_totals(fractions: DataFrame, depth: DataFrame, requests: DataFrame) -> DataFrame:

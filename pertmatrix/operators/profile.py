@@ -8,14 +8,22 @@ from pertmatrix.functions.columns import is_whole
 from pertmatrix.matrix import CONTROL, CountMatrix
 from pertmatrix.operators.axis import coverage
 from pertmatrix.operators.cells import cell_libsize, counts_state
+from pertmatrix.operators.ranking import exact_quantiles
 from pertmatrix.operators.sampling import count_labels
+from pertmatrix.session import materialized
 
 MIN_CELL_STEPS = (10, 30, 50, 100)
 
 
 def profile_dataset(matrix: CountMatrix, control: str = CONTROL) -> DataFrame:
-    """One row: sizes, control share, cells per perturbation, and distinct values of other columns."""
-    labels = count_labels(matrix.cells)
+    """One row: sizes, control share, cells per perturbation, and distinct values of other columns.
+
+    One pass over the cells counts the values of all columns; a hot value is combined before it is shuffled.
+    """
+    others = [c for c in matrix.cells.columns if c not in ("cell_id", "cell_ord", "target_gene")]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in ["target_gene", *others]])
+    seen = materialized(matrix.cells.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n_cells")), "column-values")
+    labels = seen.filter("column = 'target_gene'").select(F.col("value").alias("target_gene"), "n_cells")
     pert = F.col("target_gene") != control
     n = F.when(pert, F.col("n_cells"))
     q = lambda p: F.percentile(n, F.lit(p))
@@ -27,29 +35,39 @@ def profile_dataset(matrix: CountMatrix, control: str = CONTROL) -> DataFrame:
         F.max(n).alias("max_cells"),
         *[F.count_if(pert & (F.col("n_cells") >= k)).alias(f"perts_ge_{k}") for k in MIN_CELL_STEPS],
     )
-    others = [c for c in matrix.cells.columns if c not in ("cell_id", "cell_ord", "target_gene")]
     measured = labels.filter(pert).join(matrix.genes.select(F.col("gene").alias("target_gene")), "target_gene", "left_semi")
     row = stats.withColumn("control_fraction", F.col("n_control_cells") / F.col("n_cells")).withColumn(
         "n_genes", matrix.genes.agg(F.count("*").alias("n")).scalar()
     ).withColumn("n_perts_measured", measured.agg(F.count("*").alias("n")).scalar())
-    for c in others:
-        row = row.withColumn(f"n_unique_{c}", matrix.cells.agg(F.count_distinct(c).alias("n")).scalar())
-    return row
+    distinct = seen.agg(*[F.count_if((F.col("column") == c) & F.col("value").isNotNull()).alias(f"n_unique_{c}") for c in others] or [F.count("*").alias("_")])
+    return row.withColumns({f"n_unique_{c}": distinct.select(f"n_unique_{c}").scalar() for c in others}) if others else row
 
 
 def profile_matrix(matrix: CountMatrix) -> DataFrame:
     """One row of count statistics over every cell, empty ones included."""
+    full = materialized(_cell_facts(matrix), "cell-facts")
+    umi, detected = (exact_quantiles(full, [], c, [0.5]).select(F.col("q")[0]).scalar() for c in ("total", "detected"))
+    row = full.agg(
+        F.min("whole").alias("integral_counts"), F.max("top").alias("value_max"),
+        F.min("total").alias("umi_min"), F.max("total").alias("umi_max"), F.count("*").alias("n"), F.sum("detected").alias("nnz"),
+    ).withColumns({"g": matrix.genes.agg(F.count("*").alias("g")).scalar(), "umi_median": umi, "median_genes_detected": detected})
+    row = row.withColumn("pct_zeros", 100.0 * (1.0 - F.col("nnz") / (F.col("n") * F.col("g"))))
+    return row.select("integral_counts", "value_max", "umi_min", "umi_median", "umi_max", "median_genes_detected", "pct_zeros")
+
+
+def _cell_facts(matrix: CountMatrix) -> DataFrame:
+    """total, detected, top, whole of every cell; of packed rows without a shuffle."""
+    if matrix.rows is not None:
+        value = F.col("entries.value")
+        return matrix.rows.select(
+            F.col("libsize").alias("total"), F.size("entries").cast("bigint").alias("detected"), F.coalesce(F.array_max(value), F.lit(0.0)).alias("top"),
+            F.forall(value, is_whole).alias("whole"),
+        )
     per_cell = matrix.expr.groupBy("cell_id").agg(
         F.sum("value").alias("total"), F.count("*").alias("detected"),
         F.max("value").alias("top"), F.min(is_whole(F.col("value"))).alias("whole"),
     )
-    full = matrix.cells.select("cell_id").join(per_cell, "cell_id", "left").fillna({"total": 0.0, "detected": 0, "top": 0.0, "whole": True})
-    row = full.agg(
-        F.min("whole").alias("integral_counts"), F.max("top").alias("value_max"),
-        F.min("total").alias("umi_min"), F.median("total").alias("umi_median"), F.max("total").alias("umi_max"),
-        F.median("detected").alias("median_genes_detected"), F.count("*").alias("n"), F.sum("detected").alias("nnz"),
-    ).withColumn("g", matrix.genes.agg(F.count("*").alias("g")).scalar())
-    return row.withColumn("pct_zeros", 100.0 * (1.0 - F.col("nnz") / (F.col("n") * F.col("g")))).drop("n", "g", "nnz")
+    return matrix.cells.select("cell_id").join(per_cell, "cell_id", "left").fillna({"total": 0.0, "detected": 0, "top": 0.0, "whole": True}).drop("cell_id")
 
 
 def distinct_labels(cells: DataFrame) -> DataFrame:

@@ -89,3 +89,54 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return kept.withColumn("rank_in_group", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")).filter(
         F.col("rank_in_group") <= k
     )
+
+
+#: Equal parts that a value bucket with wanted ranks is cut into.
+_PARTS = 4096
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], *, out: str = "q") -> DataFrame:
+    """keys..., out: an array of the linear-interpolation quantiles ``qs`` of ``value``, exact for any group and any values.
+
+    Selection instead of a sort or a buffer of all values: rows are counted by value bucket, then, in the buckets that
+    hold a wanted rank, by 4096 equal parts between the bucket's ends; only values of the parts that hold one are
+    ordered, equal ones as one row. Nulls are left out; a group without values has no row.
+    """
+    whole = not keys
+    by = list(keys) or ["_all"]
+    rows = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    if whole:
+        rows = rows.withColumn("_all", F.lit(0))
+    rows = rows.withColumn("_bucket", value_bucket(F.col("_v")))
+    sizes = rows.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    total = sizes.withColumn("_total", F.sum("_n").over(W.partitionBy(*by)))
+    positions = F.array(*[F.lit(float(q)) * (F.col("_total") - 1) for q in qs])
+    ranks = F.array_distinct(F.concat(F.transform(positions, lambda p: F.floor(p)), F.transform(positions, lambda p: F.ceil(p))))
+
+    def holding(parts: DataFrame) -> DataFrame:
+        inside = F.filter("_ranks", lambda r: (r >= F.col("_offset")) & (r < F.col("_offset") + F.col("_n")))
+        return parts.withColumn("_ranks", inside).filter("size(_ranks) > 0")
+
+    buckets = materialized(holding(_offsets(total.withColumn("_ranks", ranks), by, "_n")).withColumnRenamed("_offset", "_base").drop("_n"), "quantile-buckets")
+    near = rows.join(buckets, [*by, "_bucket"])
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * _PARTS)).otherwise(F.lit(0))
+    near = near.withColumn("_part", part.cast("bigint"))
+    cut = near.groupBy(*by, "_bucket", "_part").agg(F.count("*").alias("_n"), F.first("_base").alias("_base"), F.first("_ranks").alias("_ranks"))
+    before = W.partitionBy(*by, "_bucket").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = holding(cut.withColumn("_offset", F.col("_base") + F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    parts = materialized(parts.select(*by, "_bucket", "_part", "_offset", F.col("_ranks").alias("_wanted")), "quantile-parts")
+    values = near.drop("_ranks").join(parts, [*by, "_bucket", "_part"]).groupBy(*by, "_bucket", "_part", "_v").agg(
+        F.count("*").alias("_n"), F.first("_offset").alias("_offset"), F.first("_wanted").alias("_wanted")
+    )
+    earlier = W.partitionBy(*by, "_bucket", "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    placed = values.withColumn("_at", F.col("_offset") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    hits = placed.select(*by, "_v", F.explode(F.filter("_wanted", lambda r: (r >= F.col("_at")) & (r < F.col("_at") + F.col("_n")))).alias("_rank"))
+    found = hits.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_m"))
+    totals = buckets.groupBy(*by).agg(F.max("_total").alias("_total"))
+
+    def at(q: float) -> Column:
+        position = F.lit(float(q)) * (F.col("_total") - 1)
+        low, high = (F.element_at("_m", f(position)) for f in (F.floor, F.ceil))
+        return low + (high - low) * (position - F.floor(position))
+
+    return found.join(totals, by).select(*keys, F.array(*[at(q) for q in qs]).alias(out))
