@@ -35,7 +35,8 @@ def latest(spark: SparkSession, path: str) -> tuple[int, str] | None:
     return None if row is None else (row["version"], row["folder"])
 
 
-def _publish(spark: SparkSession, path: str, version: int, folder: str) -> None:
+def publish(spark: SparkSession, path: str, version: int, folder: str) -> None:
+    """Let ``folder`` count as ``version``, which must be higher than all before."""
     spark.createDataFrame([(version, folder)], POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/published")
 
 
@@ -69,7 +70,7 @@ def publish_prediction(contract: Contract, cells: DataFrame, entries: DataFrame,
     found = each.join(names, "idx", "left").select("cell_id", F.coalesce("gene", F.lit("")).alias("gene"), F.col("value").cast("double").alias("value"))
     require_none(value_violations(contract, written, found).unionByName(completeness_violations(contract, written)))
     before = latest(spark, path)
-    _publish(spark, path, 0 if before is None else before[0] + 1, folder)
+    publish(spark, path, 0 if before is None else before[0] + 1, folder)
     return folder
 
 
@@ -131,5 +132,5 @@ class ProvenanceLog:
         folder = f"{self.path}/version-{uuid.uuid4().hex}"
         records.write.parquet(f"{folder}/records")
         files.write.parquet(f"{folder}/files")
-        _publish(self.spark, self.path, 0 if now is None else now[0] + 1, folder)
+        publish(self.spark, self.path, 0 if now is None else now[0] + 1, folder)
         return "written" if now is None else "refreshed"
