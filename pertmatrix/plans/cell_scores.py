@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL, CountMatrix
-from pertmatrix.operators import cells as C, effects as FX, emit, expression, metrics as Q, pseudobulk as P
+from pertmatrix.operators import cells as C, effects as FX, emit, expression, metrics as Q, models as M, predictors as R, pseudobulk as P
 from pertmatrix.operators.sampling import explode_range
 from pertmatrix.plans import evaluation as EV
 from pertmatrix.session import materialized
 
 KEYS = EV.KEYS
+LOG_TARGET = 1e4
 MEMBERS = ("pds_cosine", "mse", "lfc_nmae", "direction_fidelity", "direction_agreement", "sig_jaccard")
 
 
@@ -36,10 +37,14 @@ class Arm:
 
 @dataclass(frozen=True)
 class CellGroups:
-    """``cells``: context, target_gene, a row per cell. ``entries``: context, target_gene, gene, value, libsize, leads."""
+    """``cells``: context, target_gene, a row per cell. ``entries``: context, target_gene, gene, value, libsize, leads.
+
+    With ``logged``, values are log-normalised already (to ``LOG_TARGET`` a cell) and libsize and leads are not needed.
+    """
 
     cells: DataFrame
     entries: DataFrame
+    logged: bool = False
 
 
 def anchor_arms(n_splits: int) -> list[Arm]:
@@ -100,12 +105,27 @@ def transfer_groups(m: CountMatrix, contexts: Sequence[str], *, n_splits: int =
     return CellGroups(cells, reduce(DataFrame.unionByName, [_real_groups(entries, n_splits, control).select(*columns), *emitted]))
 
 
+def logged_sums(groups: CellGroups) -> P.PseudobulkSums:
+    """Counts per million by way of the logged values; a cell without any value is a cell."""
+    cpm = F.expm1("value") * (1e6 / LOG_TARGET)
+    gene = groups.entries.groupBy(*KEYS, "gene").agg(F.lit(0.0).alias("count_sum"), F.sum(cpm).alias("cpm_sum"), F.sum(cpm * cpm).alias("cpm_sq_sum"))
+    label = P.group_sizes(groups.cells, KEYS).withColumn("libsize_sum", F.lit(0.0))
+    return P.PseudobulkSums(gene, label, tuple(KEYS))
+
+
 def member_means(groups: CellGroups, genes: DataFrame, arms: Sequence[Arm], threshold: float) -> DataFrame:
-    """context (``arm|context``), metric, value for the six members."""
-    sums = EV.context_sums(C.log_normalized(groups.entries), groups.cells, genes)
+    """context (``arm|context``), metric, value: the mean of each of the six members over the labels."""
+    return materialized(Q.metric_means(member_scores(groups, genes, arms, threshold), ["context"]), "member-means")
+
+
+def member_scores(groups: CellGroups, genes: DataFrame, arms: Sequence[Arm], threshold: float) -> DataFrame:
+    """context (``arm|context``), target_gene, metric, value for the six members."""
+    logged = groups.entries if groups.logged else C.log_normalized(groups.entries)
+    sums = EV.context_sums(logged, groups.cells, genes)
     deltas = materialized(EV.deltas(P.moments_from_sums(sums.sums, sums.sizes, sums.genes, KEYS)), "group-deltas")
     tests = materialized(expression.wilcoxon(groups.entries, groups.cells, sums.genes, by=["context"]), "group-tests")
-    lfc = materialized(FX.log2fc_with_var(P.entry_sums(groups.entries, groups.cells, KEYS, save=True), sums.genes), "group-lfc")
+    pb = logged_sums(groups) if groups.logged else P.entry_sums(groups.entries, groups.cells, KEYS, save=True)
+    lfc = materialized(FX.log2fc_with_var(pb, sums.genes), "group-lfc")
 
     def side(df: DataFrame, of: str) -> DataFrame:
         """The rows of the arms' groups, under the arms' names."""
@@ -128,7 +148,7 @@ def member_means(groups: CellGroups, genes: DataFrame, arms: Sequence[Arm], thre
     }
     for name, df in more.items():
         scores = scores.unionByName(df.select(*KEYS, F.lit(name).alias("metric"), "value"))
-    return materialized(Q.metric_means(scores, by), "member-means")
+    return scores
 
 
 def anchored_members(m: CountMatrix, contexts: Sequence[str], threshold: float, *, n_splits: int = 5, seed: int = 0) -> DataFrame:
@@ -140,3 +160,44 @@ def anchored_members(m: CountMatrix, contexts: Sequence[str], threshold: float,
     user, base = (named.filter(F.col("arm") == a).drop("arm") for a in ("user", "base"))
     top = named.filter(F.col("arm").startswith("split")).groupBy("context", "metric").agg(F.avg("value").alias("value"))
     return Q.scale_to_anchors(user, base, top, ["context"])
+
+
+def ladder_groups(m: CountMatrix, models: Sequence[M.Predictor], held_out: str, *, seed: int = 0, control: str = CONTROL) -> CellGroups:
+    """The held-out context's real cells, and each model's predicted cells with the real controls attached.
+
+    Models are fitted on the cells of all other contexts, and their cells are control cells of these, shifted by the
+    model's deltas: as many for a label as the held-out context has. All models' cells are drawn in one pass over one
+    pool, under labels that carry the model's name, and written once. A cell without a context is in neither part.
+    """
+    held = F.col("context") == held_out
+    train, real = m.where(~held), m.where(held)
+    seen = materialized(C.log_normalized(C.labelled(train)).select("cell_id", "target_gene", "gene", "value"), "ladder-train")
+    requests = materialized(P.group_sizes(real.cells.filter(F.col("target_gene") != control), ["target_gene"]).withColumnRenamed("n_cells", "n"), "ladder-requests")
+    deltas = M.predicted_deltas(models, P.label_moments(seen, train.cells, m.genes), requests.select("target_gene"), m.genes)
+
+    named = F.concat_ws(M.SEPARATOR, "model", "target_gene").alias("target_gene")
+    each = F.explode(F.array(*[F.lit(x.name) for x in models])).alias("model")
+    wanted = materialized(requests.select(each, "target_gene", "n").select(named, "n"), "ladder-wanted")
+    drawn = R.predict_cells(wanted, deltas.select(named, "gene_pos", "gene", "delta"), seen, train.cells, m.genes, seed=seed, control=control)
+    model = F.substring_index("target_gene", M.SEPARATOR, 1)
+    context = F.concat_ws("|", model, F.lit(held_out)).alias("context")
+    label = F.col("target_gene").substr(F.length(model) + 2, F.length("target_gene")).alias("target_gene")
+    predicted = materialized(drawn.select(context, label, "gene", "value"), "ladder-cells")
+
+    def with_controls(df: DataFrame) -> DataFrame:
+        attached = F.when(F.col("target_gene") == control, F.array(*[F.lit(x.name) for x in models])).otherwise(F.array().cast("array<string>"))
+        return _named(df, F.concat(F.array(F.lit("real")), attached))
+
+    columns = [*KEYS, "gene", "value"]
+    entries = with_controls(C.log_normalized(C.labelled(real), LOG_TARGET).select(*columns)).select(*columns)
+    cells = with_controls(real.cells.select(*KEYS)).select(*KEYS).unionByName(explode_range(wanted, "n", "cell_no").select(context, label))
+    return CellGroups(cells, entries.unionByName(predicted), logged=True)
+
+
+def ladder_scores(m: CountMatrix, models: Sequence[M.Predictor], held_out: str, threshold: float, *, seed: int = 0) -> DataFrame:
+    """model, target_gene, metric, value: the six members of every model's predicted cells, scored by one plan for all models."""
+    if "real" in {x.name for x in models}:
+        raise ValueError("no model can be named real")
+    arms = [Arm(x.name, x.name, "real") for x in models]
+    scores = member_scores(ladder_groups(m, models, held_out, seed=seed), m.genes, arms, threshold)
+    return scores.select(F.substring_index("context", "|", 1).alias("model"), "target_gene", "metric", "value")

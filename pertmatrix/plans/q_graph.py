@@ -8,7 +8,7 @@ from pertmatrix.operators import axis, edges as E, profile as PR
 from pertmatrix.plans.q_joins import ALIGNED, EDGES
 from pertmatrix.plans.registry import CELLS, EXPR, GENES, query, r6
 from pertmatrix.sources import testdata as T
-from pertmatrix.sources.harmonize import harmonize_cells
+from pertmatrix.sources.harmonize import harmonize as harmonize_matrix, harmonize_cells
 
 BASE = f"WITH {GENES}, {EDGES}, {ALIGNED}"
 COLUMNS = ["src_pos", "dst_pos", "confidence", "region", "score"]
@@ -110,17 +110,37 @@ def node_features_concat(spark, d):
     return rows.select("gene_pos", F.posexplode("features").alias("dim", "value")).select("gene_pos", F.col("dim").cast("bigint").alias("dim"), r6("value").alias("value"))
 
 
+RAW = {"cell_id": "barcode", "pert_col": "perturbation", "control_label": "NTC", "context_col": "cell_line", "context_prefix": "line:"}
+
+
+def raw_source(cells: DataFrame) -> DataFrame:
+    label = F.when(F.col("target_gene") == "non-targeting", "NTC").otherwise(F.col("target_gene"))
+    return cells.select(F.col("cell_id").alias("barcode"), label.alias("perturbation"), F.col("context").alias("cell_line"))
+
+
 @query("harmonize", f"""
 SELECT o_orderkey AS cell_id, CASE WHEN o_custkey % 26 = 0 THEN 'non-targeting' ELSE 'Brand#' || (o_custkey % 26) END AS target_gene,
   'line:' || o_orderpriority AS context FROM orders""")
 def harmonize(spark, d):
     """A raw table with its own names, control label and contexts, brought to the canonical columns."""
-    raw = T.cells(spark, d).select(
-        F.col("cell_id").alias("barcode"), F.when(F.col("target_gene") == "non-targeting", "NTC").otherwise(F.col("target_gene")).alias("perturbation"),
-        F.col("context").alias("cell_line"),
+    return harmonize_cells(raw_source(T.cells(spark, d)), RAW)
+
+
+@query("harmonize_tables", f"""
+WITH {CELLS}, {EXPR}, {GENES}, ids AS (SELECT p_brand AS gene, min('ENSG' || lpad(CAST(p_size AS VARCHAR), 11, '0')) AS ensembl_id
+  FROM part WHERE CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INTEGER) <= 22 GROUP BY 1)
+SELECT 'cell' AS part, CAST(cell_id AS VARCHAR) AS id, target_gene AS name, 'line:' || context AS other, CAST(NULL AS DOUBLE) AS value FROM cells
+UNION ALL SELECT 'gene', CAST(gene_pos AS VARCHAR), gene, i.ensembl_id, NULL FROM genes LEFT JOIN ids i USING (gene)
+UNION ALL SELECT 'entry', CAST(cell_id AS VARCHAR), gene, NULL, value FROM expr""")
+def harmonize_tables(spark, d):
+    """All three tables from a raw source without gene ids: these come from a map with several ids for a gene and none for some."""
+    raw = raw_source(T.cells(spark, d))
+    expr = T.expr(spark, d).select(F.col("cell_id").alias("barcode"), "gene", "value")
+    number = F.regexp_extract("p_brand", r"([0-9]+)", 1).cast("int")
+    ids = T.table(spark, d, "part").filter(number <= 22).select(
+        F.col("p_brand").alias("gene"), F.concat(F.lit("ENSG"), F.lpad(F.col("p_size").cast("string"), 11, "0")).alias("ensembl_id")
     )
-    spec = {"cell_id": "barcode", "pert_col": "perturbation", "control_label": "NTC", "context_col": "cell_line", "context_prefix": "line:"}
-    return harmonize_cells(raw, spec)
+    return T.long_rows(harmonize_matrix(raw, T.genes(spark, d).drop("ensembl_id"), expr, RAW, ids))
 
 
 @query("qc_report", f"""

@@ -19,6 +19,16 @@ def scan_matrix(spark: SparkSession, d: str) -> DataFrame:
     return scans.scan_matrix(spark, path).expr
 
 
+@query("scan_matrix_tables", f"""
+WITH {CELLS}, {EXPR}, {GENES}
+SELECT 'cell' AS part, CAST(cell_id AS VARCHAR) AS id, target_gene AS name, context AS other, CAST(NULL AS DOUBLE) AS value FROM cells
+UNION ALL SELECT 'gene', CAST(gene_pos AS VARCHAR), gene, ensembl_id, NULL FROM genes
+UNION ALL SELECT 'entry', CAST(cell_id AS VARCHAR), gene, NULL, value FROM expr""")
+def scan_matrix_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All three tables of a matrix, written and read back."""
+    return T.long_rows(scans.scan_matrix(spark, sinks.write_matrix(T.count_matrix(spark, d), scratch_path(spark, "matrix"))))
+
+
 @query("scan_metadata_only", f"WITH {CELLS} SELECT cell_id, target_gene, context, batch FROM cells")
 def scan_metadata_only(spark, d):
     path = scratch_path(spark, "matrix")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pertmatrix.matrix import CONTROL, CountMatrix, packed_cells
@@ -64,6 +66,17 @@ def count_matrix(spark: SparkSession, sf_dir: str) -> CountMatrix:
     return CountMatrix(cells(spark, sf_dir), genes(spark, sf_dir), expr(spark, sf_dir), rows(spark, sf_dir))
 
 
+def long_rows(m: CountMatrix) -> DataFrame:
+    """part, id, name, other, value: the three tables of a matrix as one, for results that hold them all."""
+    none, text = F.lit(None), lambda c: F.col(c).cast("string").alias("id")
+    rows = [
+        m.cells.select(F.lit("cell").alias("part"), text("cell_id"), F.col("target_gene").alias("name"), F.col("context").alias("other"), none.cast("double").alias("value")),
+        m.genes.select(F.lit("gene").alias("part"), text("gene_pos"), F.col("gene").alias("name"), F.col("ensembl_id").alias("other"), none.cast("double").alias("value")),
+        m.expr.select(F.lit("entry").alias("part"), text("cell_id"), F.col("gene").alias("name"), none.cast("string").alias("other"), "value"),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, score, confidence, region: one row per distinct candidate edge and attribute set."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("dst"))

@@ -15,7 +15,8 @@ SAMPLE = (
     "sample_cap_per_label sample_with_replacement shift_fraction join_remap_axis join_file_manifest_diff pb_control_once pb_median pb_bootstrap "
     "backbone_features transfer_delta detect_counts_state allocate_even apply_delta_cells validate_block_values manifest_gate de_bh_fdr "
     "metric_sig_jaccard score_overall score_cell_overall model_ladder_report node_features_concat stream_control_once "
-    "verify_file_ranges provenance_versions metric_pds_l1 stream_pb_merge profile_matrix profile_dataset"
+    "verify_file_ranges provenance_versions metric_pds_l1 stream_pb_merge profile_matrix profile_dataset "
+    "model_ladder_cells priors_check priors_graph harmonize_tables scan_matrix_tables"
 ).split()
 NAMES = list(QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
 
