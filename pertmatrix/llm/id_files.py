@@ -4,7 +4,7 @@ A file row is a segment: a table of document ids and lengths, and blocks of equa
 CRC-32. Every block starts with an empty model, so any block can be decoded alone. Within a block, order 1 and
 order 2 (the one or two ids before) each remember which id came last; a logistic mixer turns their confidences
 into the probability that the next id is the predicted one, and one binary decision says whether it is. If not,
-order 0 codes the id in four adaptive digits of 4 bits. All blocks of a segment advance together, one id at a
+order 0 codes the id in four adaptive digits of 4 bits, and learns from such ids alone. All blocks of a segment advance together, one id at a
 time, as arrays over the blocks; arithmetic is in integers only, so files are the same on every machine.
 
 Fixed layout, little-endian: magic ``TIDS``, version u32, documents u32, ids in all u64, block length u32, blocks
@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
 HEADER = "<4sIIQII"
-MAGIC, VERSION = b"TIDS", 1
+MAGIC, VERSION = b"TIDS", 2
 #: Ids per segment at most (a longer document has a segment of its own), per block at least and at most, and blocks wanted.
 SEGMENT, SHORTEST, LONGEST, LANES = 1 << 22, 256, 4096, 1024
-#: Pieces of text a task remembers.
-PIECES = 1 << 19
+#: Bytes of pieces and their ids a task remembers before it starts afresh, those a piece takes beside these, and the
+#: length from which a piece is not remembered.
+REMEMBERED, OWN_BYTES, LONG = 64 << 20, 150, 1 << 12
 
 _SLOTS, _RATE = 12, 4
 
@@ -93,20 +94,21 @@ class _Model:
             self.predicted[k][lane, slot] = np.where(same | (sure <= 2), ids, old)
         self.earlier, self.before = self.before, ids.astype(np.uint32)
 
-    def table(self, level: int, context: np.ndarray) -> np.ndarray:
-        rows = self.digits[level][self.lane, context].astype(np.int32)
+    def table(self, level: int, at: np.ndarray, context: np.ndarray) -> np.ndarray:
+        rows = self.digits[level][at, context].astype(np.int32)
         rows[:, 16] = 65536
         return rows
 
-    def adapt(self, level: int, context: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
+    def adapt(self, level: int, at: np.ndarray, context: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
         moved = rows + ((self.targets[digit] - rows) >> _RATE)
         moved[:, 16] = 65535
-        self.digits[level][self.lane, context] = moved.astype(np.uint16)
+        self.digits[level][at, context] = moved.astype(np.uint16)
 
 
 _WORD, _LOW32 = np.uint64(32), np.uint64(0xFFFFFFFF)
 _NARROW = np.uint64(1 << 32)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_EVERY = slice(None)
 
 
 def _tight(low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -127,34 +129,35 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     words = np.zeros((lanes, steps + 16), np.uint32)
     count = np.zeros(lanes, np.int64)
 
-    def put(start, size):
+    def put(at, start, size):
         nonlocal words
-        step = width >> np.uint64(16)
-        np.add(low, step * start.astype(np.uint64), out=low)
-        np.multiply(step, size.astype(np.uint64), out=width)
-        at = _tight(low, width)
-        if len(at):
+        step = width[at] >> np.uint64(16)
+        lo = low[at] + step * start.astype(np.uint64)
+        wide = step * size.astype(np.uint64)
+        done = _tight(lo, wide)
+        if len(done):
             if count.max() + 4 >= words.shape[1]:
                 words = np.concatenate([words, np.zeros_like(words)], axis=1)
-            words[at, count[at]] = (low[at] >> _WORD).astype(np.uint32)
-            count[at] += 1
-            low[at] <<= _WORD
-            width[at] <<= _WORD
+            full = model.lane[at][done]
+            words[full, count[full]] = (lo[done] >> _WORD).astype(np.uint32)
+            count[full] += 1
+            lo[done] <<= _WORD
+            wide[done] <<= _WORD
+        low[at], width[at] = lo, wide
 
     for t in range(steps):
         now = ids[:, t]
         p, guess = model.predict()
         hit = now == guess
-        put(np.where(hit, 0, p), np.where(hit, p, 65536 - p))
-        context = np.zeros(lanes, np.int64)
-        wide = now.astype(np.int64)
-        for level in range(4):
-            digit = (wide >> (12 - 4 * level)) & 15
-            rows = model.table(level, context)
-            start = rows[model.lane, digit]
-            put(np.where(hit, 0, start), np.where(hit, 65536, rows[model.lane, digit + 1] - start))
-            model.adapt(level, context, rows, digit)
-            context = context * 16 + digit
+        put(_EVERY, np.where(hit, 0, p), np.where(hit, p, 65536 - p))
+        missed = np.nonzero(~hit)[0]
+        wide, row = now[missed].astype(np.int64), model.lane[: len(missed)]
+        for level in range(4 if len(missed) else 0):
+            context, digit = wide >> (16 - 4 * level), (wide >> (12 - 4 * level)) & 15
+            rows = model.table(level, missed, context)
+            start = rows[row, digit]
+            put(missed, start, rows[row, digit + 1] - start)
+            model.adapt(level, missed, context, rows, digit)
         model.learn(now, hit)
     for shift in (32, 0):
         if count.max() + 2 >= words.shape[1]:
@@ -177,36 +180,38 @@ def decode_blocks(payloads: list[bytes], steps: int) -> np.ndarray:
     code = (words[:, 0] << _WORD) | words[:, 1]
     position = np.full(lanes, 2)
 
-    def share():
-        return np.minimum((code - low) // (width >> np.uint64(16)), np.uint64(65535)).astype(np.int64)
-
-    def take(start, size):
-        step = width >> np.uint64(16)
-        np.add(low, step * start.astype(np.uint64), out=low)
-        np.multiply(step, size.astype(np.uint64), out=width)
-        at = _tight(low, width)
-        if len(at):
-            code[at] = (code[at] << _WORD) | words[at, np.minimum(position[at], words.shape[1] - 1)]
-            position[at] += 1
-            low[at] <<= _WORD
-            width[at] <<= _WORD
+    def share(at):
+        return np.minimum((code[at] - low[at]) // (width[at] >> np.uint64(16)), np.uint64(65535)).astype(np.int64)
+
+    def take(at, start, size):
+        step = width[at] >> np.uint64(16)
+        lo = low[at] + step * start.astype(np.uint64)
+        wide = step * size.astype(np.uint64)
+        done = _tight(lo, wide)
+        if len(done):
+            full = lane[at][done]
+            code[full] = (code[full] << _WORD) | words[full, np.minimum(position[full], words.shape[1] - 1)]
+            position[full] += 1
+            lo[done] <<= _WORD
+            wide[done] <<= _WORD
+        low[at], width[at] = lo, wide
 
     out = np.zeros((lanes, steps), np.uint16)
     for t in range(steps):
         p, guess = model.predict()
-        hit = share() < p
-        take(np.where(hit, 0, p), np.where(hit, p, 65536 - p))
-        context = np.zeros(lanes, np.int64)
-        wide = guess.astype(np.int64)
-        for level in range(4):
-            rows = model.table(level, context)
-            seen = (rows[:, 1:16] <= share()[:, None]).sum(axis=1)
-            digit = np.where(hit, (wide >> (12 - 4 * level)) & 15, seen)
-            start = rows[lane, digit]
-            take(np.where(hit, 0, start), np.where(hit, 65536, rows[lane, digit + 1] - start))
-            model.adapt(level, context, rows, digit)
+        hit = share(_EVERY) < p
+        take(_EVERY, np.where(hit, 0, p), np.where(hit, p, 65536 - p))
+        missed = np.nonzero(~hit)[0]
+        context, row = np.zeros(len(missed), np.int64), lane[: len(missed)]
+        for level in range(4 if len(missed) else 0):
+            rows = model.table(level, missed, context)
+            digit = (rows[:, 1:16] <= share(missed)[:, None]).sum(axis=1)
+            start = rows[row, digit]
+            take(missed, start, rows[row, digit + 1] - start)
+            model.adapt(level, missed, context, rows, digit)
             context = context * 16 + digit
-        now = context.astype(np.uint16)
+        now = guess.astype(np.uint16)
+        now[missed] = context
         model.learn(now, hit)
         out[:, t] = now
     return out
@@ -260,17 +265,26 @@ def _tokenizer(vocabulary: str):
     tokenizer = Tokenizer.from_str(vocabulary)
     blank = re.compile(r"[ \t\n\r\f\v]+")
     known: dict[str, bytes] = {"": b""}
+    held = 0
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal held
         cuts = [blank.split(x) for x in texts]
-        if len(known) > PIECES:
+        if held > REMEMBERED:
             known.clear()
             known[""] = b""
+            held = 0
         new = list({y for c in cuts for y in c}.difference(known))
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
             known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False)))
-        return [b"".join(map(known.__getitem__, c)) for c in cuts]
+        out = [b"".join(map(known.__getitem__, c)) for c in cuts]
+        for x in new:
+            if len(x) < LONG:
+                held += 4 * len(x) + len(known[x]) + OWN_BYTES
+            else:
+                del known[x]
+        return out
 
     return encode
 
@@ -306,7 +320,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary_path: str, end_id: int, id_
     The folder holds Parquet files of (part, number, n_ids, segment); parts and numbers give the order, so any
     store that Spark writes to will do, and a lost executor's part is written again. ``vocabulary_path`` is a
     tokenizers file that drops white space; the driver reads it and broadcasts it. A null text is empty and
-    has only the end id. Rows without an id have no place in the order and raise an error; rows with the same id all stay, in any order.
+    has only the end id. A text is encoded whole, and a longer one than a segment has a segment of its own. Rows without an id have no place in the order and raise an error; rows with the same id all stay, in any order.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         raw = f.read()
