@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
 
-#: Bytes per call of the tokenizer, and pieces a task remembers before it starts afresh.
-CALL_BYTES, REMEMBERED = 1 << 20, 1 << 19
+#: Bytes per call of the tokenizer, bytes of pieces a task remembers before it starts afresh, those a piece takes
+#: beside its text, and the length from which a piece is not remembered.
+CALL_BYTES, REMEMBERED, OWN_BYTES, LONG = 1 << 20, 64 << 20, 150, 1 << 12
 
 _UNSAFE = re.compile(r"\s(?= )")
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
@@ -32,15 +33,21 @@ def safe_pieces(text: str) -> list[str]:
     return _SAFE_CUT.split(text)
 
 
+def n_bytes(text: str) -> int:
+    """UTF-8 bytes."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def balanced(pieces: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
-    """Runs of pieces of at most ``most`` characters each; a longer piece is a run of its own."""
+    """Runs of pieces of at most ``most`` UTF-8 bytes each; a longer piece is a run of its own."""
     run, size = [], 0
     for x in pieces:
-        if run and size + len(x) > most:
+        n = n_bytes(x)
+        if run and size + n > most:
             yield run
             run, size = [], 0
         run.append(x)
-        size += len(x)
+        size += n
     if run:
         yield run
 
@@ -53,16 +60,23 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.
 
     tokenizer = Tokenizer.from_str(vocabulary)
     known: dict[str, int] = {}
+    held = 0
     for batch in batches:
         counts = []
         for text in batch.column(1).to_pylist():
             pieces = safe_pieces(text) if text else []
-            if len(known) > REMEMBERED:
+            if held > REMEMBERED:
                 known.clear()
+                held = 0
             new = [x for x in dict.fromkeys(pieces) if x not in known]
             for run in balanced(new):
                 known.update(zip(run, map(len, tokenizer.encode_batch(run, add_special_tokens=False))))
             counts.append(sum(map(known.__getitem__, pieces)))
+            for x in new:
+                if len(x) < LONG:
+                    held += n_bytes(x) + OWN_BYTES
+                else:
+                    del known[x]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
 
@@ -70,7 +84,8 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     """One row (id, n_bytes, n_tokens, over_limit) for each row of ``docs``, repeated rows included.
 
     ``vocabulary_path`` is a tokenizers file with a byte-level pre-tokenizer without a prefix space; the driver
-    reads it and broadcasts it. A null text is empty: no bytes, no tokens. Other columns are ignored.
+    reads it and broadcasts it. A null text is empty: no bytes, no tokens. Other columns are ignored. Texts are
+    counted to their end; a task holds one batch, the pieces of one text, and at most REMEMBERED bytes of earlier ones.
     """
     with open(vocabulary_path, encoding="utf-8") as f:
         raw = f.read()

@@ -420,6 +420,39 @@ def test_votes_find_the_planted_accuracies(spark):
     assert sum((r["p"] >= 0.5) == (r["y"] > 0) for r in judged) > 0.9 * len(judged)
 
 
+def plain_fit(rows, rounds):
+    """The fit of one row after the other, with plain probabilities."""
+    k = len(rows[0])
+    prior, good, bad = 0.7, [0.99] * k, [0.2] * k
+    for _ in range(rounds):
+        shares = []
+        for row in rows:
+            g, b = prior, 1 - prior
+            for v, x, y in zip(row, good, bad):
+                g, b = (g * x, b * (1 - y)) if v > 0 else (g * (1 - x), b * y) if v < 0 else (g, b)
+            shares.append(g / (g + b))
+        prior = min(0.95, max(0.05, sum(shares) / len(rows)))
+        for j in range(k):
+            up = 1 + sum(p for p, row in zip(shares, rows) if row[j] > 0)
+            good[j] = min(1 - 1e-6, max(0.5, up / (2 + sum(p for p, row in zip(shares, rows) if row[j]))))
+            down = 1 + sum(1 - p for p, row in zip(shares, rows) if row[j] < 0)
+            bad[j] = min(0.999, max(down / (2 + sum(1 - p for p, row in zip(shares, rows) if row[j])), 1 - good[j]))
+    return prior, good, bad
+
+
+def test_fit_of_patterns_is_the_fit_of_rows(spark):
+    rng = random.Random(12)
+    data = [[rng.choice([1, 1, 1, 0, -1]) if rng.random() < 0.6 else rng.choice([-1, 0]) for _ in range(4)] for _ in range(300)] * 2
+    names = [f"r{k}" for k in range(4)]
+    df = spark.createDataFrame(data, ", ".join(f"{n} int" for n in names))
+    with pytest.warns(UserWarning, match="still moves"):
+        model = quality.fit_votes(df, names, rounds=7)
+    prior, good, bad = plain_fit(data, 7)
+    assert not model.converged and abs(model.prior - prior) < 1e-9
+    assert all(abs(model.on_good[n] - g) < 1e-9 and abs(model.on_bad[n] - b) < 1e-9 for n, g, b in zip(names, good, bad))
+    assert quality.fit_votes(df, names, rounds=5000, close=1e-6).converged and quality.fit_votes(df.limit(0), names).converged
+
+
 def test_quality_against_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -442,6 +475,28 @@ def test_counts_equal_the_library(docs):
     assert token_count.count_tokens(docs([]), path).count() == 0
 
 
+def test_calls_are_balanced_by_bytes():
+    pieces = ["漢" * 10, "a" * 25, "é" * 15, "b" * 90, "c"]
+    runs = list(token_count.balanced(pieces, most=60))
+    assert runs == [["漢" * 10, "a" * 25], ["é" * 15], ["b" * 90], ["c"]]
+    assert all(len(run) == 1 or sum(len(x.encode()) for x in run) <= 60 for run in runs)
+
+
+def test_what_a_task_remembers_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    texts = ["z" * 5000 + " end", "one two three four", "three two z one", "z" * 5000, "漢字 one two"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([0] * len(texts))], names=["id", "text", "n_bytes"])
+    with open(path, encoding="utf-8") as f:
+        vocabulary = f.read()
+    for most in (0, 400, 1 << 20):
+        monkeypatch.setattr(token_count, "REMEMBERED", most)
+        out = next(token_count._counted(iter([batch]), vocabulary))
+        assert out.column(2).to_pylist() == [len(whole.encode(t, add_special_tokens=False)) for t in texts]
+
+
 def test_files_round_trip(spark, docs, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
@@ -454,6 +509,12 @@ def test_files_round_trip(spark, docs, tmp_path):
         want[i] = (start, zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids))
         start += len(ids)
     assert got == want
+    twice = [(5, "same row"), (5, "same row"), (5, "another text"), (4, "y" * 9000 + " y"), (6, None)]
+    id_files.write_ids(docs(twice), str(tmp_path / "t"), path, end_id=2)
+    back = id_files.read_ids(spark, str(tmp_path / "t")).orderBy("start").collect()
+    coded = [(i, np.array(whole.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in twice]
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in back) == sorted(coded) and [r["doc_id"] for r in back] == [4, 5, 5, 5, 6]
+    assert [r["start"] for r in back] == [sum(len(x["ids"]) // 4 for x in back[:k]) for k in range(len(back))]
     id_files.write_ids(docs([]), str(tmp_path / "b"), path, end_id=2)
     assert id_files.read_ids(spark, str(tmp_path / "b")).count() == 0
     with pytest.raises(Exception, match="no place in the order"):
