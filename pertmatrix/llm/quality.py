@@ -9,6 +9,7 @@ their counts are all that reaches the driver.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -113,6 +114,7 @@ class VoteModel:
     on_good: dict[str, float]
     on_bad: dict[str, float]
     rounds: int
+    converged: bool = True
 
     def posterior(self, votes: dict[str, Column]) -> Column:
         """Probability that a document is good, given the votes; abstentions say nothing."""
@@ -135,11 +137,12 @@ def fit_votes(voted: DataFrame, names: list[str], rounds: int = 300, close: floa
     sees only some kinds of bad ones. Rules are taken to be no worse than chance (the two accuracies of a rule
     sum to 1 at least), and good documents to be 5 to 95 in 100, which settles what the two classes mean.
     Estimates start from 0.99 on good, 0.2 on bad and 0.7 good; one vote of each kind is added to every count.
-    Without rows the start is the result.
+    Without rows the start is the result. A fit that still moves by more than ``close`` after ``rounds`` warns, and the
+    model says that it has not converged.
     """
     patterns = [(tuple(r[n] for n in names), r["_n"]) for r in voted.groupBy(*names).agg(F.count("*").alias("_n")).orderBy(*names).collect()]
     prior, good, bad = 0.7, [0.99] * len(names), [0.2] * len(names)
-    done = 0
+    done, moved = 0, 0.0
     for done in range(1, rounds + 1):
         total = held = 0.0
         # votes for good and all votes of each rule, among good and among bad documents
@@ -167,7 +170,9 @@ def fit_votes(voted: DataFrame, names: list[str], rounds: int = 300, close: floa
         prior, good, bad = new_prior, new_good, new_bad
         if moved < close:
             break
-    return VoteModel(prior, dict(zip(names, good)), dict(zip(names, bad)), done)
+    if moved >= close:
+        warnings.warn(f"expectation-maximisation still moves by {moved:.1e} after {done} rounds", stacklevel=2)
+    return VoteModel(prior, dict(zip(names, good)), dict(zip(names, bad)), done, moved < close)
 
 
 def judge_quality(docs: DataFrame, text_col: str = "text", least: float = 0.5, prefix: str = "_q_", carry: list[str] | None = None) -> DataFrame:
