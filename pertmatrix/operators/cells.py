@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from pertmatrix.functions.columns import is_whole, per_library
-from pertmatrix.matrix import CONTROL, CountMatrix
+from pertmatrix.matrix import CONTROL, CountMatrix, packed_cells
 from pertmatrix.operators.ranking import exact_quantiles
 from pertmatrix.session import materialized
 
@@ -104,11 +104,21 @@ def counts_state(matrix_expr: DataFrame, cells: DataFrame) -> DataFrame:
         F.min("value").alias("lo"),
         F.min(is_whole(F.col("value"))).alias("whole"),
     )
-    per_cell = cells.select("cell_id").join(totals, "cell_id", "left").select(
+    return _state_of(cells.select("cell_id").join(totals, "cell_id", "left").select(
         F.coalesce("total", F.lit(0.0)).alias("total"),
         F.coalesce("lo", F.lit(0.0)).alias("lo"),
         F.coalesce("whole", F.lit(True)).alias("whole"),
-    )
+    ))
+
+
+def rows_state(rows: DataFrame) -> DataFrame:
+    """``counts_state`` of packed rows, each of which is looked at alone."""
+    values = F.transform("entries", lambda e: e["value"])
+    return _state_of(rows.select(F.col("libsize").alias("total"), F.coalesce(F.array_min(values), F.lit(0.0)).alias("lo"), F.forall(values, is_whole).alias("whole")))
+
+
+def _state_of(per_cell: DataFrame) -> DataFrame:
+    """The state from total, lo and whole of every cell."""
     summary = per_cell.agg(
         F.count("*").alias("n_cells"),
         F.least(F.min("lo"), F.lit(0.0)).alias("min_value"),
@@ -129,7 +139,10 @@ def counts_state(matrix_expr: DataFrame, cells: DataFrame) -> DataFrame:
 
 def require_raw_counts(matrix: CountMatrix, where: str) -> None:
     """Raise unless the matrix holds raw counts. Runs a job; the result is one row."""
-    row = counts_state(matrix.expr, matrix.cells).first()
+    _require_raw(counts_state(matrix.expr, matrix.cells).first(), where)
+
+
+def _require_raw(row: Row, where: str) -> None:
     if row.state is None:
         raise ValueError(f"{where}: the matrix is empty, its state cannot be told")
     if row.state != RAW:
@@ -137,11 +150,16 @@ def require_raw_counts(matrix: CountMatrix, where: str) -> None:
 
 
 def cp10k(matrix: CountMatrix) -> DataFrame:
-    """Counts per 10,000. Refuses data that are not raw counts, and cells without any count."""
-    require_raw_counts(matrix, "cp10k")
-    if not cell_libsize(matrix).filter("libsize = 0").isEmpty():
+    """Counts per 10,000. Refuses data that are not raw counts, and cells without any count.
+
+    Entries are packed by cell once, if they are not; the check and the scaling read the rows, without a shuffle.
+    """
+    rows = matrix.rows if matrix.rows is not None else materialized(packed_cells(matrix.cells, matrix.expr), "cp10k-rows")
+    state = rows_state(rows).first()
+    _require_raw(state, "cp10k")
+    if state.min_total == 0:
         raise ValueError("cp10k: cells with zero total counts cannot be scaled; filter them first")
-    return scaled(labelled(matrix), 1e4)
+    return scaled(row_entries(rows), 1e4)
 
 
 def control_cells(cells: DataFrame, control: str = CONTROL, label: str = "target_gene") -> DataFrame:

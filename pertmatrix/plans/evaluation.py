@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL, on_gene_axis
@@ -89,13 +89,20 @@ def generic_response(c: ContextSums, real: DataFrame, control: str = CONTROL) ->
     return Scored(real.drop("delta").join(mean, ["context", "gene"]).select(*KEYS, "gene_pos", "gene", "delta"), real)
 
 
+def with_halves(cells: DataFrame, n_splits: int = 5) -> DataFrame:
+    """``cells`` with ``_halves``: bit s says in which half the cell is in split s."""
+    bits = [F.shiftleft(draw_index(seed_hash(f"split{s}", "cell_id"), F.lit(2)), s) for s in range(n_splits)]
+    return cells.withColumn("_halves", reduce(Column.__add__, bits))
+
+
 def replicate_halves(entries: DataFrame, cells: DataFrame, genes: DataFrame, n_splits: int = 5) -> Scored:
     """Deltas of two random halves of every label's cells, for several seeds: the split is in ``context``.
 
-    One pass sums both halves of all seeds side by side; no cell is repeated.
+    Both ``entries`` and ``cells`` come from cells of ``with_halves``, so halves are drawn once a cell and not for
+    each entry. One pass sums both halves of all seeds side by side; no cell is repeated.
     """
     def half(split: int):
-        return draw_index(seed_hash(f"split{split}", "cell_id"), F.lit(2))
+        return F.shiftright("_halves", split).bitwiseAND(F.lit(1))
 
     def halves(agg, name: str) -> list:
         return [agg(half(s), h).alias(f"{name}{s}_{h}") for s in range(n_splits) for h in (0, 1)]

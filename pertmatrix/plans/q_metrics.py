@@ -241,8 +241,15 @@ REPLICATE = """
   preds AS (SELECT * FROM rd WHERE half = 0), reals AS (SELECT * FROM rd WHERE half = 1)"""
 
 
+def halved_matrix(spark, d) -> tuple[CountMatrix, DataFrame]:
+    """``logged_matrix`` with the halves of its cells, which the entries get from them."""
+    m = T.count_matrix(spark, d)
+    m = CountMatrix(EV.with_halves(m.cells), m.genes, m.expr)
+    return m, C.log_normalized(C.labelled(m))
+
+
 def replicate_means(spark, d) -> DataFrame:
-    m, logged = logged_matrix(spark, d)
+    m, logged = halved_matrix(spark, d)
     return Q.metric_means(EV.delta_scores(EV.replicate_halves(logged, m.cells, m.genes)), ["context"])
 
 
@@ -274,7 +281,7 @@ ANCHORS = ",\n".join([
 
 
 def anchored(spark, d) -> DataFrame:
-    m, logged = logged_matrix(spark, d)
+    m, logged = halved_matrix(spark, d)
     c = EV.context_sums(logged, m.cells, m.genes)
     pair = EV.hold_out_each_context(c, T.contexts(spark, d))
     means = EV.score_arms({

@@ -166,8 +166,7 @@ def scan_leaderboard_pages(spark, d):
 
 @query("scan_leaderboard_missing", "SELECT 'w' || page_id AS page_id FROM pages")
 def scan_leaderboard_missing(spark, d):
-    pages = leaderboard_pages(spark, d)
-    return PG.pages_without_boards(pages, PG.board_entries(pages))
+    return PG.pages_without_boards(leaderboard_pages(spark, d))
 
 
 WILCOXON_SQL = """

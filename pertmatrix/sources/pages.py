@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The payload's keys for entries and totals per board.
@@ -42,18 +40,26 @@ def _after(payload: Column, key: str) -> Column:
     return F.when(at > 0, F.substring(payload, at + len(mark), F.length(payload)))
 
 
-def board_entries(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
-    """page, board, total, entries: one row per board found. The JSON array ends where it closes."""
-    decoded = pages.select(F.col(id_col), decode_payload(html).alias("_p"))
+def page_boards(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """page, boards array<struct<board, _t, entries>>: the boards of every page, none for a page without.
+
+    A page is decoded once, for all of its boards. The JSON array of a board ends where it closes. A null page has no boards.
+    """
+    def board(payload: Column, name: str, entries_key: str, total_key: str) -> Column:
+        return F.struct(
+            F.lit(name).alias("board"),
+            F.regexp_extract(F.coalesce(_after(payload, total_key), F.lit("")), r"^(\d+)", 1).alias("_t"),
+            F.from_json(_after(payload, entries_key), f"array<{ENTRY}>").alias("entries"),
+        )
 
-    def board(name: str, entries_key: str, total_key: str) -> DataFrame:
-        return decoded.select(
-            id_col, F.lit(name).alias("board"),
-            F.regexp_extract(F.coalesce(_after(F.col("_p"), total_key), F.lit("")), r"^(\d+)", 1).alias("_t"),
-            F.from_json(_after(F.col("_p"), entries_key), f"array<{ENTRY}>").alias("entries"),
-        ).filter(F.col("entries").isNotNull())
+    every = F.transform(F.array(decode_payload(html)), lambda p: F.array(*[board(p, n, *keys) for n, keys in BOARD_KEYS.items()]))[0]
+    return pages.select(id_col, F.filter(every, lambda b: b["entries"].isNotNull()).alias("boards"))
 
-    found = reduce(DataFrame.unionByName, [board(n, *keys) for n, keys in BOARD_KEYS.items()])
+
+def board_entries(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """page, board, total, entries: one row per board found."""
+    # the outer form, since Spark would put a filter that decodes the page again below the inner one
+    found = page_boards(pages, id_col, html).select(id_col, F.inline_outer("boards")).filter(F.col("entries").isNotNull())
     return found.select(id_col, "board", F.expr("try_cast(_t as bigint)").alias("total"), "entries")
 
 
@@ -62,14 +68,15 @@ def board_rows(boards: DataFrame, id_col: str = "page_id") -> DataFrame:
     return boards.select(id_col, "board", "total", F.inline("entries"))
 
 
-def pages_without_boards(pages: DataFrame, boards: DataFrame, id_col: str = "page_id") -> DataFrame:
-    return pages.select(id_col).join(boards.select(id_col).distinct(), id_col, "left_anti")
+def pages_without_boards(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
+    """Ids of the pages in which no board is found, without a shuffle."""
+    return page_boards(pages, id_col, html).filter(F.size("boards") == 0).select(id_col)
 
 
 def require_boards(pages: DataFrame, id_col: str = "page_id", html: str = "html") -> DataFrame:
     """The boards, or an error naming a page that has none."""
     boards = board_entries(pages, id_col, html)
-    bare = pages_without_boards(pages, boards, id_col).limit(1).collect()
+    bare = pages_without_boards(pages, id_col, html).limit(1).collect()
     if bare:
         raise ValueError(f"page {bare[0][0]} has no board in its payload")
     return boards

@@ -1,10 +1,12 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from conftest import table
 from pyspark.sql import functions as F
 
+from pertmatrix.matrix import CountMatrix, packed_cells
 from pertmatrix.operators import axis, cells as C, contract as K, edges as E, manifest as M
 from pertmatrix.session import scratch_path
 from pertmatrix.sources import pages as PG, scans, sinks
@@ -17,34 +19,63 @@ def labels(spark, values):
     return spark.createDataFrame([(v,) for v in values], "target_gene string")
 
 
-def test_controls_match_exactly(spark):
-    df = labels(spark, ["MED4", "TP53-MED4", "ctl", "ctl", "ctl"])
-    assert C.control_cells(df, "ctl").count() == 3
-    with pytest.raises(ValueError, match="Similar labels.*MED4"):
-        C.control_cells(df, "MED")
-    with pytest.raises(ValueError, match="on no cell"):
-        C.control_cells(df, "Ctl")
+def test_a_control_label_is_text_and_no_pattern(spark):
+    pool = labels(spark, ["scr.1", "scr-1", "scr.1", "scr.10", "SCR.1 (b)", None, "50%_mix", "50xymix"])
+    assert [r[0] for r in C.control_cells(pool, "scr.1").collect()] == ["scr.1"] * 2
+    near = lambda text: [r[0] for r in C.near_control_labels(pool, text).collect()]
+    assert near("scr.1") == ["SCR.1 (b)", "scr.10"] and near("50%_") == ["50%_mix"] and near("(B)") == ["SCR.1 (b)"]
+    for text in (".*", "50%", "SCR.1"):
+        with pytest.raises(ValueError, match="on no cell"):
+            C.control_cells(pool, text)
+
+
+def test_five_similar_labels_are_named(spark):
+    pool = labels(spark, [f"plate {k} mock" for k in range(8)] * 3)
+    with pytest.raises(ValueError) as refused:
+        C.control_cells(pool, "mock")
+    assert [f"plate {k} mock" in str(refused.value) for k in range(8)] == [True] * 5 + [False] * 3
+    with pytest.raises(ValueError) as refused:
+        C.control_cells(pool, "water")
+    assert "Similar" not in str(refused.value)
+
+
+def changed(X, at, value):
+    X = X.astype(float)
+    X[at] = value
+    return X
+
+
+@pytest.mark.parametrize("made, state", [
+    (lambda X: X, C.RAW), (lambda X: changed(X, 5, 0), C.RAW), (lambda X: X[:1], C.RAW), (lambda X: 0 * X, C.RAW), (lambda X: X * (1 + 1e-9), C.RAW),
+    (np.log1p, C.TRANSFORMED), (np.sqrt, C.TRANSFORMED), (lambda X: X - X.mean(axis=0).round(), C.TRANSFORMED),
+    (lambda X: changed(X, (11, 4), 0.5), C.TRANSFORMED), (lambda X: changed(X, (0, 0), -1), C.TRANSFORMED),
+    (lambda X: np.sort(X[:1].repeat(6, axis=0) + 7 * np.eye(6, 5)[[0, 1, 2, 3, 4, 0]]), C.TRANSFORMED),
+], ids="counts empty-cell one-cell nothing rounding logs roots centred one-half one-negative equal-totals".split())
+def test_counts_state(make_matrix, made, state):
+    counts = np.random.default_rng(4).poisson(3, (12, 5)) + np.arange(12)[:, None]
+    X = made(counts)
+    m = make_matrix(X, ["a"] * len(X))
+    alone = C.rows_state(packed_cells(m.cells, m.expr)).first()
+    assert C.counts_state(m.expr, m.cells).first() == alone and alone.state == state
 
 
-@pytest.mark.parametrize("X, state", [
-    ([[3, 2, 7], [1, 0, 5]], C.RAW), ([[3, 2, 7], [6, 1, 5]], C.TRANSFORMED), ([[2, -3, 1], [5, 1, 1]], C.TRANSFORMED),
-    ([[2.25, 1, 1], [5, 1, 1]], C.TRANSFORMED), ([[0, 0], [0, 0]], C.RAW), ([[1e6 + 1e-3, 3], [4, 1]], C.RAW),
-])
-def test_counts_state(make_matrix, X, state):
-    m = make_matrix(X, ["a"] * len(X))
-    assert C.counts_state(m.expr, m.cells).first().state == state
+def test_cp10k_scales_packed_rows_in_their_place(make_matrix):
+    counts = np.random.default_rng(6).integers(0, 40, (30, 7)) + np.eye(30, 7, dtype=int)
+    counts[:, 6] += np.arange(30) + 1
+    m = make_matrix(counts, ["a", "b", "c"] * 10)
+    out = C.cp10k(m)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    packed = CountMatrix(m.cells, m.genes, m.expr, packed_cells(m.cells, m.expr))
+    for frame in (out, C.cp10k(packed)):
+        got = {(r.cell_id, r.gene): r.value for r in frame.collect()}
+        assert got == {(i, f"g{j}"): pytest.approx(1e4 * counts[i, j] / counts[i].sum()) for i, j in zip(*np.nonzero(counts))}
 
 
-def test_cp10k_refuses_transformed_and_empty_cells(make_matrix):
-    out = C.cp10k(make_matrix([[3, 2], [6, 1]], "ab")).groupBy("cell_id").agg(F.sum("value").alias("s")).collect()
-    assert all(abs(r.s - 1e4) < 1e-9 for r in out)
-    with pytest.raises(ValueError, match="expected raw integer counts"):
-        C.cp10k(make_matrix([[0.5, 9], [4, 8]], "ab"))
-    with pytest.raises(ValueError, match="zero total"):
-        C.cp10k(make_matrix([[0, 0], [4, 8]], "ab"))
-    empty = make_matrix([[1, 2]], "a")
-    with pytest.raises(ValueError, match="empty"):
-        C.require_raw_counts(type(empty)(empty.cells.limit(0), empty.genes, empty.expr.limit(0)), "here")
+def test_cp10k_refuses_what_it_cannot_scale(make_matrix):
+    counts = np.random.default_rng(8).integers(1, 9, (6, 4)) * np.arange(1, 7)[:, None]
+    for X, reason in ((np.log1p(counts), "expected raw integer counts"), (changed(counts, 3, 0), "zero total"), (counts[:0], "empty")):
+        with pytest.raises(ValueError, match=reason):
+            C.cp10k(make_matrix(X, ["a"] * len(X)))
 
 
 # -- axis and edges --------------------------------------------------------------------------
@@ -208,9 +239,19 @@ def test_boards_are_read_from_the_page(spark):
 
 
 def test_a_page_without_boards_is_an_error(spark):
-    df = spark.createDataFrame([("p", "<html>Loading...</html>")], "page_id string, html string")
+    whole = page('x{"initialGeneralistEntries":[{"rank":1}]}')
+    df = spark.createDataFrame([("bare", "<html>Loading...</html>"), ("none", None), ("whole", whole), ("cut", whole[:-40])], "page_id string, html string")
+    bare = PG.pages_without_boards(df)
+    assert sorted(r[0] for r in bare.collect()) == ["bare", "cut", "none"]
+    assert "Exchange" not in bare._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError, match="has no board"):
         PG.require_boards(df)
+    assert [r.page_id for r in PG.require_boards(df.where("page_id = 'whole'")).collect()] == ["whole"]
+
+
+def test_a_page_is_decoded_once(spark):
+    plan = PG.board_entries(spark.createDataFrame([("p", "x")], "page_id string, html string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
 
 
 def test_long_pages_do_not_overflow_the_pattern(spark):
