@@ -183,7 +183,8 @@ def draw_vectors(cells: DataFrame, by: Sequence[str], replicates: int, *, min_ce
     replicate = F.sequence(F.lit(0), F.lit(replicates - 1)).cast("array<bigint>")
     times = pairs.withColumn("times", F.transform(replicate, lambda r: F.coalesce(F.try_element_at("_m", r), F.lit(0)))).drop("_m")
     pool = index_pool(cells.select(*by, "cell_id"), by, seed)
-    return times.join(pool, [*by, "pool_idx"]).drop("pool_idx")
+    # as many rows as cells, of which Spark sees only the few chunks they come from: neither side may be broadcast
+    return times.hint("merge").join(pool, [*by, "pool_idx"]).drop("pool_idx")
 
 
 #: Replicates that are summed in one pass over the entries: so many columns a row of partial sums has.
@@ -204,7 +205,7 @@ def bootstrap_profiles(
     draws = draw_vectors(cells, by, replicates, min_cells=min_cells, seed=seed)
     if replicates > REPLICATES_AT_ONCE:
         draws = materialized(draws, "draws")
-    met = entries.select("cell_id", "gene", "value").join(draws, "cell_id")
+    met = entries.select("cell_id", "gene", "value").join(draws.hint("merge"), "cell_id")
     parts = []
     for first in range(0, replicates, REPLICATES_AT_ONCE):
         block = range(first, min(first + REPLICATES_AT_ONCE, replicates))

@@ -10,7 +10,7 @@ from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL
 from pertmatrix.operators.cells import filter_labels
 from pertmatrix.operators.ranking import shuffled_row_number
-from pertmatrix.session import materialized
+from pertmatrix.session import materialized, spread_width
 
 CHUNK = 4096
 
@@ -89,13 +89,14 @@ def explode_range(df: DataFrame, n_col: str, out: str, *, chunk: int = CHUNK) ->
     """n rows per row, numbered 0..n-1 in ``out``, with ``_chunk``.
 
     Long ranges are cut into chunks that are spread over tasks before they are expanded, so one
-    very large request is not expanded by one task.
+    very large request is not expanded by one task. The number of tasks is stated: by their size adaptive execution would
+    join the few chunks into one. Spark takes the result for as small as the chunks, so whoever joins it asks for a merge join.
     """
     cut = df.filter(F.col(n_col) > 0).withColumn(
         "_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n_col).cast("bigint") - 1, F.lit(chunk).cast("bigint")))
     )
     spread = cut.withColumn("_chunk", F.floor(F.col("_start") / chunk).cast("bigint")).repartition(
-        *[c for c in df.columns if c != n_col], "_chunk"
+        spread_width(df.sparkSession), *[c for c in df.columns if c != n_col], "_chunk"
     )
     last = F.least(F.col("_start") + chunk, F.col(n_col).cast("bigint")) - 1
     return spread.withColumn(out, F.explode(F.sequence(F.col("_start"), last))).drop("_start")
