@@ -139,7 +139,8 @@ def predict_cells(
             F.filter("d", lambda x: (x.delta > 0) & (x.delta >= F.col("floor"))).gene_pos.alias("lift"),
         )
     )
-    drawn = draws.join(pool, "pool_idx").join(per_chunk, ["target_gene", "_chunk"])
+    # Spark sees only the few chunks the draws come from: without the hint it would broadcast a row for every predicted cell
+    drawn = draws.hint("merge").join(pool, "pool_idx").join(per_chunk, ["target_gene", "_chunk"])
     at = lambda pos: F.col("delta")[pos.cast("int")]
     moved = F.transform(
         "stored", lambda e: F.struct(e.gene_pos.alias("gene_pos"), shift_clip_floor(e.value, at(e.gene_pos), F.col("floor")).alias("value"))
