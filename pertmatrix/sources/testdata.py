@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pertmatrix.matrix import CONTROL, CountMatrix, packed_cells
 
 
+#: Lines that one task sums and packs by cell.
+LINES_A_TASK = 300_000
+
 # The columns in use, stated so that opening a table starts no schema-inference job.
 SCHEMAS = {
     "nation": "n_nationkey int, n_regionkey int",
@@ -47,23 +51,30 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def expr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summed quantity is the count."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gene"))
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell_id"), "l_partkey", "l_quantity")
-    return line.join(part, line.l_partkey == part.p_partkey).groupBy("cell_id", "gene").agg(F.sum("l_quantity").alias("value"))
+def cell_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks the lines are dealt over by cell: at most about LINES_A_TASK lines each. Counting reads file footers only."""
+    lines = table(spark, sf_dir, "lineitem").count()
+    return max(spark.sparkContext.defaultParallelism, math.ceil(lines / LINES_A_TASK))
 
 
-def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed rows: quantities meet once by cell, are summed by gene there, and packed in the same place."""
+def expr(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Summed quantity is the count. Lines meet once by cell and are summed by gene there.
+
+    The number of ``tasks`` is stated, as adaptive execution would join partitions by their compressed bytes, of which a few
+    grow to many in the maps and sorts that sum and pack them.
+    """
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gene"))
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell_id"), "l_partkey", "l_quantity")
-    by_cell = line.join(part, line.l_partkey == part.p_partkey).select("cell_id", "gene", "l_quantity").repartition("cell_id")
-    return packed_cells(cells(spark, sf_dir), by_cell.groupBy("cell_id", "gene").agg(F.sum("l_quantity").alias("value")))
+    by_cell = line.join(part, line.l_partkey == part.p_partkey).select("cell_id", "gene", "l_quantity").repartition(
+        tasks or cell_tasks(spark, sf_dir), "cell_id"
+    )
+    return by_cell.groupBy("cell_id", "gene").agg(F.sum("l_quantity").alias("value"))
 
 
 def count_matrix(spark: SparkSession, sf_dir: str) -> CountMatrix:
-    return CountMatrix(cells(spark, sf_dir), genes(spark, sf_dir), expr(spark, sf_dir), rows(spark, sf_dir))
+    """The three tables, and the packed rows: entries are packed where they are summed."""
+    entries = expr(spark, sf_dir, cell_tasks(spark, sf_dir))
+    return CountMatrix(cells(spark, sf_dir), genes(spark, sf_dir), entries, packed_cells(cells(spark, sf_dir), entries))
 
 
 def long_rows(m: CountMatrix) -> DataFrame:

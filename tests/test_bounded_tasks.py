@@ -6,6 +6,8 @@ import numpy as np
 
 from pertmatrix.matrix import CONTROL
 from pertmatrix.operators import predictors as R, pseudobulk as P, sampling as S
+from pertmatrix.plans import QUERIES
+from pertmatrix.sources import testdata as T
 from pyspark.sql import functions as F
 
 
@@ -28,3 +30,16 @@ def test_draws_are_not_broadcast(spark, make_matrix):
     requests = spark.createDataFrame([("a", 30)], "target_gene string, n bigint")
     drawn = executed(R.predict_cells(requests, R.zero_delta(requests, m.genes), m.expr.join(m.cells, "cell_id"), m.cells, m.genes))
     assert re.search(r"SortMergeJoin \[pool_idx", drawn) and not re.search(r"BroadcastHashJoin \[pool_idx", drawn)
+
+
+def test_entries_are_dealt_by_cell_over_tasks_by_their_number(spark, monkeypatch):
+    """Partitions are not joined by their compressed bytes, and a check by cell does not shuffle them again."""
+    monkeypatch.setattr(T, "LINES_A_TASK", 300)
+    sf = "/root/testdata/sf0.001"
+    tasks = T.cell_tasks(spark, sf)
+    assert tasks == -(-T.table(spark, sf, "lineitem").count() // 300) > spark.sparkContext.defaultParallelism
+    m = T.count_matrix(spark, sf)
+    assert m.expr.select(F.spark_partition_id()).distinct().count() == tasks
+    assert m.rows.filter("libsize > 0").select(F.spark_partition_id()).distinct().count() == tasks
+    text = QUERIES["validate_block_values"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(cell_id#\d+L?, \d+\), REPARTITION_BY", text)) == 1
