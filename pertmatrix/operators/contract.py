@@ -60,17 +60,18 @@ def contract_violations(c: Contract) -> DataFrame:
     ])
 
 
-def value_violations(c: Contract, cells: DataFrame, entries: DataFrame) -> DataFrame:
+def value_violations(c: Contract, cells: DataFrame, entries: DataFrame, tasks: int | None = None) -> DataFrame:
     """rule, n over cells (cell_id, context, target_gene) and stored entries (cell_id, gene, value).
 
-    Explicit zeros are removed first. One pass and one exchange by cell check all rules on entries.
+    Explicit zeros are removed first. One pass and one exchange by cell check all rules on entries. ``tasks``: how many
+    tasks it deals them over; entries that lie so already are not shuffled again. Without it Spark goes by their bytes.
     """
     stored = entries.filter((F.col("value") != 0) | F.isnan("value") | F.col("value").isNull())
     v = F.col("value")
     bad = F.isnan(v) | (F.abs(v) == float("inf"))
     good = ~bad & v.isNotNull()
     axis = axis_lookup(c.genes).select("gene", F.lit(True).alias("_known"))
-    per_entry = stored.join(axis, "gene", "left").repartition("cell_id").groupBy("cell_id", "gene").agg(
+    per_entry = stored.join(axis, "gene", "left").repartition(*([tasks] if tasks else []), "cell_id").groupBy("cell_id", "gene").agg(
         F.count("*").alias("_times"), F.count_if(v.isNull()).alias("missing"), F.count_if(bad).alias("not_finite"),
         F.count_if(good & (v < 0)).alias("negative"), F.count_if(good & (v != F.rint(v))).alias("fractional"),
         F.sum(finite_or_zero(v)).alias("total"), F.count_if(F.col("_known").isNull()).alias("strange"),

@@ -194,7 +194,7 @@ WITH {CELLS}, {EXPR}, {FLAWED}, v AS (
 SELECT rule, n FROM v WHERE n > 0""")
 def validate_block_values(spark, d):
     contract, cells, entries = flawed_prediction(spark, d)
-    return K.value_violations(contract, cells, entries)
+    return K.value_violations(contract, cells, entries, T.cell_tasks(spark, d))
 
 
 BLOCK_SQL = """
