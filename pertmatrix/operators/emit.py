@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pertmatrix.functions.columns import finite_or_zero, rint
 from pertmatrix.functions.hashing import draw_index, seed_hash
@@ -76,13 +76,50 @@ def allocate_even(totals: DataFrame, *, seed: int = 0) -> DataFrame:
     cells share no run of extra counts, and choosing them needs neither a sort nor a shuffle. Zeros are
     never produced.
     """
-    drawn = seed_hash(seed, "context", "target_gene", "gene")
-    step = F.get(F.array(*[F.lit(p) for p in STEPS]), F.conv(F.substring(drawn, 16, 1), 16, 10).cast("int"))
-    rows = totals.withColumn("_first", draw_index(drawn, F.col("n"))).withColumn("_step", step).withColumn(
-        "_stored", F.when(F.col("base") > 0, F.col("n")).otherwise(F.col("rem"))
-    )
+    rows = _permuted(totals, seed).withColumn("_stored", F.when(F.col("base") > 0, F.col("n")).otherwise(F.col("rem")))
     spread = explode_range(rows, "_stored", "_j")
     return spread.select(
         "context", "target_gene", F.pmod(F.col("_j") * F.col("_step") + F.col("_first"), F.col("n")).alias("cell_no"), "gene_pos", "gene",
         (F.col("base") + (F.col("_j") < F.col("rem")).cast("bigint")).cast("double").alias("value"),
     )
+
+
+def even_cells(totals: DataFrame, *, seed: int = 0) -> DataFrame:
+    """context, target_gene, cell_no, libsize, entries: the cells of :func:`allocate_even`, one packed row each.
+
+    A cell finds its place in every gene's permutation with the step's inverse, ``j = (cell_no - start) / step mod n``, so
+    a row is made whole, with its total, where it stands: nothing is shuffled or sorted by cell.
+    """
+    keys = ["context", "target_gene", "n"]
+    of_gene = F.struct("gene", F.col("base").cast("double").alias("base"), "rem", "_first", _inverse("_step", "n").alias("_inverse"))
+    labels = _permuted(totals, seed).groupBy(*keys).agg(F.sort_array(F.collect_list(of_gene)).alias("_genes"))
+    spread = explode_range(labels.withColumn("_n", F.col("n")), "_n", "cell_no")
+    n, cell = F.col("n"), F.col("cell_no")
+
+    def entry(g: Column) -> Column:
+        extra = F.pmod(F.pmod(cell - g["_first"], n) * g["_inverse"], n) < g["rem"]
+        return F.struct(g["gene"].alias("gene"), (g["base"] + F.when(extra, 1.0).otherwise(0.0)).alias("value"))
+
+    entries = F.filter(F.transform("_genes", entry), lambda e: e["value"] > 0)
+    cells = spread.select("context", "target_gene", "cell_no", entries.alias("entries"))
+    return cells.withColumn("libsize", F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["value"]))
+
+
+def _permuted(totals: DataFrame, seed: int) -> DataFrame:
+    """``totals`` with ``_first`` and ``_step`` of the permutation of each (context, label, gene)."""
+    drawn = seed_hash(seed, "context", "target_gene", "gene")
+    step = F.get(F.array(*[F.lit(p) for p in STEPS]), F.conv(F.substring(drawn, 16, 1), 16, 10).cast("int"))
+    return totals.withColumn("_first", draw_index(drawn, F.col("n"))).withColumn("_step", step)
+
+
+def _inverse(step: str, n: str) -> Column:
+    """The inverse of a prime step modulo n, below it, by the Euclidean algorithm: 48 rounds do for n below 2 ** 31."""
+    big = lambda c: c.cast("bigint")
+    state = lambda r, s, t, u: F.struct(big(r).alias("r"), big(s).alias("s"), big(t).alias("t"), big(u).alias("u"))
+    start = state(F.col(n), F.pmod(F.col(step), F.col(n)), F.lit(0), F.lit(1))
+
+    def round_(a: Column, _: Column) -> Column:
+        q = F.floor(a["r"] / a["s"]).cast("bigint")
+        return F.when(a["s"] == 0, a).otherwise(state(a["s"], a["r"] - q * a["s"], a["u"], a["t"] - q * a["u"]))
+
+    return F.pmod(F.aggregate(F.sequence(F.lit(1), F.lit(48)), start, round_)["t"], F.col(n))

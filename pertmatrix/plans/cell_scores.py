@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pertmatrix.functions.hashing import draw_index, seed_hash
 from pertmatrix.matrix import CONTROL, CountMatrix
@@ -63,10 +63,9 @@ def _real_groups(df: DataFrame, n_splits: int, control: str) -> DataFrame:
 
 
 def _emitted(shifts: DataFrame, profile: DataFrame, depth: DataFrame, requests: DataFrame, seed: int) -> DataFrame:
-    """Entries of the even cells, with the cell's total."""
-    cells = emit.allocate_even(emit.even_totals(emit.shift_fraction(profile, shifts), depth, requests), seed=seed)
-    cell = W.partitionBy(*KEYS, "cell_no")
-    return cells.withColumns({"libsize": F.sum("value").over(cell), "leads": F.col("gene") == F.min("gene").over(cell)})
+    """Entries of the even cells, with the cell's total. The cells are written once, packed, for the passes that read them."""
+    totals = materialized(emit.even_totals(emit.shift_fraction(profile, shifts), depth, requests), "even-totals")
+    return C.row_entries(materialized(emit.even_cells(totals, seed=seed), "even-cells"))
 
 
 def transfer_groups(m: CountMatrix, contexts: Sequence[str], *, n_splits: int = 5, seed: int = 0, control: str = CONTROL) -> CellGroups:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 
 from pertmatrix.matrix import CONTROL
-from pertmatrix.operators import predictors as R, pseudobulk as P, sampling as S
+from pertmatrix.operators import emit, predictors as R, pseudobulk as P, sampling as S
 from pertmatrix.plans import QUERIES
 from pertmatrix.sources import testdata as T
 from pyspark.sql import functions as F
@@ -43,3 +43,15 @@ def test_entries_are_dealt_by_cell_over_tasks_by_their_number(spark, monkeypatch
     assert m.rows.filter("libsize > 0").select(F.spark_partition_id()).distinct().count() == tasks
     text = QUERIES["validate_block_values"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(cell_id#\d+L?, \d+\), REPARTITION_BY", text)) == 1
+
+
+def test_even_cells_are_the_even_allocation_without_a_shuffle_by_cell(spark):
+    rng = np.random.default_rng(3)
+    rows = [("A", lab, j, f"g{j}", n, int(t), int(t) // n, int(t) % n) for lab, n in (("p", 1), ("q", 97), ("r", 5000)) for j, t in enumerate(rng.integers(0, 3 * n + 2, 12))]
+    totals = spark.createDataFrame(rows, "context string, target_gene string, gene_pos bigint, gene string, n bigint, total bigint, base bigint, rem bigint")
+    keys = ["context", "target_gene", "cell_no"]
+    want = emit.allocate_even(totals, seed=4).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("gene", "value"))).alias("entries"), F.sum("value").alias("libsize"))
+    got = emit.even_cells(totals, seed=4)
+    filled = got.filter("libsize > 0").select(*keys, "entries", "libsize")
+    assert got.count() == 5098 and sorted(filled.collect()) == sorted(want.collect())
+    assert not re.search(r"hashpartitioning\([^)]*cell_no", executed(got))
