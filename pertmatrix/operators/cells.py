@@ -59,6 +59,15 @@ def row_entries(rows: DataFrame) -> DataFrame:
     return each.select(*carried, F.col("_e.gene").alias("gene"), F.col("_e.value").alias("value"), (F.col("_at") == 0).alias("leads"))
 
 
+def rows_written(matrix: CountMatrix) -> CountMatrix:
+    """The matrix with its packed rows written once, for plans that pass over the entries more than once.
+
+    Every pass over rows that are not written sums and packs the entries anew; filters on labels and contexts reach written ones.
+    """
+    rows = matrix.rows if matrix.rows is not None else packed_cells(matrix.cells, matrix.expr)
+    return CountMatrix(matrix.cells, matrix.genes, matrix.expr, materialized(rows, "packed-rows"))
+
+
 def scaled(entries: DataFrame, target: float, *, out: str = "value") -> DataFrame:
     """value / libsize * target."""
     return entries.withColumn(out, per_library(F.col("value"), F.col("libsize"), target))
@@ -154,7 +163,7 @@ def cp10k(matrix: CountMatrix) -> DataFrame:
 
     Entries are packed by cell once, if they are not; the check and the scaling read the rows, without a shuffle.
     """
-    rows = matrix.rows if matrix.rows is not None else materialized(packed_cells(matrix.cells, matrix.expr), "cp10k-rows")
+    rows = matrix.rows if matrix.rows is not None else rows_written(matrix).rows
     state = rows_state(rows).first()
     _require_raw(state, "cp10k")
     if state.min_total == 0:

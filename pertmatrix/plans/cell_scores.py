@@ -168,6 +168,7 @@ def ladder_groups(m: CountMatrix, models: Sequence[M.Predictor], held_out: str,
     model's deltas: as many for a label as the held-out context has. All models' cells are drawn in one pass over one
     pool, under labels that carry the model's name, and written once. A cell without a context is in neither part.
     """
+    m = C.rows_written(m)
     held = F.col("context") == held_out
     train, real = m.where(~held), m.where(held)
     seen = materialized(C.log_normalized(C.labelled(train)).select("cell_id", "target_gene", "gene", "value"), "ladder-train")

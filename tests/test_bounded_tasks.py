@@ -6,7 +6,7 @@ import numpy as np
 
 from pertmatrix.matrix import CONTROL
 from pertmatrix.operators import emit, predictors as R, pseudobulk as P, sampling as S
-from pertmatrix.plans import QUERIES
+from pertmatrix.plans import QUERIES, cell_scores as CS, q_models as QM
 from pertmatrix.sources import testdata as T
 from pyspark.sql import functions as F
 
@@ -55,3 +55,11 @@ def test_even_cells_are_the_even_allocation_without_a_shuffle_by_cell(spark):
     filled = got.filter("libsize > 0").select(*keys, "entries", "libsize")
     assert got.count() == 5098 and sorted(filled.collect()) == sorted(want.collect())
     assert not re.search(r"hashpartitioning\([^)]*cell_no", executed(got))
+
+
+def test_a_ladder_of_cells_packs_the_lines_once(spark):
+    """Every pass over the groups reads written rows; none sums and packs the lines anew."""
+    sf = "/root/testdata/sf0.001"
+    groups = CS.ladder_groups(T.count_matrix(spark, sf), QM.MODELS, QM.HELD_OUT)
+    read = groups.entries.inputFiles()
+    assert read and not [f for f in read if "lineitem" in f]
