@@ -197,7 +197,7 @@ def backbone_delta(spark, d):
 WITH {MATRIX}, {PROFILE_SQL}, n AS (SELECT context, count(DISTINCT cell_id) AS n_cells FROM ctrl GROUP BY 1)
 SELECT context, gene, round(fraction, 6) + 0.0 AS fraction, depth, n_cells FROM prof JOIN depth USING (context) JOIN n USING (context)""")
 def context_profile(spark, d):
-    m = T.count_matrix(spark, d)
+    m = C.rows_written(T.count_matrix(spark, d))
     profile, libsizes = emit.context_profile(C.labelled(m), m.genes)
     sizes = libsizes.groupBy("context").agg(F.count("*").alias("n_cells"))
     return profile.join(emit.median_depth(libsizes), "context").join(sizes, "context").select(
@@ -219,9 +219,9 @@ POOLED = f"""
   pooled AS (SELECT target_gene, gene, sum({SHRUNK} / greatest(var, 1e-6)) / sum(1 / greatest(var, 1e-6)) AS pooled FROM eff GROUP BY 1, 2)"""
 
 
-def source_effects(spark, d) -> tuple[CountMatrix, DataFrame]:
-    """Effects per source context, the held-out context left out."""
-    m = T.count_matrix(spark, d)
+def source_effects(spark, d, *, again: bool = False) -> tuple[CountMatrix, DataFrame]:
+    """Effects per source context, the held-out context left out. ``again``: the caller passes over the entries, too."""
+    m = C.rows_written(T.count_matrix(spark, d)) if again else T.count_matrix(spark, d)
     pb = P.label_sums(m.where(F.col("context") != HELD_OUT), by=("context", "target_gene"), save=True)
     return m, FX.log2fc_with_var(pb, m.genes)
 

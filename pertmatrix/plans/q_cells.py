@@ -202,7 +202,7 @@ WITH {MATRIX}, {PROFILE_SQL}, {CPM_GRID},
   moved AS (SELECT context, target_gene, gene, fraction * power(2, fc) AS x FROM prof JOIN eff USING (gene))
 SELECT context, target_gene, gene, round(x / sum(x) OVER (PARTITION BY context, target_gene), 6) + 0.0 AS fraction FROM moved""")
 def shift_fraction(spark, d):
-    m = T.count_matrix(spark, d)
+    m = C.rows_written(T.count_matrix(spark, d))
     profile, _ = emit.context_profile(C.labelled(m), m.genes)
     shifts = FX.log2fc_with_var(P.label_sums(m, save=True), m.genes).withColumnRenamed("log2fc", "shift")
     return emit.shift_fraction(profile, shifts).select("context", "target_gene", "gene", r6("fraction").alias("fraction"))

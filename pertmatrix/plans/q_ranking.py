@@ -74,7 +74,7 @@ EVEN_SQL = f"""
 
 def shifted_totals(spark, d) -> DataFrame:
     """As many cells as the real data hold for every (context, label), shifted by pooled effects."""
-    m, effects = source_effects(spark, d)
+    m, effects = source_effects(spark, d, again=True)
     requests = m.cells.filter(F.col("target_gene") != CONTROL).groupBy("context", "target_gene").agg(F.count("*").alias("n"))
     shifts = FX.pooled_for_targets(requests.select("target_gene"), effects, m.genes).withColumnRenamed("pooled", "shift")
     profile, libsizes = emit.context_profile(C.labelled(m), m.genes)

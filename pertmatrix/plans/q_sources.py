@@ -245,7 +245,7 @@ PROFILE_SQL = """
 
 def null_emission(spark: SparkSession, d: str, cells_per_pert: int) -> tuple[K.Contract, DataFrame, DataFrame]:
     """Unshifted even cells for every (context, perturbation): contract, cells, entries."""
-    m = T.count_matrix(spark, d)
+    m = C.rows_written(T.count_matrix(spark, d))
     perts = m.cells.filter(F.col("target_gene") != CONTROL).select("target_gene").distinct()
     contract = K.Contract(m.genes, perts, CONTEXTS, cells_per_pert)
     profile, libsizes = emit.context_profile(C.labelled(m), m.genes)

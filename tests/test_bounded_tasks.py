@@ -63,3 +63,9 @@ def test_a_ladder_of_cells_packs_the_lines_once(spark):
     groups = CS.ladder_groups(T.count_matrix(spark, sf), QM.MODELS, QM.HELD_OUT)
     read = groups.entries.inputFiles()
     assert read and not [f for f in read if "lineitem" in f]
+
+
+def test_profiles_of_the_controls_pack_the_lines_once(spark):
+    for name in ("allocate_even", "context_profile", "shift_fraction"):
+        read = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert read and not [f for f in read if "lineitem" in f], name
