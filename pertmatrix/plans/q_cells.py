@@ -151,9 +151,9 @@ def cell_cp10k(spark, d):
 
 @query("normalize_log1p", f"WITH {MATRIX_LOG} SELECT cell_id, gene, round(value, 6) + 0.0 AS value FROM logged")
 def normalize_log1p(spark, d):
-    m = T.count_matrix(spark, d)
+    m = C.rows_written(T.count_matrix(spark, d))
     entries = C.labelled(m)
-    if C.counts_state(m.expr, m.cells).first().state == C.RAW:
+    if C.rows_state(m.rows).first().state == C.RAW:
         entries = C.log_normalized(entries)
     return entries.select("cell_id", "gene", r6("value").alias("value"))
 

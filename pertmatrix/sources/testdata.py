@@ -12,6 +12,8 @@ from pertmatrix.matrix import CONTROL, CountMatrix, packed_cells
 
 #: Lines that one task sums and packs by cell.
 LINES_A_TASK = 300_000
+#: Parts up to which their join with the lines is left to Spark, which may broadcast them.
+FEW_PARTS = 100_000
 
 # The columns in use, stated so that opening a table starts no schema-inference job.
 SCHEMAS = {
@@ -57,15 +59,26 @@ def cell_tasks(spark: SparkSession, sf_dir: str) -> int:
     return max(spark.sparkContext.defaultParallelism, math.ceil(lines / LINES_A_TASK))
 
 
+def with_brand(spark: SparkSession, sf_dir: str, line: DataFrame, brand: str) -> DataFrame:
+    """Lines with the brand of their part.
+
+    Where the parts are many, each task hashes its share of them, as a merge join would sort the lines, which are many more: adaptive
+    execution joins partitions by their compressed bytes, of which a few grow to many in a sort. Counting reads file footers only.
+    """
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias(brand))
+    if part.count() > FEW_PARTS:
+        part = part.hint("shuffle_hash")
+    return line.join(part, line.l_partkey == part.p_partkey)
+
+
 def expr(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """Summed quantity is the count. Lines meet once by cell and are summed by gene there.
 
     The number of ``tasks`` is stated, as adaptive execution would join partitions by their compressed bytes, of which a few
     grow to many in the maps and sorts that sum and pack them.
     """
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gene"))
     line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell_id"), "l_partkey", "l_quantity")
-    by_cell = line.join(part, line.l_partkey == part.p_partkey).select("cell_id", "gene", "l_quantity").repartition(
+    by_cell = with_brand(spark, sf_dir, line, "gene").select("cell_id", "gene", "l_quantity").repartition(
         tasks or cell_tasks(spark, sf_dir), "cell_id"
     )
     return by_cell.groupBy("cell_id", "gene").agg(F.sum("l_quantity").alias("value"))
@@ -90,10 +103,9 @@ def long_rows(m: CountMatrix) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, score, confidence, region: one row per distinct candidate edge and attribute set."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("dst"))
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
     return (
-        line.join(part, line.l_partkey == part.p_partkey)
+        with_brand(spark, sf_dir, line, "dst")
         .select(
             F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 30).cast("string")).alias("src"), "dst",
             F.substring(F.lit("ABCDE"), 1 + F.col("l_linenumber") % 5, F.lit(1)).alias("confidence"),

@@ -69,3 +69,20 @@ def test_profiles_of_the_controls_pack_the_lines_once(spark):
     for name in ("allocate_even", "context_profile", "shift_fraction"):
         read = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert read and not [f for f in read if "lineitem" in f], name
+
+
+def test_many_parts_meet_the_lines_without_a_sort(spark, monkeypatch):
+    """A sort of the lines by part has as many of them as adaptive execution joins into a task, by their compressed bytes."""
+    sf = "/root/testdata/sf0.001"
+    want = sorted(T.expr(spark, sf).collect()), sorted(T.edges(spark, sf).collect())
+    monkeypatch.setattr(T, "FEW_PARTS", 10)
+    for made, rows in zip((T.expr(spark, sf), T.edges(spark, sf)), want):
+        plan = executed(made)
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
+        assert sorted(made.collect()) == rows
+
+
+def test_queries_that_pass_over_the_entries_twice_pack_the_lines_once(spark):
+    for name in ("normalize_log1p", "pb_merge"):
+        read = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert read and not [f for f in read if "lineitem" in f], name
